@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docdelta.checkpoint import shared_dir, written
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "connected", "shared_dir", "small_batches", "table", "utf8", "written"]
+
 #: Rows and bytes of an Arrow batch that goes to Python: they bound a worker's memory where texts are long.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
@@ -24,45 +24,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    That is spark.checkpoint.dir; where the session has none (tests on one machine), a temporary
-    folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     """The texts of an Arrow column as UTF-8 bytes."""
     return column.cast(pa.binary()).to_pylist()
 
 
-def map_rows(
-    df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], pa.RecordBatch | None]
-) -> DataFrame:
-    """Maps each Arrow batch of df; step may return None for no rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
-                yield out
-
-    small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """The components of edges (a, b): rows (node, component), component the smallest node.
 
