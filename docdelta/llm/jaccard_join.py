@@ -172,8 +172,11 @@ def _filter(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
+def _verified(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that link, tested on the whole texts; texts without a pair don't move."""
+    bits = _filter(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    texts = text.mapInArrow(_texts(k, bits), "node long, text binary").groupBy("node").agg(F.first("text").alias("text"))
+    texts = written(texts, "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -215,32 +218,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     frequent = np.sort(np.array([x.b for x in often.collect()], np.int64).view(np.uint64))
 
     entries = written(docs.select("text").mapInArrow(_index(k, percent, frequent), "key long, node long, n int"), "index")
-    leaders = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).where("lead.node != last")
-    shared = written(entries.join(leaders.select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "key").distinct(), "shared")
-    texts = written(
-        docs.select("text").mapInArrow(_texts(k, _filter(shared)), "node long, text binary").groupBy("node").agg(F.first("text").alias("text")),
-        "texts",
-    )
-
-    first = shared.where((F.col("node") != F.col("lead")) & _sizes_fit("n", "lead_n", percent)).groupBy("node", "lead").agg(F.count("*").alias("keys"))
-    first = first.groupBy("node").agg(F.max_by("lead", F.struct("keys", "lead")).alias("b")).select(F.col("node").alias("a"), "b")
-    links = written(_verified(first, texts, k, percent), "links")
+    sizes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("size"))
+    sizes = written(sizes, "nodes")
+    size_of = lambda node: sizes.select(F.col("node").alias(node), F.col("size").alias(f"n_{node}"))
+    text = docs.select("text")
+
+    leaders = entries.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("key", "lead")
+    shared = written(entries.join(leaders, "key"), "shared")
+    first = shared.where("node != lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("keys"))
+    first = first.join(size_of("a"), "a").join(size_of("b"), "b").where(_sizes_fit("n_a", "n_b", percent))
+    first = written(first.groupBy("a").agg(F.max_by("b", F.struct("keys", "b")).alias("b")), "pairs")
+    links = written(_verified(first, text, k, percent), "links")
     label = connected(links)
 
     named = shared.join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    left = written(named.join(open_keys, "key"), "open")
+    left = written(named.join(open_keys, "key").distinct(), "open")
     right = left.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
     rest = left.join(right, (left["key"] == right["key"]) & (F.col("component") < F.col("component_b")) & _sizes_fit("n", "n_b", percent))
-    rest = rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    more = written(_verified(rest, texts, k, percent), "links")
+    rest = written(rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
+    more = written(_verified(rest, text, k, percent), "links")
     label = connected(links.unionByName(more))
 
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("size"))
-    nodes = nodes.join(label, "node", "left").select("node", "least", F.col("size"), F.coalesce("component", "node").alias("component"))
-    named = written(nodes, "nodes")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("node", "size", "component_id")
+    nodes = sizes.join(label, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = written(nodes.join(least, "component").select("node", "component_id"), "components")
     out = rows.join(named, "node")
     return out.select(
         "doc_id",
