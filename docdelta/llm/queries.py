@@ -76,4 +76,47 @@ QUERIES = {
     for f in (op1_toxicity_chain, op2_warc_index, op3_jaccard_join, op4_piece_lattice, op5_line_dedup, op6_html_template, op7_decontamination, op8_masked_lm, op9_pii, op10_exact_topk)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_KEY = _LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
+
+#: DuckDB SQL for the queries that SQL can express. The others train models, search lattices or
+#: connect components; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_index": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS hex FROM p),
+        l AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS last FROM h)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST(((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+            CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> last THEN last END AS refers_to FROM l""",
+    "op5_line_dedup": f"""
+        WITH l AS (SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
+            FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i)),
+        k AS (SELECT doc_id, i, line, {_KEY} AS key FROM l),
+        f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+        j AS (SELECT doc_id, i, line, first IS NOT NULL AND first <> doc_id AS gone FROM k LEFT JOIN f USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id""",
+    "op7_decontamination": f"""
+        WITH w AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+        iw AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS win
+            FROM (SELECT item_id, ws, least(10, len(ws)) AS n FROM w WHERE len(ws) > 0), LATERAL (SELECT unnest(range(1, len(ws) - n + 2)) AS i)),
+        d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        dw AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS win
+            FROM d, (SELECT DISTINCT n FROM iw), LATERAL (SELECT unnest(range(1, len(ws) - n + 2)) AS i)),
+        m AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN iw ON iw.win = dw.win AND iw.n = dw.n),
+        c AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY doc_id),
+        h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM m, LATERAL (SELECT unnest(range(i, i + n)) AS place) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN h USING (doc_id)""",
+    "op10_exact_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+}
