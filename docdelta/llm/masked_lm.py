@@ -217,8 +217,8 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: WindowNetwork, text_
         for batch in batches:
             ids, places, owner = windows([words_of.encode(x) for x in utf8(batch.column(0))])
             each = np.concatenate([np.empty(0), *(net.log_probabilities(_near(ids, at), ids[at]) for i in range(0, len(places), STEP) if len(at := places[i : i + STEP]))])
-            n, total = np.bincount(owner, minlength=batch.num_rows), np.bincount(owner, each, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0), *batch.columns[1:]], ["n_tokens", "log_likelihood", "mean_log_likelihood", *batch.schema.names[1:]])
+            n, total = np.bincount(owner, minlength=batch.num_rows), np.bincount(owner, each, batch.num_rows).astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(total), pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0), *batch.columns[1:]], ["n_tokens", "log_likelihood", "mean_log_likelihood", *batch.schema.names[1:]])
 
     small_batches(docs.sparkSession)
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
