@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docdelta.checkpoint import shared_dir, written
+from docdelta.checkpoint import discard, shared_dir, written
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "connected", "shared_dir", "small_batches", "table", "utf8", "written"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "connected", "discard", "shared_dir", "small_batches", "table", "utf8", "written"]
 
 #: Rows and bytes of an Arrow batch that goes to Python: they bound a worker's memory where texts are long.
 BATCH_ROWS = 1000
@@ -47,6 +47,9 @@ def connected(edges: DataFrame) -> DataFrame:
             .select("node", F.col("label").alias("old"), F.least("label", "near", "jump").alias("label"))
         )
         new = written(new, "labels")
+        discard(labels)
         if not new.where("old != label").head(1):
+            discard(both)
             return new.select("node", F.col("label").alias("component"))
-        labels = new.select("node", "label")
+        labels = new.drop("old")
+        labels.written_to = new.written_to

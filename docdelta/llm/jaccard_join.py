@@ -26,10 +26,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docdelta.llm.common import connected, small_batches, utf8, written
+from docdelta.llm.common import connected, discard, small_batches, utf8, written
 from docdelta.llm.shingles import overlap, set_digest, shingle_set
 
 #: At most so many shingles are in the frequent class (8 bytes each in the broadcast).
@@ -140,10 +141,10 @@ def _index(k: int, percent: int, frequent: np.ndarray):
 
 
 def _texts(k: int, bits: np.ndarray):
-    """The text of each node that the filter lets pass, without the copies that a task sees."""
+    """The packed text of each node that the filter lets pass, without the copies that a task sees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen, pack = set(), zstandard.ZstdCompressor(3)  # texts move with each pair: packed well, they move cheaply
         for batch in batches:
             nodes, texts = [], []
             for text in utf8(batch.column(0)):
@@ -155,7 +156,7 @@ def _texts(k: int, bits: np.ndarray):
                     seen.clear()
                 seen.add(node)
                 nodes.append(node)
-                texts.append(text)
+                texts.append(pack.compress(text or b""))
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.binary())], ["node", "text"])
 
@@ -173,20 +174,20 @@ def _filter(nodes: DataFrame) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, tested on the whole texts; texts without a pair don't move."""
+    """Those of the pairs (a, b) that link, written and tested on the whole texts; texts without a pair don't move."""
     bits = _filter(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     texts = text.mapInArrow(_texts(k, bits), "node long, text binary").groupBy("node").agg(F.first("text").alias("text"))
     texts = written(texts, "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        last, held, unpack = None, None, zstandard.ZstdDecompressor()
         for batch in batches:
             ids_a, ids_b = (batch.column(i).to_pylist() for i in (0, 1))
             keep = []
             for b, text_a, text_b in zip(ids_b, utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
                 if b != last:
-                    last, held = b, shingle_set(text_b, k)
-                own = shingle_set(text_a, k)
+                    last, held = b, shingle_set(unpack.decompress(text_b), k)
+                own = shingle_set(unpack.decompress(text_a), k)
                 both = overlap(own, held)
                 keep.append(100 * both >= percent * (len(own) + len(held) - both))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(ids, keep, strict=True) if y], pa.int64()) for ids in (ids_a, ids_b)], ["a", "b"])
@@ -194,7 +195,9 @@ def _verified(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFr
     small_batches(pairs.sparkSession)
     sided = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     sided = sided.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return sided.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    out = written(sided.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    discard(texts, pairs)
+    return out
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -225,19 +228,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     leaders = entries.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("key", "lead")
     shared = written(entries.join(leaders, "key"), "shared")
+    discard(entries)
     first = shared.where("node != lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("keys"))
     first = first.join(size_of("a"), "a").join(size_of("b"), "b").where(_sizes_fit("n_a", "n_b", percent))
     first = written(first.groupBy("a").agg(F.max_by("b", F.struct("keys", "b")).alias("b")), "pairs")
-    links = written(_verified(first, text, k, percent), "links")
+    links = _verified(first, text, k, percent)
     label = connected(links)
 
     named = shared.join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     left = written(named.join(open_keys, "key").distinct(), "open")
+    discard(shared)
     right = left.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
     rest = left.join(right, (left["key"] == right["key"]) & (F.col("component") < F.col("component_b")) & _sizes_fit("n", "n_b", percent))
     rest = written(rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
-    more = written(_verified(rest, text, k, percent), "links")
+    discard(left)
+    more = _verified(rest, text, k, percent)
     label = connected(links.unionByName(more))
 
     nodes = sizes.join(label, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
