@@ -4,9 +4,14 @@ Every token is predicted from SIDE tokens on either side, itself hidden: the sum
 per place goes through tanh to a two-step softmax, first over classes of words, then over the words
 of the class. A document's score is the sum of the log-probabilities of all its tokens.
 
-The vocabulary comes from the word counts of all documents; other words share buckets by their
-last bytes. Each run of documents trains a copy of the network on all its tokens, in numpy, from a
-common start, and the copies' weighted mean, formed by a tree of Spark groupings, is the model.
+The words come from the counts over all documents. The most common have outputs of their own in the
+network; every other word has one of BUCKETS outputs by its last bytes, times its own share of that
+bucket's occurrences. Those shares are a Spark table that grows with the corpus and is joined to the
+documents' words; all words that the corpus lacks have one share of a bucket together.
+
+In each of ROUNDS rounds each run of documents trains a copy of the network on all its tokens, in
+numpy, from a common start, and the copies' weighted mean, formed by a tree of Spark groupings, is
+the start of the next round and at last the model.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docdelta.llm.common import small_batches, utf8, written
+from docdelta.llm.common import discard, small_batches, utf8, written
 from docdelta.llm.shingles import words
 
 SIDE = 2
@@ -31,6 +36,8 @@ VOCABULARY = CLASSES * PER_CLASS - BUCKETS
 PAD = CLASSES * PER_CLASS
 STEP = 16_384
 RATE = 0.15
+#: Times that the copies are averaged and go on from their mean.
+ROUNDS = 2
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 400_000
 #: Models that one grouping averages, and the parts that a model is cut into.
@@ -60,14 +67,42 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Ids of words: the most common ones by rank, buckets of other words behind them."""
+    """Ids of words: the most common ones by rank, buckets of other words behind them.
 
-    def __init__(self, ranked: list[bytes]):
+    others has (hash, log_count) of the other words that occur more than once, totals the occurrences
+    of all other words by bucket.
+    """
+
+    def __init__(self, ranked: list[bytes], others: DataFrame | None = None, totals: dict[int, int] | None = None):
         self.ids = {w: i for i, w in enumerate(ranked[:VOCABULARY])}
+        self.others = others
+        #: log(1 / (total + 1)) of the buckets, 0 for words with outputs of their own.
+        self.shares = np.zeros(VOCABULARY + BUCKETS)
+        for bucket, total in (totals or {}).items():
+            self.shares[VOCABULARY + bucket] = -np.log(total + 1)
 
-    def encode(self, text: bytes | None) -> list[int]:
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "others": None}  # tasks have no tables
+
+    def coded(self, split: list[bytes]) -> list[int]:
         get = self.ids.get
-        return [i if (i := get(w)) is not None else VOCABULARY + zlib.crc32(w[-3:]) % BUCKETS for w in words(text)]
+        return [i if (i := get(w)) is not None else VOCABULARY + zlib.crc32(w[-3:]) % BUCKETS for w in split]
+
+    def encode(self, text: bytes | None) -> list[int]:
+        return self.coded(words(text))
+
+
+def vocabulary_of(counts: DataFrame) -> tuple[Vocabulary, list[int]]:
+    """The vocabulary of the word counts, and the counts of the words with ids."""
+    top = counts.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()
+    ranked, own = [bytes(r["word"]) for r in top], [r["count"] for r in top]
+    if len(ranked) < VOCABULARY:
+        return Vocabulary(ranked), own
+    known = counts.sparkSession.createDataFrame([(w,) for w in ranked], "word binary")  # VOCABULARY rows
+    others = counts.join(F.broadcast(known), "word", "left_anti")
+    bucket = F.pmod(F.crc32(F.unhex(F.expr("right(hex(word), 6)"))), F.lit(BUCKETS))
+    totals = {r["bucket"]: r["total"] for r in others.groupBy(bucket.alias("bucket")).agg(F.sum("count").alias("total")).collect()}  # BUCKETS rows
+    return Vocabulary(ranked, others.where("count > 1").select(F.xxhash64("word").alias("hash"), F.ln("count").alias("log_count")), totals), own
 
 
 class WindowNetwork:
@@ -165,15 +200,23 @@ def _near(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame) -> tuple[Vocabulary, WindowNetwork]:
     """The model of all docs (column text)."""
+    vocabulary, counts = vocabulary_of(written(count_words(docs), "words"))
+    # Weights, and behind them their summed squared gradients, which set the size of steps.
+    state = np.concatenate([WindowNetwork.start(counts).flat, np.full(WindowNetwork.SIZE, 1e-4, np.float32)])
+    for _ in range(ROUNDS):
+        state = _round(docs, vocabulary, state)
+    return vocabulary, WindowNetwork(state[: WindowNetwork.SIZE].copy())
+
+
+def _round(docs: DataFrame, vocabulary: Vocabulary, state: np.ndarray) -> np.ndarray:
+    """The mean of the copies that go from state over the documents of a task each."""
     spark = docs.sparkSession
-    top = count_words(docs).orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()
-    vocabulary = Vocabulary([bytes(r["word"]) for r in top])
-    start = WindowNetwork.start([r["count"] for r in top]).flat
-    shared = spark.sparkContext.broadcast((vocabulary, start))
+    shared = spark.sparkContext.broadcast((vocabulary, state))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, begin = shared.value
-        net, seen, squares = WindowNetwork(begin.copy()), 0, np.full(WindowNetwork.SIZE, 1e-4, np.float32)
+        own, seen = begin.copy(), 0
+        net, squares = WindowNetwork(own[: WindowNetwork.SIZE]), own[WindowNetwork.SIZE :]
         for batch in batches:
             ids, places, _ = windows([words_of.encode(x) for x in utf8(batch.column(0))])
             for i in range(0, len(places), STEP):
@@ -183,8 +226,8 @@ def fit(docs: DataFrame) -> tuple[Vocabulary, WindowNetwork]:
                 net.flat -= RATE * len(at) / STEP * g / np.sqrt(squares)
             seen += len(places)
         if seen:
-            parts = np.array_split(net.flat, PARTS)
-            key = zlib.crc32(net.flat.tobytes())
+            parts = np.array_split(own, PARTS)
+            key = zlib.crc32(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([key] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([seen] * PARTS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["run", "part", "tokens", "weights"])
 
     def average(key, table):
@@ -197,15 +240,16 @@ def fit(docs: DataFrame) -> tuple[Vocabulary, WindowNetwork]:
     models = written(docs.select("text").mapInArrow(train, plan), "models")
     while (left := models.where("part = 0").count()) > 1:
         groups = max(1, left // FAN_IN)
-        models = models.withColumn("group", F.pmod(F.xxhash64("run"), F.lit(groups)))
-        models = written(models.groupBy("part", "group").applyInArrow(average, plan), "models")
+        grouped = models.withColumn("group", F.pmod(F.xxhash64("run"), F.lit(groups)))
+        mean = written(grouped.groupBy("part", "group").applyInArrow(average, plan), "models")
+        discard(models)
+        models = mean
     rows = sorted(models.collect(), key=lambda r: r["part"])
-    flat = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in rows]) if rows else start
-    return vocabulary, WindowNetwork(flat.copy())
+    return np.concatenate([np.frombuffer(r["weights"], np.float32) for r in rows]) if rows else state
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, network: WindowNetwork, text_col: str = "text") -> DataFrame:
-    """Every row of docs with n_tokens, log_likelihood and mean_log_likelihood before its own columns.
+def score(docs: DataFrame, vocabulary: Vocabulary, network: WindowNetwork, text_col: str = "text", kept: list[str] | None = None) -> DataFrame:
+    """Every row of docs with n_tokens, log_likelihood and mean_log_likelihood before its own columns, or those in kept.
 
     A text without words, null too, has no tokens, a sum of 0 and a null mean.
     """
@@ -213,13 +257,24 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: WindowNetwork, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, flat = shared.value
-        net = WindowNetwork(flat)
+        net, shares, known = WindowNetwork(flat), words_of.shares, words_of.ids
         for batch in batches:
-            ids, places, owner = windows([words_of.encode(x) for x in utf8(batch.column(0))])
-            each = np.concatenate([np.empty(0), *(net.log_probabilities(_near(ids, at), ids[at]) for i in range(0, len(places), STEP) if len(at := places[i : i + STEP]))])
+            split = [words(x) for x in utf8(batch.column(0))]
+            ids, places, owner = windows([words_of.coded(x) for x in split])
+            each = np.concatenate([np.empty(0), *(net.log_probabilities(_near(ids, at), ids[at]) + shares[ids[at]] for i in range(0, len(places), STEP) if len(at := places[i : i + STEP]))])
             n, total = np.bincount(owner, minlength=batch.num_rows), np.bincount(owner, each, batch.num_rows).astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(total), pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0), *batch.columns[1:]], ["n_tokens", "log_likelihood", "mean_log_likelihood", *batch.schema.names[1:]])
+            others = pa.array([[w for w in x if w not in known] for x in split], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(total), others, *batch.columns[1:]], ["n_tokens", "__sum", "__others", *batch.schema.names[1:]])
 
     small_batches(docs.sparkSession)
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select(F.col(text_col).alias("__text"), "*").mapInArrow(run, f"n_tokens long, log_likelihood double, mean_log_likelihood double, {own}")
+    docs = docs.select(F.col(text_col).alias("__text"), *(docs.columns if kept is None else kept))
+    columns = docs.columns[1:]
+    own = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema[1:])
+    rows = docs.mapInArrow(run, f"n_tokens long, __sum double, __others array<binary>{own}")
+    total = F.col("__sum")
+    if vocabulary.others is not None:
+        rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "scored")
+        each = rows.select("__row", F.explode("__others").alias("word")).select("__row", F.xxhash64("word").alias("hash"))
+        rows = rows.join(each.join(vocabulary.others, "hash").groupBy("__row").agg(F.sum("log_count").alias("__counts")), "__row", "left")
+        total += F.coalesce("__counts", F.lit(0.0))
+    return rows.select("n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"), *columns)

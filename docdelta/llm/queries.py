@@ -55,7 +55,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, log_likelihood (the sum over its tokens) and their mean."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return masked_lm.score(docs, *masked_lm.fit(docs)).drop("text").select("doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood")
+    return masked_lm.score(docs, *masked_lm.fit(docs), kept=["doc_id"]).select("doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

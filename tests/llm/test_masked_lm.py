@@ -67,3 +67,31 @@ def test_odd_rows(odd_docs, no_docs):
     rows = lm.score(odd_docs, vocabulary, net).collect()
     assert sorted((r.n_tokens, r.log_likelihood == 0, r.mean_log_likelihood is None) for r in rows) == [(0, True, True)] * 3 + [(1, False, False)] + [(10, False, False)] * 3 + [(60_000, False, False)]
     assert lm.score(no_docs, *lm.fit(no_docs)).count() == 0
+
+
+def test_words_beyond_the_network_have_their_own_probability(spark):
+    """Two words with the same last bytes in the same place: the one that the corpus has more often is likelier."""
+    common = " ".join(f"c{i}" for i in range(lm.VOCABULARY)) + " "
+    docs = [(1, common * 12), *((2 + i, "c1 real_xyz c2") for i in range(9)), (50, "c1 junk_xyz c2"), (51, "c1 junkpxyz c2")]
+    docs = spark.createDataFrame([(i, t.replace("_", "q")) for i, t in docs], "doc_id long, text string")
+    vocabulary, net = lm.fit(docs)
+    assert len(vocabulary.ids) == lm.VOCABULARY and b"realqxyz" not in vocabulary.ids
+    fresh = spark.createDataFrame([(1, "c1 realqxyz c2"), (2, "c1 junkqxyz c2"), (3, "c1 neverxyz c2"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r.log_likelihood for r in lm.score(fresh, vocabulary, net).collect()}
+    assert got[1] - got[2] == pytest.approx(np.log(9), abs=1e-4) and got[2] == pytest.approx(got[3], abs=1e-4) and got[4] == 0
+    # The shares of a bucket, with one for all words that the corpus lacks, sum to 1.
+    assert (9 + 1 + 1 + 1) * np.exp(vocabulary.shares[vocabulary.encode(b"realqxyz")[0]]) == pytest.approx(1)
+
+
+def test_rounds_go_on_from_the_mean(spark, monkeypatch):
+    """What the copies of many tasks learn comes near to what one learns from all documents."""
+    monkeypatch.setattr(lm, "STEP", 256)
+    docs = spark.createDataFrame(corpus(1, 300), "doc_id long, text string")
+    fresh = spark.createDataFrame(corpus(2, 40), "doc_id long, text string")
+    mean = lambda n: np.mean([r.mean_log_likelihood for r in lm.score(fresh, *lm.fit(docs.repartition(n))).collect()])
+    monkeypatch.setattr(lm, "ROUNDS", 1)
+    once = [mean(n) for n in (1, 8)]
+    monkeypatch.setattr(lm, "ROUNDS", 2)
+    twice = [mean(n) for n in (1, 8)]
+    print(once, twice)
+    assert abs(twice[0] - twice[1]) < abs(once[0] - once[1]) and twice[1] > once[1]
