@@ -3,16 +3,17 @@
 1. A page is cut into tokens: tags with their path of elements, and words with the path of their
    element. The same string in different paths is a different token.
 2. Over the pages of a host each token has an occurrence vector, its count in every page. Spark sums
-   a 48-bit hash of (page, count) for each token, which stands for the whole vector and can be added
-   up before anything is shuffled, so a host of any size is never gathered. Tokens with equal sums
-   form an equivalence class.
+   a 48-bit hash of (page's content, count) for each token, which stands for the whole vector and can
+   be added up before anything is shuffled, so a host of any size is never gathered. Tokens with equal
+   sums form an equivalence class.
 3. A class is valid if it has at least MIN_TOKENS tokens and occurs in at least MIN_SHARE of the
-   host's pages. Paths make the classes nest: a token's path names the elements around it, so a class
+   host's different pages; copies count as one. Paths make the classes nest: a token's path names the elements around it, so a class
    lies inside the class of the tags that open its path. The tokens of the valid classes are the
    host's template.
 4. What the template leaves is slots, the blocks of text. Blocks in elements whose tag or class names
-   them as menu, header, footer, sidebar, notice, advert, form or comments go; where the page has no
-   article or main element, blocks made of template words alone go as well. The rest is the text.
+   them as menu, header, footer, sidebar, notice, advert, form or comments go, but not elements that
+   hold the page's article or main element, or most of the text where it has none; where the page has
+   no article or main element, blocks made of template words alone go as well. The rest is the text.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ MIN_SHARE = 0.6
 MIN_PAGES = 4
 #: Tokens that a task sums up before it hands them on.
 HELD_TOKENS = 500_000
-#: Template tokens of one host, the most common first.
-MOST_TOKENS = 5000
+#: A page counts as this many units, shared among its copies.
+UNIT = 1 << 32
 
 # Fixed values of HTML: elements without content, elements that end a block, elements without text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -50,6 +51,8 @@ ASIDE = frozenset("nav header footer aside form button select menu dialog head s
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments comentarios commentaires consent contentinfo cookie cookies dialog disqus footer header menu modal nav navbar navigation newsletter notice notification popup promo related reply share sharing sidebar social sponsor sponsored subscribe".split()
 )
+#: Words that stand beside those in names of such parts; inside an article only names made of both are parts that go.
+PLAIN_WORDS = frozenset("area bar block body box button buttons container content group icons inner item items link links list outer panel posts section site slot title top bottom left right unit widget wrap wrapper".split())
 MAIN = frozenset({"article", "main"})
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -67,27 +70,35 @@ class Block:
         self.path, self.text, self.aside, self.main = path, text, aside, main
 
 
-def _is_aside(tag: str, attributes: str) -> bool:
+def _is_aside(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in ASIDE:
         return True
     if not attributes or "=" not in attributes or tag in ("html", "body"):
         return False
-    return any(w in ASIDE_WORDS for m in _ATTRIBUTE.finditer(attributes) for w in _NAME.findall(entities.unescape(m[2] or m[3] or m[4] or "").lower()))
+    names = (_NAME.findall(n) for m in _ATTRIBUTE.finditer(attributes) for n in entities.unescape(m[2] or m[3] or m[4] or "").lower().split())
+    return any(any(w in ASIDE_WORDS for w in n) and (not in_main or all(w in ASIDE_WORDS or w in PLAIN_WORDS for w in n)) for n in names)
 
 
 def parse(page: str) -> tuple[list[Block], list[str]]:
     """The page's text blocks and its tag tokens, both in page order."""
     blocks: list[Block] = []
     tags: list[str] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    # Elements named as parts that go: the named one around them, their depth among named ones, their characters.
+    named: list[list[int]] = [[-1, 0, 0]]
+    held: list[tuple[int, int]] = []  # for each block, the named element around it and the one around its main element, or -1
+    stack: list[tuple[str, str, int, int]] = [("", "", 0, -1)]
     text: list[str] = []
 
     def close() -> None:
         if text:
             plain = " ".join(entities.unescape("".join(text)).split())
             if plain:
-                _, path, aside, main = stack[-1]
-                blocks.append(Block(path, plain, aside, main))
+                _, path, around, main = stack[-1]
+                blocks.append(Block(path, plain, False, main >= 0))
+                held.append((around, main))
+                while around >= 0:
+                    named[around][2] += len(plain)
+                    around = named[around][0]
             text.clear()
 
     def pop(n: int) -> None:
@@ -129,8 +140,10 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
                 break
             if stack[i][0] in ("ul", "ol", "dl", "table", "select", "tbody", "thead", "div", "section"):
                 break
-        _, path, aside, main = stack[-1]
-        aside = aside or _is_aside(tag, m[3])
+        _, path, around, main = stack[-1]
+        if tag not in VOID and tag not in RAW and _is_aside(tag, m[3], main >= 0):
+            named.append([around, named[around][1] + 1, 0])
+            around = len(named) - 1
         name = m[3].strip()
         path = f"{path}/{tag}" if "class" not in name else f"{path}/{tag}.{'.'.join(sorted(_NAME.findall(name.lower())))[:60]}"
         tags.append(path)
@@ -140,8 +153,23 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append((tag, path, aside, main or tag in MAIN))
+        stack.append((tag, path, around, around if main < 0 and tag in MAIN else main))
     close()
+    stays = {0}
+    mains = {main for _, main in held if main >= 0}
+    if mains:
+        least = min(named[x][1] for x in mains)
+        for x in mains:
+            while named[x][1] <= least and x not in stays:
+                stays.add(x)
+                x = named[x][0]
+    else:
+        stays.update(i for i, x in enumerate(named) if 2 * x[2] > named[0][2])
+    goes = [False] * len(named)
+    for i, x in enumerate(named[1:], 1):
+        goes[i] = goes[x[0]] or i not in stays
+    for block, (around, _) in zip(blocks, held, strict=True):
+        block.aside = goes[around]
     return blocks, tags
 
 
@@ -162,24 +190,24 @@ def _hash(text: str) -> int:
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums for each host and token of a task: pages, and hash of the occurrence vector."""
-    sums: dict[str, dict[int, int]] = {}  # hash sum in the upper bits, pages in the lower 32
+    sums: dict[str, dict[int, int]] = {}  # hash sum in the upper bits, units of pages in the lower 64
     held = 0
 
     def out() -> pa.RecordBatch:
         hosts = pa.array([h for h, own in sums.items() for _ in own], pa.string())
         tokens = np.fromiter((t for own in sums.values() for t in own), np.int64, held)
-        pages = np.fromiter((v & 0xFFFFFFFF for own in sums.values() for v in own.values()), np.int64, held)
-        vectors = np.fromiter((v >> 32 & 0xFFFFFFFFFFFF for own in sums.values() for v in own.values()), np.int64, held)
+        pages = np.fromiter((v & 0xFFFFFFFFFFFFFFFF for own in sums.values() for v in own.values()), np.int64, held)
+        vectors = np.fromiter((v >> 64 & 0xFFFFFFFFFFFF for own in sums.values() for v in own.values()), np.int64, held)
         return pa.RecordBatch.from_arrays([hosts, *map(pa.array, (tokens, pages, vectors))], ["host", "token", "pages", "vector"])
 
     for batch in batches:
-        hosts, ids, pages = (batch.column(i).to_pylist() for i in range(3))
-        for host, page_id, page in zip(hosts, ids, pages, strict=True):
+        hosts, contents, copies, pages = (batch.column(i).to_pylist() for i in range(4))
+        for host, content, n, page in zip(hosts, contents, copies, pages, strict=True):
             own = sums.setdefault(host, {})
             before, marks = len(own), {}
             for token, count in _tokens(page or "").items():
                 if (mark := marks.get(count)) is None:
-                    mark = marks[count] = (_hash(f"{page_id} {count}") << 32) + 1
+                    mark = marks[count] = (_hash(f"{content} {count}") << 64) + round(UNIT / n)
                 key = _hash(token)
                 own[key] = own.get(key, 0) + mark
             held += len(own) - before
@@ -196,16 +224,21 @@ def host_of(url):
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, tokens): the hashes of the template tokens of each host, of pages (host, page_id, html)."""
-    seen = pages.select("host", "page_id", "html").mapInArrow(_occurrences, "host string, token long, pages long, vector long")
+    rows = pages.select("host", F.xxhash64("html").alias("content"), "html")
+    contents = written(rows.groupBy("host", "content").agg(F.count("*").alias("copies")), "contents")
+    # Written, so that Spark knows its size and moves the pages only where many have copies.
+    copied = written(contents.where("copies > 1"), "copied")
+    seen = rows.join(copied, ["host", "content"], "left").select("host", "content", F.coalesce("copies", F.lit(1)).alias("copies"), "html")
+    seen = seen.mapInArrow(_occurrences, "host string, token long, pages long, vector long")
     # Halves are summed apart, so that no sum overflows; equal vectors have equal sums of both.
     halves = F.sum(F.shiftright("vector", 24)).alias("high"), F.sum(F.col("vector").bitwiseAND(F.lit((1 << 24) - 1))).alias("low")
-    each = seen.groupBy("host", "token").agg(F.sum("pages").alias("pages"), *halves)
-    sizes = pages.groupBy("host").agg(F.count("*").alias("of")).where(F.col("of") >= MIN_PAGES)
+    each = seen.groupBy("host", "token").agg(F.round(F.sum("pages") / UNIT).alias("pages"), *halves)
+    sizes = contents.groupBy("host").agg(F.sum("copies").alias("rows"), F.count("*").alias("of")).where((F.col("rows") >= MIN_PAGES) & (F.col("of") > 1))
     common = written(each.join(sizes, "host").where(F.col("pages") >= F.col("of") * MIN_SHARE), "tokens")
     classes = common.groupBy("host", "high", "low").agg(F.count("*").alias("size")).where(F.col("size") >= MIN_TOKENS)
     chosen = common.join(classes, ["host", "high", "low"])
-    # A host's template has MOST_TOKENS tokens at most: pages have only so many in common.
-    return chosen.groupBy("host").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("pages")).alias("p"), "token"))), 1, MOST_TOKENS).getField("token").alias("tokens"))
+    # At most 1 / MIN_SHARE times the different tokens of the host's mean page.
+    return chosen.groupBy("host").agg(F.collect_list("token").alias("tokens"))
 
 
 def main_text(page: str | None, template: frozenset[int] | set[int]) -> str:

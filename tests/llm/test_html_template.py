@@ -54,3 +54,24 @@ def test_odd_rows(spark):
     got = sorted(((x.page_id, x.url, len(x.text), x.n_chars) for x in ht.extract(odd).collect()), key=repr)
     assert got == sorted([(1, None, 0, 0), (2, "http://x/", 0, 0), (2, "http://x/", 0, 0), (None, "http://x/", 1, 1), (3, "http://x/", 249_999, 249_999)], key=repr)
     assert ht.extract(odd.limit(0)).count() == 0
+
+
+def test_named_elements_around_the_article_stay():
+    for name in ("page has-sidebar", "no-sidebar"):
+        assert text(f"<div class='{name}'><nav>Menü</nav><article><p>Der Text</p></article><div class='sidebar'>Rand</div></div>") == "Der Text"
+    assert text("<article><p>Kurs</p><div class='share-price-table'>12,50</div><div class='share-buttons'>Teilen</div></article>") == "Kurs\n12,50"
+    assert text("<form><div class=social-page><p>Ein langer Text ohne Artikel</p></div><div class=sidebar>Rand</div></form>") == "Ein langer Text ohne Artikel"
+    assert text("<article>Kern</article><div id=comments><article>Ein sehr langer Kommentar eines Lesers</article></div>") == "Kern"
+
+
+def test_copies_are_no_template(spark):
+    copy = "<div>Dieser Text steht auf allen Kopien</div>"
+    rows = [(i, "http://a/", copy) for i in range(7)] + [(9, "http://a/", "<div>Ganz anders</div>")] + [(10 + i, "http://b/", copy) for i in range(5)]
+    got = {r.page_id: r.text for r in ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(t == ("Ganz anders" if i == 9 else "Dieser Text steht auf allen Kopien") for i, t in got.items()) and len(got) == 13
+
+
+def test_all_template_tokens_are_kept(spark):
+    fixed = " ".join(f"wort{i}" for i in range(6000))
+    rows = [("a", i, f"<p>{fixed}</p><p>eigen{i}</p>") for i in range(5)]
+    assert len(ht.templates(spark.createDataFrame(rows, "host string, page_id long, html string")).head().tokens) >= 6000
