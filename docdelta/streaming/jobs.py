@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-#: State that is not touched for so long goes.
-TTL = "24 hours"
-
+from docdelta.checkpoint import shared_dir
 
 def encoded(value: Column, is_nested: Column) -> Column:
     """Values as they are stored: nested ones as JSON, others as text; null as None."""
@@ -27,14 +25,24 @@ def fold(events: DataFrame, sid: str = "sid", field: str = "field", value: str =
 
 
 def fold_stream(events: DataFrame, time: str, sid: str = "sid", field: str = "field", value: str = "value", tie: str = "seq") -> DataFrame:
-    """The same fold over a stream; state goes a day after the last event time that was seen."""
-    late = events.withWatermark(time, TTL)
-    return late.groupBy(sid, field).agg(F.max_by(value, F.struct(time, tie)).alias("value"), F.count("*").alias("updates"))
+    """The same fold over a stream. The table stays complete, so no state is ever dropped."""
+    return events.groupBy(sid, field).agg(F.max_by(value, F.struct(time, tie)).alias("value"), F.count("*").alias("updates"))
 
 
 def to_table(stream: DataFrame, name: str, checkpoint: str) -> DataStreamWriter:
-    """A writer that reads what there is and keeps the folded table complete; start it with .start()."""
-    return stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    """A writer that reads what there is and keeps the folded table complete; start it with .start().
+
+    Executors write the table as Parquet to the shared folder; the view called name reads the last one.
+    """
+    spark, path = stream.sparkSession, shared_dir(stream.sparkSession, "folded")
+    # The view is there from the start, and stays empty where the stream has no rows.
+    spark.createDataFrame([], stream.schema).createOrReplaceTempView(name)
+
+    def put(table: DataFrame, batch: int) -> None:
+        table.write.mode("overwrite").parquet(f"{path}/{batch}")
+        spark.read.schema(stream.schema).parquet(f"{path}/{batch}").createOrReplaceTempView(name)
+
+    return stream.writeStream.outputMode("complete").foreachBatch(put).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def activity_windows(events: DataFrame, time: str, size: str = "1 hour", late: str = "1 hour") -> DataFrame:

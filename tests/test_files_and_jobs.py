@@ -76,6 +76,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 30
 
 
+def test_stream_table_is_in_files(spark, tmp_path):
+    """The folded table is read from the shared folder, not from the driver, and goes on over later files."""
+    events = spark.range(40).select(F.lit("s").alias("sid"), F.col("id").alias("seq"), F.concat(F.lit("f"), F.col("id") % 3).alias("field"), F.col("id").cast("string").alias("value"), F.timestamp_seconds(F.col("id") * 86_400).alias("ts"))
+    for part in ("seq < 20", "seq >= 20"):
+        events.where(part).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"file://{tmp_path}/in")
+        jobs.to_table(jobs.fold_stream(stream, "ts"), "in_files", f"{tmp_path}/checkpoint").start().awaitTermination()
+        got = spark.table("in_files")
+        assert got.inputFiles() and sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.fold(events.where("seq < 20 or " + part), order=["ts", "seq"]).collect()))
+
+
 def test_state_values(spark):
     got = spark.createDataFrame([("True",), ("None",), ("5",), ('{"a": 1}',)], "v string").select(F.to_json(jobs.decoded(F.col("v")))).collect()
     assert [json.loads(r[0]) for r in got] == [["True"], ["None"], 5, {"a": 1}]
