@@ -9,6 +9,7 @@ length reaches WINDOW words, or where a whole shorter item ends, the words of th
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docdelta.llm.common import small_batches
+from docdelta.llm.common import discard, small_batches, written
 
 WINDOW = 10
-#: Words of items in one automaton. A larger benchmark takes several, one after the other over each batch.
+#: Words of items in one automaton, about. A larger benchmark takes several, one after the other over all documents.
 AUTOMATON_WORDS = 300_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -145,16 +146,25 @@ class ItemAutomaton:
         return out
 
 
-def automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, most_words: int = AUTOMATON_WORDS) -> list[ItemAutomaton]:
-    """Reads the items as they come, so that the driver holds the automata alone."""
-    out, held, size = [], [], 0
-    for item, text in benchmark.select(id_col, text_col).toLocalIterator():
-        held.append((item, own := words(text)))
-        size += len(own)
-        if size >= most_words:
-            out.append(ItemAutomaton(held, window))
-            held, size = [], 0
-    return [*out, ItemAutomaton(held, window)]
+def automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, most_words: int = AUTOMATON_WORDS) -> tuple[DataFrame, int]:
+    """(shard, automaton) of the items dealt by hash, pickled and written, and the number of shards.
+
+    Each is built by a task of its own, so neither the driver nor a worker ever holds all of them.
+    """
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(words(x)) for x in batch.column(0).to_pylist())], pa.int64())], ["n"])
+
+    def build(table: pa.Table) -> pa.Table:
+        held = [(item, words(text)) for item, text in zip(table.column("item").to_pylist(), table.column("text").to_pylist(), strict=True)]
+        return pa.table({"shard": table.column("shard")[:1], "automaton": pa.array([pickle.dumps(ItemAutomaton(held, window))], pa.binary())})
+
+    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
+    total = items.select("text").mapInArrow(sizes, "n long").agg(F.sum("n")).head()[0] or 0
+    n = max(1, -(-total // most_words))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    return written(dealt.groupBy("shard").applyInArrow(build, "shard long, automaton binary"), "automata"), n
 
 
 def _covered(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -168,6 +178,13 @@ def _covered(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _hits(automaton: ItemAutomaton, text: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
+    """The covered (start, end) of a text's words, and the items that occur."""
+    if len(text) < automaton.shortest or not (hits := automaton.matches(text)):
+        return [], set()
+    return _covered(hits), {str(x) for x in automaton.occurring(text, hits)}
+
+
 def items_digest(items: set[object]) -> str:
     return hashlib.sha256(",".join(sorted(str(x) for x in items)).encode()).hexdigest()
 
@@ -201,33 +218,63 @@ def scan(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = [spark.sparkContext.broadcast(x) for x in automata(benchmark, item_id, item_text, window, most_words)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shards, n_shards = automata(benchmark, item_id, item_text, window, most_words)
+    own = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    out = f"n_words long, n_hit long, n_items long, items_sha256 string, clean string{own}"
+
+    def automaton(shard: int) -> bytes:
+        rows = shards.where(F.col("shard") == shard).select("automaton").collect()  # one row at most
+        return bytes(rows[0][0]) if rows else pickle.dumps(ItemAutomaton([], window))
+
+    def finished(texts: list[str | None], split: list[list[str]], found: list[tuple[list[tuple[int, int]], set[str]]]) -> list[pa.Array]:
+        return [
+            pa.array([len(x) for x in split], pa.int64()),
+            pa.array([sum(b - a for a, b in x) for x, _ in found], pa.int64()),
+            pa.array([len(x) for _, x in found], pa.int64()),
+            pa.array([items_digest(x) for _, x in found], pa.string()),
+            pa.array([cut(x, y) if y else x for x, (y, _) in zip(texts, found, strict=True)], pa.string()),
+        ]
+
+    names = ["n_words", "n_hit", "n_items", "items_sha256", "clean"]
+    if n_shards == 1:
+        shared = spark.sparkContext.broadcast(automaton(0))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = pickle.loads(shared.value)
+            for batch in batches:
+                texts = batch.column(0).to_pylist()
+                split = [words(x) for x in texts]
+                yield pa.RecordBatch.from_arrays([*finished(texts, split, [_hits(held, x) for x in split]), *batch.columns[1:]], [*names, *batch.schema.names[1:]])
+
+        return docs.select(F.col(text_col).alias("__text"), "*").mapInArrow(run, out)
+
+    rows = written(docs.select(F.monotonically_increasing_id().alias("__row"), F.col(text_col).alias("__text"), "*"), "documents")
+    passes = []
+    for shard in range(n_shards):
+        shared = spark.sparkContext.broadcast(automaton(shard))
+
+        def one(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held = pickle.loads(shared.value)
+            for batch in batches:
+                found = [(row, *_hits(held, words(x))) for row, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                found = [x for x in found if x[1]]
+                spans = pa.array([[{"a": a, "b": b} for a, b in x[1]] for x in found], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), spans, pa.array([sorted(x[2]) for x in found], pa.list_(pa.string()))], ["row", "spans", "items"])
+
+        passes.append(written(rows.select("__row", "__text").mapInArrow(one, "row long, spans array<struct<a: long, b: long>>, items array<string>"), "hits"))
+        shared.destroy()
+    discard(shards)
+    hits = spark.read.schema(passes[0].schema).parquet(*[x.written_to for x in passes])
+    hits = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            texts = batch.column(0).to_pylist()
-            split = [words(x) for x in texts]
-            found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-            items: list[set[object]] = [set() for _ in range(n)]
-            for each in shared:
-                automaton = each.value
-                for i, own in enumerate(split):
-                    if len(own) >= automaton.shortest and (hits := automaton.matches(own)):
-                        found[i] += hits
-                        items[i] |= automaton.occurring(own, hits)
-            spans = [_covered(x) if x else [] for x in found]
-            columns = [
-                pa.array([len(x) for x in split], pa.int64()),
-                pa.array([sum(b - a for a, b in x) for x in spans], pa.int64()),
-                pa.array([len(x) for x in items], pa.int64()),
-                pa.array([items_digest(x) for x in items]),
-                pa.array([cut(x, y) if y else x for x, y in zip(texts, spans, strict=True)], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[1:]], ["n_words", "n_hit", "n_items", "items_sha256", "clean", *batch.schema.names[1:]])
-
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select(F.col(text_col).alias("__text"), "*").mapInArrow(run, f"n_words long, n_hit long, n_items long, items_sha256 string, clean string, {own}")
+            spans, items, texts = (batch.column(i).to_pylist() for i in range(3))
+            found = [(_covered([(y["a"], y["b"] - y["a"]) for y in x or ()]), set(z or ())) for x, z in zip(spans, items, strict=True)]
+            yield pa.RecordBatch.from_arrays([*finished(texts, [words(x) for x in texts], found), *batch.columns[3:]], [*names, *batch.schema.names[3:]])
+
+    joined = rows.join(hits, F.col("__row") == F.col("row"), "left")
+    return joined.select("__spans", "__items", "__text", *[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(merged, out)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_hit: int = 0, max_coverage: float = 0.5, text_col: str = "text") -> DataFrame:

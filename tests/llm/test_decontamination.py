@@ -40,6 +40,29 @@ def test_hits_equal_brute_force(spark):
         assert got == {i: brute(items, t) for i, t in docs}
 
 
+def test_a_large_benchmark_is_held_one_automaton_at_a_time(spark, monkeypatch):
+    """Repeated rows, null ids and an item id in several automata too."""
+    items, docs = corpus(3)
+    items += [(items[i][0], items[i + 1][1]) for i in range(0, 20, 2)]
+    live, most = set(), []
+    plain = type(spark.sparkContext).broadcast
+
+    def counted(self, value):
+        out = plain(self, value)
+        live.add(id(out))
+        most.append(len(live))
+        end = out.destroy
+        out.destroy = lambda *a: (live.discard(id(out)), end(*a))[1]
+        return out
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
+    rows = docs + [docs[0], (None, docs[1][1]), (None, None)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in dc.scan(spark.createDataFrame(rows, "doc_id long, text string"), b, most_words=150).collect()]
+    assert sorted(got, key=repr) == sorted([(i, *brute(items, t)) for i, t in rows], key=repr)
+    assert len(most) > 3 and max(most) == 1
+
+
 def test_automaton_has_exactly_the_passages():
     a = dc.ItemAutomaton([(1, list("abcbc")), (2, list("bcd"))], window=2)
     assert a.matches(list("xbcbd")) == [(1, 2), (2, 2)]
