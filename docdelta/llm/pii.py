@@ -9,7 +9,8 @@ Base kinds (leftmost, non-overlapping within each kind, failing matches dropped
 
 Scored kinds, added to those when their score reaches MIN_SCORE:
 
-* iban, two letters, two check digits and 11 to 30 more, remainder 1 modulo 97
+* iban, two letters, two check digits and 11 to 30 more, remainder 1 modulo 97; the candidate ends
+  where its country's length is reached, or at the last place that passes where the country has none
 * ssn, three, two and four digits with hyphens, which needs a context word
 """
 
@@ -38,7 +39,16 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}))")
+#: Characters of an IBAN by country, as its registry has them.
+_IBAN_LENGTHS = {
+    k: n
+    for n, each in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for k in each.split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 #: Score of a span that its checksum confirms, or that has none, and what a context word adds.
@@ -90,6 +100,21 @@ def _matches(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
     return (m.span() for m in pattern.finditer(text))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    free = 0
+    for m in _IBAN.finditer(text):
+        if m.start() < free:
+            continue
+        ends = [i + 1 for i in range(m.start(), m.end(1)) if text[i] != " " and not (text[i + 1 : i + 2].isascii() and text[i + 1 : i + 2].isalnum())]
+        size = {end: len(text[m.start() : end].replace(" ", "")) for end in ends}
+        wanted = _IBAN_LENGTHS.get(m[0][:2])
+        for end in reversed(ends):
+            if (size[end] == wanted if wanted else size[end] >= 15) and mod97(text[m.start() : end]):
+                yield m.start(), end
+                free = end
+                break
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base kinds in the order of BASE, then by start."""
     out = [("email", a, b) for a, b in _emails(text)]
@@ -111,7 +136,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
     if not text:
         return []
     out = [(kind, a, b, score(kind, text, a, b)) for kind, a, b in base_spans(text)]
-    out += [("iban", a, b, s) for a, b in _matches(_IBAN, text) if mod97(text[a:b]) and (s := score("iban", text, a, b)) >= MIN_SCORE]
+    out += [("iban", a, b, s) for a, b in _ibans(text) if (s := score("iban", text, a, b)) >= MIN_SCORE]
     if "-" in text:
         out += [("ssn", a, b, s) for a, b in _matches(_SSN, text) if (s := score("ssn", text, a, b)) >= MIN_SCORE]
     return out

@@ -46,6 +46,16 @@ def test_scored_kinds_are_added_and_need_their_context():
     assert kinds("SSN: 123-45-6789") == [("ssn", "123-45-6789")] and kinds("part 123-45-6789") == []
 
 
+def test_ibans_end_before_the_words_behind_them():
+    ibans = lambda t: [t[a:b] for k, a, b, _ in pii.spans(t) if k == "iban"]
+    assert ibans("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF") == ["DE89 3704 0044 0532 0130 00"]
+    assert ibans("IBAN GB82 WEST 1234 5698 7654 32 I paid") == ["GB82 WEST 1234 5698 7654 32"]
+    assert ibans("NO93 8601 1117 947 DE89 3704 0044 0532 0130 00 UND SO") == ["NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00"]
+    assert ibans("AB12 CD34 BE68 5390 0754 7034 OK") == ["BE68 5390 0754 7034"]
+    assert ibans("IBAN DE89370400440532013000BIC") == ibans("xDE89370400440532013000") == []
+    assert pii.spans("AB12" * 50_000) == pii.spans("AB12 " * 20_000) == []
+
+
 def test_long_runs_are_linear():
     assert pii.spans("1" * 200_000) == [] and pii.spans("a" * 200_000) == [] and pii.spans("a@" * 50_000) == []
 
