@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ SEARCHED = (
     "display_segments_a", "display_segments_b", "result_origin", "decision_source", "model_name", "chunk_index_a", "chunk_index_b",
 )
 FIRST_ROWS, MORE_ROWS = 40, 30
+#: Vectors that a block of the search has, about.
+BLOCK = 2000
 
 
 def _rank(values: dict[str, int], c: Column) -> Column:
@@ -118,6 +122,42 @@ def top_similar(vectors: DataFrame, query_id: int, k: int = 5, id_col: str = "ve
     return out.orderBy(F.desc("cosine"), "vec_id").limit(k)
 
 
+def top_similar_each(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, cosine): top_similar for every row of queries. Null vectors and those of length 0 take no part.
+
+    Queries and vectors are dealt to blocks; a task has one block of either and hands on k rows for each query.
+    """
+
+    def dealt(df: DataFrame) -> tuple[DataFrame, int]:
+        df = df.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v")).where("id is not null and v is not null")
+        n = max(1, -(-df.count() // BLOCK))
+        return df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n))), n
+
+    def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        def unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            ids, rows = table.column("id").to_numpy(), table.column("v").to_pylist()
+            v = np.array(rows, np.float64).reshape(len(rows), -1)
+            size = np.sqrt((v * v).sum(1))
+            return ids[size > 0], v[size > 0] / size[size > 0, None]
+
+        out = []
+        if left.num_rows and right.num_rows:
+            (asked, q), (ids, v) = unit(left), unit(right)
+            cosines = np.round(q @ v.T, 6)
+            for i, own in zip(asked, cosines, strict=True):
+                order = np.lexsort((ids, -own))[: k + 1]
+                out += [(int(i), int(ids[j]), float(own[j])) for j in order if ids[j] != i][:k]
+        return pa.Table.from_pylist([{"query_id": a, "vec_id": b, "cosine": c} for a, b, c in out], pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("cosine", pa.float64())]))
+
+    (asked, n_asked), (held, n_held) = dealt(queries), dealt(vectors)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("id", "v", F.col("block").alias("q"), all_of(n_held).alias("h")).groupBy("q", "h")
+    right = held.select("id", "v", all_of(n_asked).alias("q"), F.col("block").alias("h")).groupBy("q", "h")
+    found = left.cogroup(right).applyInArrow(best, "query_id long, vec_id long, cosine double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "cosine")
+
+
 def top_rows(rows: DataFrame, per: str, order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group."""
     return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col("__rank") <= k).drop("__rank")

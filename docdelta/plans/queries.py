@@ -367,6 +367,14 @@ def vector_topk(spark, d):
     return view.top_similar(_t(spark, d, "embeddings"), 0)
 
 
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(c.v, q.v), 6) AS cosine FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def vector_search(spark, d):
+    """Every vector whose id is divisible by 20 against all."""
+    vectors = _t(spark, d, "embeddings")
+    return view.top_similar_each(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 'añadido' WHEN 'view' THEN 'eliminado' ELSE NULL END AS change_type, CASE user_id % 3 WHEN 0 THEN 'alta' WHEN 1 THEN 'media' ELSE 'media' END AS confidence, CASE user_id % 3 WHEN 0 THEN 'critica' WHEN 1 THEN 'baja' ELSE 'media' END AS severity FROM events")
 def level_synonyms(spark, d):
     e, u = F.col("event_type"), F.col("user_id") % 3

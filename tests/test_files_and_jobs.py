@@ -110,6 +110,18 @@ def test_declared_tables(spark):
         assert spark.createDataFrame([], ddl).columns, name
 
 
+def test_vector_search_asks_for_every_twentieth(spark, monkeypatch):
+    monkeypatch.setattr(view, "BLOCK", 90)
+    d = "/root/testdata/sf0.01"
+    got = {}
+    for r in entry.queries()["vector_search"](spark, d).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.cosine))
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet")
+    assert set(got) == {r.vec_id for r in vectors.where("vec_id % 20 = 0").collect()}
+    for query in sorted(got)[:3]:
+        assert [x[1:] for x in sorted(got[query])] == [tuple(r) for r in view.top_similar(vectors, query).collect()]
+
+
 def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 40
     assert entry.entry(spark).count() > 0
