@@ -13,10 +13,19 @@ A document's set holds its distinct k-word shingles. Two documents link when
    index has a key for each rare prefix shingle and for each pair of frequent ones. Pairs of pairs
    grow with the prefix, so sets above SMALL shingles index the frequent ones singly as well;
    sizes between take both forms, and so every possible pair of sizes has one in common.
-4. First each node is verified against one leader, the one with which it shares most keys; large
-   groups of near copies become stars, linear in their size. Pairs whose keys still join two
-   different components are then verified all, so no link between different components is lost.
-5. Verification intersects the whole sets, computed again from whole texts.
+4. Each key has a leader, the member with the largest share of keys that others hold too: the least
+   changed text of a group of copies. Each node is verified against the leader with which it shares
+   most keys; large groups of near copies become stars, linear in their size.
+5. Keys that still join different components are open. One with at most DIRECT members has all its
+   pairs verified. In a larger one each member x is compared with the leader L, once for each (x, L),
+   and gives its delta d(x), the symmetric difference of the two sets. Since a and b differ in exactly
+   d(a) against d(b), a link of a and b is an overlap of their deltas:
+   2 * |d(a) & d(b)| >= |d(a)| + |d(b)| - H, with H = (|a| + |b|) * (100 - percent) / (100 + percent).
+   Of two members without a common component one at least isn't linked with L, so its delta is longer
+   than H, and the other shares more than half of its own delta with it. The deltas' prefixes, tokens
+   that few members of the group lack or add first, are the keys of the next turn, which goes through
+   steps 4 and 5 again. What texts of a group have in common is in no delta and makes no key.
+6. Verification intersects the whole sets, computed again from whole texts.
 """
 
 from __future__ import annotations
@@ -27,7 +36,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docdelta.llm.common import connected, discard, small_batches, utf8, written
@@ -43,6 +52,13 @@ RUN_MIN = 4
 SMALL = 200
 #: Bits of the filter that picks the texts worth moving; it lets too many pass, never too few.
 FILTER_BITS = 1 << 24
+#: Open keys with at most so many members have their pairs verified without deltas.
+DIRECT = 4
+#: Turns with deltas. They end earlier where the keys left make no more pairs than there were entries at
+#: first; the pairs of what is left then are verified without deltas.
+TURNS = 6
+#: What an entry may meet: entries linked with the leader (MEETS_IN), others (MEETS_OUT).
+IS_IN, MEETS_IN, MEETS_OUT = 1, 2, 4
 #: Distinct nodes that a task remembers to leave out copies.
 SEEN = 1_000_000
 
@@ -118,7 +134,7 @@ def _index(k: int, percent: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, nodes, sizes = [], [], []
+            keys, nodes, sizes, counts = [], [], [], []
             for text in utf8(batch.column(0)):
                 shingles = shingle_set(text, k)
                 node = set_digest(shingles)
@@ -134,8 +150,9 @@ def _index(k: int, percent: int, frequent: np.ndarray):
                 keys.append(own)
                 nodes.append(np.full(len(own), node, np.int64))
                 sizes.append(np.full(len(own), len(shingles), np.int32))
+                counts.append(np.full(len(own), len(own), np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([y.view(np.int64) for y in keys], nodes, sizes)], ["key", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([y.view(np.int64) for y in keys], nodes, sizes, counts)], ["key", "node", "n", "keys"])
 
     return run
 
@@ -173,37 +190,152 @@ def _filter(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, written and tested on the whole texts; texts without a pair don't move."""
+def _picked(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the texts (node, text) that the pairs (a, b) may need."""
     bits = _filter(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    texts = text.mapInArrow(_texts(k, bits), "node long, text binary").groupBy("node").agg(F.first("text").alias("text"))
-    texts = written(texts, "texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = (batch.column(0).to_numpy(zero_copy_only=False) >> 8) % FILTER_BITS
+            yield batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+
+    return texts.mapInArrow(run, "node long, text binary")
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, with_delta: bool = False) -> DataFrame:
+    """Rows (a, b, n_a, n_b, linked, delta) for the pairs (a, b), tested on the whole texts and written.
+
+    delta holds the hashes that one of the sets has alone. Without it, the links alone are returned.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, unpack = None, None, zstandard.ZstdDecompressor()
         for batch in batches:
             ids_a, ids_b = (batch.column(i).to_pylist() for i in (0, 1))
-            keep = []
-            for b, text_a, text_b in zip(ids_b, utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
+            rows = []
+            for a, b, text_a, text_b in zip(ids_a, ids_b, utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
                 if b != last:
                     last, held = b, shingle_set(unpack.decompress(text_b), k)
                 own = shingle_set(unpack.decompress(text_a), k)
                 both = overlap(own, held)
-                keep.append(100 * both >= percent * (len(own) + len(held) - both))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(ids, keep, strict=True) if y], pa.int64()) for ids in (ids_a, ids_b)], ["a", "b"])
-
+                linked = 100 * both >= percent * (len(own) + len(held) - both)
+                if with_delta:
+                    rows.append((a, b, len(own), len(held), linked, np.setxor1d(own, held, assume_unique=True).view(np.int64)))
+                elif linked:
+                    rows.append((a, b, len(own), len(held), True, None))
+            columns = zip(*rows, strict=True) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
+
+    names = ["a", "b", "n_a", "n_b", "linked", "delta"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
     small_batches(pairs.sparkSession)
-    sided = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    sided = sided.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    out = written(sided.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
-    discard(texts, pairs)
+    picked = written(_picked(texts, pairs), "picked")
+    sided = pairs.join(picked.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    sided = sided.join(picked.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    out = written(sided.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_a int, n_b int, linked boolean, delta array<long>"), "compared")
+    discard(picked, pairs)
     return out
 
 
-def _sizes_fit(a: str, b: str, percent: int):
+def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
+def _open(entries: DataFrame, label: DataFrame) -> DataFrame:
+    """The entries of keys that join different components, with each node's component; written."""
+    named = written(entries.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    out = written(named.join(keys, "key"), "open")
+    discard(named)
+    return out
+
+
+def _leads(entries: DataFrame) -> DataFrame:
+    """(key, lead, n_lead, of_lead, members): each key's leader with its set's size and component; written."""
+    shared = entries.groupBy("node").agg(F.count("*").alias("shared"))
+    each = entries.join(shared, "node").withColumn("share", F.col("shared") / F.col("keys"))
+    found = each.groupBy("key").agg(F.max(F.struct("share", "node", "n", "component")).alias("x"), F.count("*").alias("members"))
+    return written(found.select("key", F.col("x.node").alias("lead"), F.col("x.n").alias("n_lead"), F.col("x.component").alias("of_lead"), "members"), "leads")
+
+
+def _stars(entries: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): each node with one leader of another component, the one with which it shares most keys."""
+    met = entries.join(leads, "key").where((F.col("component") != F.col("of_lead")) & _sizes_fit("n", "n_lead", percent))
+    met = met.groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("keys"))
+    return written(met.groupBy("a").agg(F.max_by("b", F.struct("keys", "b")).alias("b")), "pairs")
+
+
+def _direct(entries: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components that share a key and may link."""
+    x, y = entries.alias("x"), entries.alias("y")
+    roles = (
+        (F.col("x.role").bitwiseAND(IS_IN) > 0) & (F.col("y.role").bitwiseAND(MEETS_IN) > 0)
+        | (F.col("y.role").bitwiseAND(IS_IN) > 0) & (F.col("x.role").bitwiseAND(MEETS_IN) > 0)
+        | (F.col("x.role").bitwiseAND(F.col("y.role")).bitwiseAND(MEETS_OUT) > 0)
+    )
+    # From its first common token on, a pair can share no more tokens than either delta still has.
+    most = 2 * (100 + percent) * F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at"))
+    reach = most >= (100 + percent) * (F.col("x.d") + F.col("y.d")) - (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _sizes_fit("x.n", "y.n", percent) & roles & reach)
+    return written(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+
+
+def _delta_entries(deltas: DataFrame, percent: int) -> DataFrame:
+    """Entries from the prefixes of the deltas (a, b, n_a, n_b, linked, delta) to leaders b."""
+    less, more = 100 - percent, 100 + percent
+    each = deltas.select("a", "b", "n_a", "n_b", "linked", F.size("delta").alias("d"), F.explode("delta").alias("token"))
+    held = each.groupBy("b", "token").agg(F.count("*").alias("held")).where("held > 1")
+    own = Window.partitionBy("b", "a")
+    at = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "token")) - 1  # tokens of one delta alone come first
+    some = each.join(held, ["b", "token"]).withColumn("at", at)
+    d = F.col("d")
+    # With a partner that isn't linked with the leader, more than so many tokens are shared.
+    with_out = F.greatest(F.lit(0), F.floor((d * more + (F.col("n_b") - F.col("n_a")) * less) / (2 * more)))
+    # With any partner at least so many, as no delta is shorter than this one by more than H.
+    with_any = F.greatest(F.lit(1), d - F.floor(F.col("n_a") * less / percent))
+    meets_out, meets_in = F.col("at") < d - with_out, F.col("at") < d - with_any + 1
+    role = F.when(F.col("linked"), F.when(meets_out, IS_IN).otherwise(0)).otherwise(F.when(meets_in, MEETS_IN).otherwise(0) + F.when(meets_out, MEETS_OUT).otherwise(0))
+    some = some.withColumn("role", role.cast("int")).where("role > 0")
+    return some.select(F.xxhash64("b", "token").alias("key"), F.col("a").alias("node"), F.col("n_a").alias("n"), F.col("d").alias("keys"), "role", "d", F.col("at").cast("int").alias("at"))
+
+
+def _links(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between nodes that connect what the nodes of the entries' keys connect; written."""
+    links: list[DataFrame] = []
+
+    def add(found: DataFrame) -> None:
+        links.append(found.where("linked").select("a", "b"))
+
+    def label() -> DataFrame:
+        out = links[0]
+        for x in links[1:]:
+            out = out.unionByName(x)
+        return connected(out)
+
+    start = {"role": F.lit(MEETS_OUT), "d": F.lit(0), "at": F.lit(0), "component": F.col("node")}
+    entries = written(entries.withColumns(start), "open")
+    linear = entries.count()
+    for turn in range(TURNS + 1):
+        leads = _leads(entries)
+        pairs = leads.agg(F.sum(F.col("members") * (F.col("members") - 1) / 2)).head()[0] or 0
+        add(_compared(_stars(entries, leads, percent), texts, k, percent))
+        left = _open(entries.drop("component"), label())
+        discard(entries)
+        large = leads.where(F.lit(turn < TURNS and (turn == 0 or pairs > linear)) & (F.col("members") > DIRECT)).select("key", "lead")
+        few = left.join(large.select("key"), "key", "left_anti")
+        add(_compared(_direct(few, percent), texts, k, percent))
+        far = written(left.join(large, "key").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "far")
+        discard(left, leads)
+        if not far.head(1):
+            break
+        deltas = _compared(far, texts, k, percent, with_delta=True)
+        add(deltas)
+        entries = _open(_delta_entries(deltas, percent), label())
+        if not entries.head(1):
+            break
+    return label()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of docs.
 
@@ -220,31 +352,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     often = seen.where("kind = 1").groupBy("b").agg(F.sum("a").alias("held")).orderBy(F.desc("held"), "b").limit(FREQUENT)
     frequent = np.sort(np.array([x.b for x in often.collect()], np.int64).view(np.uint64))
 
-    entries = written(docs.select("text").mapInArrow(_index(k, percent, frequent), "key long, node long, n int"), "index")
+    entries = written(docs.select("text").mapInArrow(_index(k, percent, frequent), "key long, node long, n int, keys int"), "index")
     sizes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("size"))
     sizes = written(sizes, "nodes")
-    size_of = lambda node: sizes.select(F.col("node").alias(node), F.col("size").alias(f"n_{node}"))
-    text = docs.select("text")
-
-    leaders = entries.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("key", "lead")
-    shared = written(entries.join(leaders, "key"), "shared")
+    several = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key")
+    shared = written(entries.join(several, "key").distinct(), "shared")
     discard(entries)
-    first = shared.where("node != lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("keys"))
-    first = first.join(size_of("a"), "a").join(size_of("b"), "b").where(_sizes_fit("n_a", "n_b", percent))
-    first = written(first.groupBy("a").agg(F.max_by("b", F.struct("keys", "b")).alias("b")), "pairs")
-    links = _verified(first, text, k, percent)
-    label = connected(links)
-
-    named = shared.join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    left = written(named.join(open_keys, "key").distinct(), "open")
-    discard(shared)
-    right = left.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-    rest = left.join(right, (left["key"] == right["key"]) & (F.col("component") < F.col("component_b")) & _sizes_fit("n", "n_b", percent))
-    rest = written(rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
-    discard(left)
-    more = _verified(rest, text, k, percent)
-    label = connected(links.unionByName(more))
+    texts = docs.select("text").mapInArrow(_texts(k, _filter(shared)), "node long, text binary").groupBy("node").agg(F.first("text").alias("text"))
+    texts = written(texts, "texts")
+    label = _links(shared, texts, k, percent)
+    discard(shared, texts)
 
     nodes = sizes.join(label, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
