@@ -7,7 +7,11 @@ forward Viterbi scores are exact costs of the way back to the start, so A-star s
 from the end pops the paths in order of their scores.
 
 The model ranks its pieces by merge order and carries no probabilities; a piece's score is the
-log-probability of its rank under Zipf's law. Characters without a piece become byte pieces.
+log-probability of its rank under Zipf's law, a whole number of 1 / UNIT. Sums of scores are thus
+exact, however a part is solved. Characters without a piece become byte pieces.
+
+Of segmentations with equal scores the one whose last piece is longest comes first, then the one whose
+piece before that is longest, and so on.
 """
 
 from __future__ import annotations
@@ -29,12 +33,15 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Parts whose best paths a worker remembers (more only if one batch has more), and the longest that are solved together.
 CACHE, CACHE_CHARS = 400_000, 40
+#: Scores are counted in such fractions, as integers.
+UNIT = 1 << 24
+_NEVER = -(1 << 60)
 SPACE = "▁"
 _PART = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _BASE, _SLOT_BITS, _SIEVE_BITS, _TOGETHER, _WIDTHS = 0x100000001B3, 21, 19, 16384, (6, 9, 12, 16, 24, 40)
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
-Path = tuple[float, bytes]
+Path = tuple[int, bytes]
 
 
 class Pieces:
@@ -47,8 +54,9 @@ class Pieces:
         self.byte = {int(m[1], 16): i for i, x in enumerate(self.names) if (m := _BYTE.fullmatch(x)) and processor.is_byte(i)}
         normal = [i for i in range(size) if not (processor.is_byte(i) or processor.is_control(i) or processor.is_unknown(i))]
         total = math.log(sum(1 / r for r in range(1, len(normal) + 1)))
-        self.arcs = {self.names[i]: (i, -math.log(r) - total) for r, i in enumerate(normal, 1)}
-        self.byte_score = -math.log(len(normal)) - total
+        #: The id and the score of each piece, in units.
+        self.arcs = {self.names[i]: (i, round((-math.log(r) - total) * UNIT)) for r, i in enumerate(normal, 1)}
+        self.byte_score = round((-math.log(len(normal)) - total) * UNIT)
         self.longest = max(map(len, self.arcs))
         self.raw = [bytes([int(m[1], 16)]) if i in set(self.byte.values()) and (m := _BYTE.fullmatch(x)) else x.replace(SPACE, " ").encode() for i, x in enumerate(self.names)]
         self._index()
@@ -60,7 +68,7 @@ class Pieces:
         arcs = {chr(x): (i, self.byte_score) for x, i in self.byte.items() if x < 128} | self.arcs
         names = list(dict.fromkeys([*arcs, *(x[:k] for x in arcs for k in range(1, len(x)))]))
         self.ids = np.array([*(arcs[x][0] if x in arcs else -1 for x in names), -1], np.int32)
-        self.scores = np.array([*(arcs[x][1] if x in arcs else -np.inf for x in names), -np.inf])
+        self.scores = np.array([*(arcs[x][1] if x in arcs else _NEVER for x in names), _NEVER], np.int64)
         self.powers = np.array([pow(_BASE, k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
         hashes = []
         for name in names:
@@ -81,14 +89,14 @@ class Pieces:
         for k, slot in enumerate(slots.tolist()):
             self.table[int(self.table[0, slot] != len(names)), slot] = k
 
-    def solve(self, parts: list[str]) -> dict[str, tuple[float, bytes, float]]:
-        """For distinct parts: best score, its ids, and how much worse the second path is.
+    def solve(self, parts: list[str]) -> dict[str, tuple[int, bytes, int]]:
+        """For distinct parts: best score, its ids, and how much worse the second path is (-1 without one).
 
         Parts of similar length go through the lattice together: forward scores, scores from each
         place to the end, and the best path through any arc that the best path leaves out, which is
         the second one. Parts with characters that need byte pieces, and long ones, go one by one.
         """
-        out: dict[str, tuple[float, bytes, float]] = {}
+        out: dict[str, tuple[int, bytes, int]] = {}
         by_width: dict[int, list[str]] = {}
         for part in parts:
             by_width.setdefault(next((w for w in _WIDTHS if len(part) <= w), 0), []).append(part)
@@ -97,7 +105,7 @@ class Pieces:
                 own = group[i : i + _TOGETHER]
                 for k in self._solve_together(own, width, out) if width else range(len(own)):
                     two = self.n_paths(own[k], 2)
-                    out[own[k]] = two[0][0], two[0][1], two[0][0] - two[1][0] if len(two) > 1 else math.inf
+                    out[own[k]] = two[0][0], two[0][1], two[0][0] - two[1][0] if len(two) > 1 else -1
         return out
 
     def _solve_together(self, group: list[str], width: int, out: dict) -> list[int]:
@@ -108,7 +116,7 @@ class Pieces:
         prefix = np.zeros((width + 1, n), np.uint64)
         for j in range(width):
             prefix[j + 1] = prefix[j] * np.uint64(_BASE) + codes[j]
-        forward, back, last = np.full((width + 1, n), -np.inf), np.zeros((width + 1, n), np.int8), np.full((width + 1, n), -1, np.int32)
+        forward, back, last = np.full((width + 1, n), _NEVER), np.zeros((width + 1, n), np.int8), np.full((width + 1, n), -1, np.int32)
         forward[0] = 0
         arcs: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         slow, shift = np.zeros(n, bool), np.uint64(64 - _SLOT_BITS)
@@ -138,10 +146,10 @@ class Pieces:
                 score = self.scores[piece]
                 arcs.append((i, i + k, to, score))
                 total = forward[i, to] + score
-                better = total > forward[i + k, to]
+                better = total > forward[i + k, to]  # of equal ones the first stays: the longest piece that ends here
                 to = to[better]
                 forward[i + k, to], back[i + k, to], last[i + k, to] = total[better], k, self.ids[piece[better]]
-        behind = np.full((width + 1, n), -np.inf)
+        behind = np.full((width + 1, n), _NEVER)
         behind[size, every] = 0
         for i, j, at, score in reversed(arcs):
             behind[i, at] = np.maximum(behind[i, at], score + behind[j, at])
@@ -151,24 +159,25 @@ class Pieces:
             steps.append(last[at, every])
             at = at - back[at, every]
             on[at, every] = True
-        second = np.full(n, -np.inf)
+        second = np.full(n, _NEVER)
         for i, j, at, score in arcs:
             off = ~(on[j, at] & (back[j, at] == j - i))
             at = at[off]
             second[at] = np.maximum(second[at], forward[i, at] + score[off] + behind[j, at])
         ids = np.ascontiguousarray(np.array(steps[::-1], np.int32).reshape(len(steps), n).T)
         first = (ids < 0).sum(1)
-        best = np.where(slow, 0.0, forward[size, every])
-        for part, row, skip, score, worse, odd in zip(group, ids, first.tolist(), best.tolist(), np.maximum(best - second, 0.0).tolist(), slow.tolist(), strict=True):
+        best = np.where(slow, 0, forward[size, every])
+        worse = np.where(second > _NEVER // 2, best - second, -1)
+        for part, row, skip, score, worse, odd in zip(group, ids, first.tolist(), best.tolist(), worse.tolist(), slow.tolist(), strict=True):
             if not odd:
                 out[part] = score, row[skip:].tobytes(), worse
         return np.flatnonzero(slow).tolist()
 
-    def forward(self, part: str) -> tuple[list[float], list[list[tuple[int, float, tuple[int, ...]]]]]:
-        """The best score to each place, and the arcs (start, score, ids) that end there."""
+    def forward(self, part: str) -> tuple[list[int], list[list[tuple[int, int, tuple[int, ...]]]]]:
+        """The best score to each place, and the arcs (start, score, ids) that end there, longest first."""
         n, get = len(part), self.arcs.get
-        best = [0.0] + [-math.inf] * n
-        ends: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
+        best = [0] + [_NEVER] * n
+        ends: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         for i in range(n):
             here = best[i]
             for j in range(i + 1, min(n, i + self.longest) + 1):
@@ -183,25 +192,15 @@ class Pieces:
                         best[j] = here + score
         return best, ends
 
-    def paths(self, part: str, n: int) -> list[Path]:
-        """The n best (score, ids as int32 bytes), best first; ties in the order of their ids."""
-        best, ends = self.forward(part)
-        out: list[Path] = []
-        heap: list[tuple[float, tuple[int, ...], int, float]] = [(-best[-1], (), len(part), 0.0)]
-        while heap and len(out) < n:
-            cost, ids, at, behind = heapq.heappop(heap)
-            if at == 0:
-                out.append((-cost, np.array(ids, np.int32).tobytes()))
-                continue
-            for start, score, own in ends[at]:
-                heapq.heappush(heap, (-(best[start] + score + behind), own + ids, start, score + behind))
-        return out
+    def n_paths(self, part: str, n: int) -> list[Path]:
+        """The n best (score, ids as int32 bytes), best first.
 
-    def _long_paths(self, part: str, n: int) -> list[Path]:
-        """The same for long parts: ids are linked, not copied, and ties are not put in order."""
+        Of paths with equal scores the search goes on with the one it found last, and it finds arcs with
+        short pieces first. It so reaches the first of the best paths in the order of ties.
+        """
         best, ends = self.forward(part)
         out: list[Path] = []
-        heap: list[tuple[float, int, int, float, tuple]] = [(-best[-1], 0, len(part), 0.0, ())]
+        heap: list[tuple[int, int, int, int, tuple]] = [(-best[-1], 0, len(part), 0, ())]
         pushed = 0
         while heap and len(out) < n:
             cost, _, at, behind, tail = heapq.heappop(heap)
@@ -212,18 +211,15 @@ class Pieces:
                     tail = tail[1]
                 out.append((-cost, np.array(ids, np.int32).tobytes()))
                 continue
-            for start, score, own in ends[at]:
+            for start, score, own in reversed(ends[at]):
                 pushed += 1
                 heapq.heappush(heap, (-(best[start] + score + behind), -pushed, start, score + behind, (own, tail)))
         return out
 
-    def n_paths(self, part: str, n: int) -> list[Path]:
-        return self.paths(part, n) if len(part) <= CACHE_CHARS else self._long_paths(part, n)
-
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
         self.best_ids: list[bytes] = []
-        self.best_score, self.gap = np.empty(0), np.empty(0)
+        self.best_score, self.gap = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def learn(self, parts: set[str]) -> None:
         """Remembers the best path of the parts, and forgets all others where there would be too many."""
@@ -234,8 +230,8 @@ class Pieces:
         solved = self.solve(missing)
         self.place.update(zip(solved, range(len(self.place), len(self.place) + len(solved)), strict=True))
         self.best_ids += [x[1] for x in solved.values()]
-        self.best_score = np.concatenate((self.best_score, [x[0] for x in solved.values()]))
-        self.gap = np.concatenate((self.gap, [x[2] for x in solved.values()]))
+        self.best_score = np.concatenate((self.best_score, np.array([x[0] for x in solved.values()], np.int64)))
+        self.gap = np.concatenate((self.gap, np.array([x[2] for x in solved.values()], np.int64)))
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -253,23 +249,24 @@ class Pieces:
             return [(0.0, np.empty(0, np.int32))]
         places = list(map(self.place.__getitem__, parts))
         ids = list(map(self.best_ids.__getitem__, places))
-        score = float(self.best_score[places].sum())
-        out = [(score, np.frombuffer(b"".join(ids), np.int32))]
+        score = int(self.best_score[places].sum())
+        out = [(score / UNIT, np.frombuffer(b"".join(ids), np.int32))]
         if n == 1:
             return out
         # The n best texts differ from the best one in the n - 1 parts with the smallest gaps alone.
         gaps = self.gap[places]
+        gaps = np.where(gaps < 0, -_NEVER, gaps)
         near = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= 4 * n else sorted(np.argpartition(gaps, n - 1)[: n - 1])
-        choices: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]
+        choices: list[tuple[int, tuple[tuple[int, bytes], ...]]] = [(0, ())]
         for i in near:
-            if not math.isfinite(gaps[i]):
+            if gaps[i] == -_NEVER:
                 continue
             own = [(s, x) for s, x in self.n_paths(parts[i], n) if x != ids[i]][: n - 1]
-            step = [(0.0, ids[i]), *((float(self.best_score[places[i]]) - s, x) for s, x in own)]
+            step = [(0, ids[i]), *((int(self.best_score[places[i]]) - s, x) for s, x in own)]
             choices = heapq.nsmallest(n, ((c + d, (*at, (int(i), x)) if j else at) for c, at in choices for j, (d, x) in enumerate(step)), key=lambda x: x[0])
         for cost, changed in choices[1:n]:
             other = dict(changed)
-            out.append((score - cost, np.frombuffer(b"".join(other.get(i, x) for i, x in enumerate(ids)), np.int32)))
+            out.append(((score - cost) / UNIT, np.frombuffer(b"".join(other.get(i, x) for i, x in enumerate(ids)), np.int32)))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
