@@ -13,7 +13,7 @@ A document's set holds its distinct k-word shingles. Two documents link when
    index has a key for each rare prefix shingle and for each pair of frequent ones. Pairs of pairs
    grow with the prefix, so sets above SMALL shingles index the frequent ones singly as well;
    sizes between take both forms, and so every possible pair of sizes has one in common.
-4. Each key has a leader, the member with the largest share of keys that others hold too: the least
+4. A key that several sets have is split into bands of similar sizes. Each then has a leader, the member with the largest share of keys that others hold too: the least
    changed text of a group of copies. Each node is verified against the leader with which it shares
    most keys; large groups of near copies become stars, linear in their size.
 5. Keys that still join different components are open. One with at most DIRECT members has all its
@@ -30,6 +30,7 @@ A document's set holds its distinct k-word shingles. Two documents link when
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -53,9 +54,9 @@ SMALL = 200
 #: Bits of the filter that picks the texts worth moving; it lets too many pass, never too few.
 FILTER_BITS = 1 << 24
 #: Open keys with at most so many members have their pairs verified without deltas.
-DIRECT = 4
-#: Turns with deltas. They end earlier where the keys left make no more pairs than there were entries at
-#: first; the pairs of what is left then are verified without deltas.
+DIRECT = 16
+#: Turns with deltas. They end earlier where the keys left make no more pairs than keys of DIRECT members
+#: would make of the entries at first; the pairs of what is left then are verified without deltas.
 TURNS = 6
 #: What an entry may meet: entries linked with the leader (MEETS_IN), others (MEETS_OUT).
 IS_IN, MEETS_IN, MEETS_OUT = 1, 2, 4
@@ -241,6 +242,13 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
+def _banded(entries: DataFrame, percent: int) -> DataFrame:
+    """The entries with their keys split by size: each set is in two neighbouring bands, and two sets whose
+    sizes fit meet in one of them."""
+    band = F.floor(F.ln("n") / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else 2 * F.col("n")
+    return entries.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("key", "band").alias("key"), "node", "n", "keys")
+
+
 def _open(entries: DataFrame, label: DataFrame) -> DataFrame:
     """The entries of keys that join different components, with each node's component; written."""
     named = written(entries.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
@@ -321,7 +329,7 @@ def _links(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
         add(_compared(_stars(entries, leads, percent), texts, k, percent))
         left = _open(entries.drop("component"), label())
         discard(entries)
-        large = leads.where(F.lit(turn < TURNS and (turn == 0 or pairs > linear)) & (F.col("members") > DIRECT)).select("key", "lead")
+        large = leads.where(F.lit(turn < TURNS and (turn == 0 or pairs > DIRECT / 2 * linear)) & (F.col("members") > DIRECT)).select("key", "lead")
         few = left.join(large.select("key"), "key", "left_anti")
         add(_compared(_direct(few, percent), texts, k, percent))
         far = written(left.join(large, "key").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "far")
@@ -356,8 +364,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sizes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("size"))
     sizes = written(sizes, "nodes")
     several = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key")
-    shared = written(entries.join(several, "key").distinct(), "shared")
+    several = written(_banded(entries.join(several, "key").distinct(), percent), "banded")
     discard(entries)
+    keys = several.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key")
+    shared = written(several.join(keys, "key"), "shared")
+    discard(several)
     texts = docs.select("text").mapInArrow(_texts(k, _filter(shared)), "node long, text binary").groupBy("node").agg(F.first("text").alias("text"))
     texts = written(texts, "texts")
     label = _links(shared, texts, k, percent)

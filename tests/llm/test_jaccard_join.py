@@ -49,6 +49,58 @@ def corpus(seed, n=160):
     return [(i, " ".join(x)) for i, x in enumerate(out)]
 
 
+def families(seed, n=6, members=26):
+    """Bases with many copies around the limit: each changes, drops or adds a few words, some after another copy."""
+    r = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    out = []
+    for _ in range(n):
+        base = [r.choice(vocabulary) for _ in range(r.choice((60, 100, 150)))]
+        own = [base]
+        for _ in range(members):
+            words = list(r.choice(own) if r.random() < 0.2 else base)
+            for _ in range(r.randrange(1, 5)):
+                at = r.randrange(len(words))
+                words[at : at + r.choice((0, 1, 1, 1, 2))] = r.choice(([], ["neu"], [r.choice(vocabulary)], [r.choice(vocabulary)]))
+            own.append(words)
+        out += own[1:] if r.random() < 0.5 else own
+    r.shuffle(out)
+    return [(i, " ".join(x)) for i, x in enumerate(out)]
+
+
+@pytest.mark.parametrize(("k", "percent", "direct", "turns"), [(4, 85, 2, 2), (5, 80, 1, 6), (4, 85, 3, 0)])
+def test_families_around_the_limit_equal_brute_force(spark, monkeypatch, k, percent, direct, turns):
+    """Open keys with more than a few members go through deltas, and what is left after the last turn without."""
+    monkeypatch.setattr(jaccard_join, "DIRECT", direct)
+    monkeypatch.setattr(jaccard_join, "TURNS", turns)
+    made = []
+    compared = jaccard_join._compared
+    monkeypatch.setattr(jaccard_join, "_compared", lambda *a, **b: made.append(b) or compared(*a, **b))
+    docs = families(percent + direct)
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), k, percent).collect()
+    want = brute(docs, k, percent)
+    assert sorted((tuple(r) for r in got), key=repr) == want
+    assert len({c for _, _, c in want}) > len(docs) / 6 and any(made) == (turns > 0)
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Copies of one text, too far apart to link with each other: their pairs are never joined."""
+    r = random.Random(1)
+    base = [f"b{i}" for i in range(150)]
+    docs = []
+    for i in range(300):
+        words = list(base)
+        for at in r.sample(range(150), 6):
+            words[at] = f"x{i}a{at}"
+        docs.append((i, " ".join(words)))
+    sizes = []
+    direct = jaccard_join._direct
+    monkeypatch.setattr(jaccard_join, "_direct", lambda *a: sizes.append((out := direct(*a)).count()) or out)
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(docs, 4, 85)
+    assert sum(sizes) < 10 * len(docs)
+
+
 @pytest.mark.parametrize(("k", "percent", "frequent"), [(4, 85, 200_000), (5, 80, 0), (3, 60, 50)])
 def test_components_equal_brute_force(spark, monkeypatch, k, percent, frequent):
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
