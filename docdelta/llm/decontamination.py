@@ -16,8 +16,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from docdelta.llm.common import discard, small_batches, written
+from docdelta.llm.common import discard, mapped, names_beside, quoted, small_batches, written
 
 WINDOW = 10
 #: Words of items in one automaton, about. A larger benchmark takes several, one after the other over all documents.
@@ -54,10 +55,12 @@ class ItemAutomaton:
         self._shorts(coded)
         self.windows: dict[tuple[int, ...], list[object]] = {}
         for item, text in items:
+            if item is None:
+                continue
             own = [self.ids[w] for w in text]
             for i in range(max(1, len(own) - window + 1) if own else 0):
                 held = self.windows.setdefault(tuple(own[i : i + window]), [])
-                if item not in held:
+                if not held or held[-1] != item:  # an item's own windows come one after another
                     held.append(item)
 
     def _add(self, text: list[int]) -> None:
@@ -160,7 +163,7 @@ def automata(benchmark: DataFrame, id_col: str, text_col: str, window: int, most
         held = [(item, words(text)) for item, text in zip(table.column("item").to_pylist(), table.column("text").to_pylist(), strict=True)]
         return pa.table({"shard": table.column("shard")[:1], "automaton": pa.array([pickle.dumps(ItemAutomaton(held, window))], pa.binary())})
 
-    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
+    items = benchmark.select(quoted(id_col).alias("item"), quoted(text_col).alias("text"))
     total = items.select("text").mapInArrow(sizes, "n long").agg(F.sum("n")).head()[0] or 0
     n = max(1, -(-total // most_words))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
@@ -214,13 +217,13 @@ def scan(
     n_hit counts the words inside any occurrence of a window, n_items the items that have an
     occurring window, clean is the text without hit words (the same text where none is hit). A null
     text has no words and stays null. Items with a null or wordless text have no windows; repeated
-    items count once for each id. An empty benchmark hits nothing.
+    items count once for each id; items without an id hit words but are not counted or named. An
+    empty benchmark hits nothing. A column named like a new one gets `_input` behind its name.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shards, n_shards = automata(benchmark, item_id, item_text, window, most_words)
-    own = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = f"n_words long, n_hit long, n_items long, items_sha256 string, clean string{own}"
+    out = StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, clean string")
 
     def automaton(shard: int) -> bytes:
         rows = shards.where(F.col("shard") == shard).select("automaton").collect()  # one row at most
@@ -235,20 +238,23 @@ def scan(
             pa.array([cut(x, y) if y else x for x, (y, _) in zip(texts, found, strict=True)], pa.string()),
         ]
 
-    names = ["n_words", "n_hit", "n_items", "items_sha256", "clean"]
     if n_shards == 1:
         shared = spark.sparkContext.broadcast(automaton(0))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def make():
             held = pickle.loads(shared.value)
-            for batch in batches:
-                texts = batch.column(0).to_pylist()
+
+            def hit(column: pa.Array) -> list[pa.Array]:
+                texts = column.to_pylist()
                 split = [words(x) for x in texts]
-                yield pa.RecordBatch.from_arrays([*finished(texts, split, [_hits(held, x) for x in split]), *batch.columns[1:]], [*names, *batch.schema.names[1:]])
+                return finished(texts, split, [_hits(held, x) for x in split])
 
-        return docs.select(F.col(text_col).alias("__text"), "*").mapInArrow(run, out)
+            return hit
 
-    rows = written(docs.select(F.monotonically_increasing_id().alias("__row"), F.col(text_col).alias("__text"), "*"), "documents")
+        return mapped(docs, [quoted(text_col)], out, make)
+
+    own = [f"own{i}" for i in range(len(docs.columns))]
+    rows = written(docs.select(F.monotonically_increasing_id().alias("id"), quoted(text_col).alias("whole"), *[quoted(x).alias(y) for x, y in zip(docs.columns, own, strict=True)]), "documents")
     passes = []
     for shard in range(n_shards):
         shared = spark.sparkContext.broadcast(automaton(shard))
@@ -261,20 +267,19 @@ def scan(
                 spans = pa.array([[{"a": a, "b": b} for a, b in x[1]] for x in found], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), spans, pa.array([sorted(x[2]) for x in found], pa.list_(pa.string()))], ["row", "spans", "items"])
 
-        passes.append(written(rows.select("__row", "__text").mapInArrow(one, "row long, spans array<struct<a: long, b: long>>, items array<string>"), "hits"))
+        passes.append(written(rows.select("id", "whole").mapInArrow(one, "row long, spans array<struct<a: long, b: long>>, items array<string>"), "hits"))
         shared.destroy()
     discard(shards)
     hits = spark.read.schema(passes[0].schema).parquet(*[x.written_to for x in passes])
-    hits = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"))
+    hits = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, items, texts = (batch.column(i).to_pylist() for i in range(3))
-            found = [(_covered([(y["a"], y["b"] - y["a"]) for y in x or ()]), set(z or ())) for x, z in zip(spans, items, strict=True)]
-            yield pa.RecordBatch.from_arrays([*finished(texts, [words(x) for x in texts], found), *batch.columns[3:]], [*names, *batch.schema.names[3:]])
+    def merge(*columns: pa.Array) -> list[pa.Array]:
+        spans, items, texts = (x.to_pylist() for x in columns)
+        found = [(_covered([(y["a"], y["b"] - y["a"]) for y in x or ()]), set(z or ())) for x, z in zip(spans, items, strict=True)]
+        return finished(texts, [words(x) for x in texts], found)
 
-    joined = rows.join(hits, F.col("__row") == F.col("row"), "left")
-    return joined.select("__spans", "__items", "__text", *[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(merged, out)
+    joined = rows.join(hits, F.col("id") == F.col("row"), "left")
+    return mapped(joined, [F.col("spans"), F.col("items"), F.col("whole")], out, lambda: merge, own).toDF(*out.names, *names_beside(out.names, docs.columns))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_hit: int = 0, max_coverage: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -285,4 +290,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_hit: int = 0, max_c
     """
     found = scan(docs, benchmark, text_col)
     found = found.where((F.col("n_hit") <= max_hit) | (F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words")))
-    return found.select(*[F.when(F.col("n_hit") > max_hit, F.col("clean")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    own = zip(docs.columns, found.columns[-len(docs.columns) :], strict=True)
+    return found.select(*[(F.when(F.col("n_hit") > max_hit, F.col("clean")).otherwise(quoted(y)) if x == text_col else quoted(y)).alias(x) for x, y in own])

@@ -19,8 +19,9 @@ import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from docdelta.llm.common import shared_dir, small_batches, utf8, written
+from docdelta.llm.common import mapped, quoted, shared_dir, small_batches, utf8, written
 
 MIN_CHARS = 10
 #: Keys that a shard should hold: about 20 bytes each.
@@ -187,12 +188,12 @@ def build_index(docs: DataFrame) -> tuple[str, int]:
 
 
 def _probe(folder: str, shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = utf8(batch.column(1))
+    def make():
+        def probe(docs: pa.Array, column: pa.Array) -> list[pa.Array]:
+            texts = utf8(column)
             low, high, owner, place = [], [], [], []
             split = [(text or b"").split(b"\n") for text in texts]
-            ids = batch.column(0).to_pylist()
+            ids = docs.to_pylist()
             for i, lines in enumerate(split):
                 for j, line in enumerate(lines):
                     if key := line_key(line):
@@ -214,23 +215,20 @@ def _probe(folder: str, shards: int):
             for i in np.flatnonzero(drop):
                 gone.setdefault(int(owner[i]), set()).add(place[i])
             kept = [b"\n".join(x for j, x in enumerate(lines) if j not in gone[i]) if i in gone else texts[i] or b"" for i, lines in enumerate(split)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kept, pa.binary()).cast(pa.string()), pa.array([len(x) for x in split], pa.int64()), pa.array([len(gone.get(i, ())) for i in range(len(split))], pa.int64()), *batch.columns[2:]],
-                ["kept", "n_lines", "n_dropped", *batch.schema.names[2:]],
-            )
+            return [pa.array(kept, pa.binary()).cast(pa.string()), pa.array([len(x) for x in split], pa.int64()), pa.array([len(gone.get(i, ())) for i in range(len(split))], pa.int64())]
 
-    return run
+        return probe
+
+    return make
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of docs with kept (its text without dropped lines), n_lines and n_dropped before its own columns.
 
     A null text counts as empty: one empty line, kept as ''. Rows with a null id count as one
-    document behind all others; repeated ids count as one document. Columns named like the new
-    ones must be renamed first.
+    document behind all others; repeated ids count as one document. A column named like a new one
+    gets `_input` behind its name.
     """
-    small_batches(docs.sparkSession)
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__doc"), F.col(text_col).alias("__text"), "*")
-    folder, shards = build_index(keyed.select(F.col("__doc").alias("doc"), F.col("__text").alias("text")))
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return keyed.mapInArrow(_probe(folder, shards), f"kept string, n_lines long, n_dropped long, {own}")
+    doc, text = F.coalesce(quoted(id_col).cast("long"), F.lit(NO_ID)), quoted(text_col)
+    folder, shards = build_index(docs.select(doc.alias("doc"), text.alias("text")))
+    return mapped(docs, [doc, text], StructType.fromDDL("kept string, n_lines long, n_dropped long"), _probe(folder, shards))

@@ -9,9 +9,11 @@ network; every other word has one of BUCKETS outputs by its last bytes, times it
 bucket's occurrences. Those shares are a Spark table that grows with the corpus and is joined to the
 documents' words; all words that the corpus lacks have one share of a bucket together.
 
-In each of ROUNDS rounds each run of documents trains a copy of the network on all its tokens, in
-numpy, from a common start, and the copies' weighted mean, formed by a tree of Spark groupings, is
-the start of the next round and at last the model.
+Documents are encoded once and dealt by hash to runs of about RUN_TOKENS tokens, and each run to one of
+ROUNDS rounds, so every token is trained on once. In a round each of its runs trains a copy of the
+network, in numpy and in an order by hash, from a common start; the copies' weighted mean, formed by a
+tree of Spark groupings, is the start of the next round and at last the model. Runs depend on the rows
+alone, so the model is the same however they are partitioned.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from docdelta.llm.common import discard, small_batches, utf8, written
+from docdelta.llm.common import discard, mapped, names_beside, quoted, small_batches, utf8, written
 from docdelta.llm.shingles import words
 
 SIDE = 2
@@ -37,7 +41,9 @@ PAD = CLASSES * PER_CLASS
 STEP = 16_384
 RATE = 0.15
 #: Times that the copies are averaged and go on from their mean.
-ROUNDS = 2
+ROUNDS = 4
+#: Tokens of a run, about.
+RUN_TOKENS = 500_000
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 400_000
 #: Models that one grouping averages, and the parts that a model is cut into.
@@ -184,13 +190,20 @@ class WindowNetwork:
         return grad.flat
 
 
-def windows(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hash(word: bytes) -> int:
+    """The same 64 bits as Spark's xxhash64."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (h >> 63 << 64)
+
+
+def windows(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids with padding between texts, places of the tokens, text of each token)."""
     sizes = np.array([len(x) for x in texts], np.int64)
     ids = np.full(int(sizes.sum()) + SIDE * (len(texts) + 1), PAD, np.int64)
     owner = np.repeat(np.arange(len(texts)), sizes)
     places = np.arange(int(sizes.sum())) + SIDE * (owner + 1)
-    ids[places] = np.fromiter((y for x in texts for y in x), np.int64, int(sizes.sum()))
+    if len(places):
+        ids[places] = np.concatenate([np.asarray(x, np.int64) for x in texts])
     return ids, places, owner
 
 
@@ -199,45 +212,85 @@ def _near(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame) -> tuple[Vocabulary, WindowNetwork]:
-    """The model of all docs (column text)."""
-    vocabulary, counts = vocabulary_of(written(count_words(docs), "words"))
+    """The model of all docs (column text); rows equal in all columns fall into one run."""
+    counted = written(count_words(docs), "words")
+    vocabulary, counts = vocabulary_of(counted)
+    total = counted.agg(F.sum("count")).head()[0] or 0
+    encoded = _encoded(docs, vocabulary, -(-total // RUN_TOKENS))
     # Weights, and behind them their summed squared gradients, which set the size of steps.
     state = np.concatenate([WindowNetwork.start(counts).flat, np.full(WindowNetwork.SIZE, 1e-4, np.float32)])
-    for _ in range(ROUNDS):
-        state = _round(docs, vocabulary, state)
+    for i in range(ROUNDS):
+        state = _round(encoded.where(F.col("run") % ROUNDS == i), state)
+    discard(encoded)
     return vocabulary, WindowNetwork(state[: WindowNetwork.SIZE].copy())
 
 
-def _round(docs: DataFrame, vocabulary: Vocabulary, state: np.ndarray) -> np.ndarray:
-    """The mean of the copies that go from state over the documents of a task each."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, state))
+def _encoded(docs: DataFrame, vocabulary: Vocabulary, runs: int) -> DataFrame:
+    """(run, place, ids): each text's ids as 16-bit numbers, its run and its place there; written."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def make():
+        words_of = shared.value
+        return lambda texts: [pa.array([np.array(words_of.encode(x), np.int16).tobytes() for x in utf8(texts)], pa.binary())]
+
+    place = F.xxhash64(*map(quoted, docs.columns))
+    rows = docs.select("text", F.pmod(place, F.lit(max(ROUNDS, runs))).cast("int").alias("run"), F.xxhash64(place).alias("place"))
+    return written(mapped(rows, [F.col("text")], StructType.fromDDL("ids binary"), make, ["run", "place"]), "encoded")
+
+
+def _round(encoded: DataFrame, state: np.ndarray) -> np.ndarray:
+    """The mean of the copies that go from state over a run each."""
+    spark = encoded.sparkSession
+    shared = spark.sparkContext.broadcast(state)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, begin = shared.value
-        own, seen = begin.copy(), 0
-        net, squares = WindowNetwork(own[: WindowNetwork.SIZE]), own[WindowNetwork.SIZE :]
-        for batch in batches:
-            ids, places, _ = windows([words_of.encode(x) for x in utf8(batch.column(0))])
+        run, own, seen = None, shared.value, 0
+        held: list[np.ndarray] = []
+        size = 0
+
+        def step() -> None:
+            nonlocal held, size
+            ids, places, _ = windows(held)
             for i in range(0, len(places), STEP):
                 at = places[i : i + STEP]
                 g = net.gradient(_near(ids, at), ids[at])
-                squares += g * g
+                squares[:] += g * g
                 net.flat -= RATE * len(at) / STEP * g / np.sqrt(squares)
-            seen += len(places)
-        if seen:
-            parts = np.array_split(own, PARTS)
-            key = zlib.crc32(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([key] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([seen] * PARTS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["run", "part", "tokens", "weights"])
+            held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if size:
+                step()
+            if seen:
+                parts = np.array_split(own, PARTS)
+                yield pa.RecordBatch.from_arrays([pa.array([run] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([seen] * PARTS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["run", "part", "tokens", "weights"])
+
+        for batch in batches:
+            for now, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if now != run:
+                    if run is not None:
+                        yield from out()
+                    run, own, seen = now, shared.value.copy(), 0
+                    held, size = [], 0
+                    net, squares = WindowNetwork(own[: WindowNetwork.SIZE]), own[WindowNetwork.SIZE :]
+                held.append(np.frombuffer(data, np.int16))
+                size += len(held[-1])
+                seen += len(held[-1])
+                if size >= STEP:
+                    step()
+        if run is not None:
+            yield from out()
 
     def average(key, table):
+        table = table.sort_by("run")
         tokens = np.array(table.column("tokens").to_pylist(), np.float64)
         total = sum(w * np.frombuffer(x, np.float32) for w, x in zip(tokens, table.column("weights").to_pylist(), strict=True)) / tokens.sum()
         return pa.table({"run": pa.array([key[1].as_py()], pa.int64()), "part": pa.array([key[0].as_py()], pa.int32()), "tokens": pa.array([int(tokens.sum())], pa.int64()), "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     small_batches(spark)
     plan = "run long, part int, tokens long, weights binary"
-    models = written(docs.select("text").mapInArrow(train, plan), "models")
+    rows = encoded.repartition("run").sortWithinPartitions("run", "place").select("run", "ids")
+    models = written(rows.mapInArrow(train, plan), "models")
     while (left := models.where("part = 0").count()) > 1:
         groups = max(1, left // FAN_IN)
         grouped = models.withColumn("group", F.pmod(F.xxhash64("run"), F.lit(groups)))
@@ -251,30 +304,48 @@ def _round(docs: DataFrame, vocabulary: Vocabulary, state: np.ndarray) -> np.nda
 def score(docs: DataFrame, vocabulary: Vocabulary, network: WindowNetwork, text_col: str = "text", kept: list[str] | None = None) -> DataFrame:
     """Every row of docs with n_tokens, log_likelihood and mean_log_likelihood before its own columns, or those in kept.
 
-    A text without words, null too, has no tokens, a sum of 0 and a null mean.
+    A text without words, null too, has no tokens, a sum of 0 and a null mean. Repeated rows stay. A
+    column named like a new one gets `_input` behind its name.
     """
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, network.flat))
+    with_others = vocabulary.others is not None
+    pair = pa.struct([("hash", pa.int64()), ("n", pa.int32())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         words_of, flat = shared.value
         net, shares, known = WindowNetwork(flat), words_of.shares, words_of.ids
-        for batch in batches:
-            split = [words(x) for x in utf8(batch.column(0))]
+        hashes: dict[bytes, int] = {}
+
+        def rest(split: list[bytes]) -> list[dict]:
+            """The words of a text that have no outputs of their own."""
+            if not with_others:
+                return []
+            out = []
+            for word, n in Counter(x for x in split if x not in known).items():
+                if (h := hashes.get(word)) is None:
+                    if len(hashes) >= HELD_WORDS:
+                        hashes.clear()
+                    h = hashes[word] = word_hash(word)
+                out.append({"hash": h, "n": n})
+            return out
+
+        def rate(texts: pa.Array) -> list[pa.Array]:
+            split = [words(x) for x in utf8(texts)]
             ids, places, owner = windows([words_of.coded(x) for x in split])
             each = np.concatenate([np.empty(0), *(net.log_probabilities(_near(ids, at), ids[at]) + shares[ids[at]] for i in range(0, len(places), STEP) if len(at := places[i : i + STEP]))])
-            n, total = np.bincount(owner, minlength=batch.num_rows), np.bincount(owner, each, batch.num_rows).astype(float)
-            others = pa.array([[w for w in x if w not in known] for x in split], pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(total), others, *batch.columns[1:]], ["n_tokens", "__sum", "__others", *batch.schema.names[1:]])
-
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col(text_col).alias("__text"), *(docs.columns if kept is None else kept))
-    columns = docs.columns[1:]
-    own = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema[1:])
-    rows = docs.mapInArrow(run, f"n_tokens long, __sum double, __others array<binary>{own}")
-    total = F.col("__sum")
-    if vocabulary.others is not None:
-        rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "scored")
-        each = rows.select("__row", F.explode("__others").alias("word")).select("__row", F.xxhash64("word").alias("hash"))
-        rows = rows.join(each.join(vocabulary.others, "hash").groupBy("__row").agg(F.sum("log_count").alias("__counts")), "__row", "left")
-        total += F.coalesce("__counts", F.lit(0.0))
-    return rows.select("n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"), *columns)
+            n, total = np.bincount(owner, minlength=len(split)), np.bincount(owner, each, len(split)).astype(float)
+            return [pa.array(n, pa.int64()), pa.array(total), pa.array([rest(x) for x in split], pa.list_(pair))]
+
+        return rate
+
+    kept = docs.columns if kept is None else kept
+    own = [f"own{i}" for i in range(len(kept))]
+    rows = mapped(docs, [quoted(text_col)], StructType.fromDDL("n_tokens long, total double, others array<struct<hash: long, n: int>>"), make, kept).toDF("n_tokens", "total", "others", *own)
+    total = F.col("total")
+    if with_others:
+        rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "scored")
+        each = rows.select("id", F.inline("others")).join(vocabulary.others, "hash")
+        rows = rows.drop("others").join(each.groupBy("id").agg(F.sum(F.col("n") * F.col("log_count")).alias("counts")), "id", "left")
+        total += F.coalesce("counts", F.lit(0.0))
+    names = ["n_tokens", "log_likelihood", "mean_log_likelihood"]
+    return rows.select("n_tokens", total.alias(names[1]), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias(names[2]), *own).toDF(*names, *names_beside(names, kept))

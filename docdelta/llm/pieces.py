@@ -19,15 +19,14 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from docdelta.llm.common import small_batches
+from docdelta.llm.common import mapped, quoted
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
@@ -282,13 +281,14 @@ def encode_texts(docs: DataFrame, model: str = MODEL, n: int = N_BEST, text_col:
     ids is the best segmentation of the whole text, scores holds the scores of the n best, best
     first; decodes tells that decoding gives the text back. A null text has null ids and scores, an
     empty one no pieces. The character `▁` is a blank to the model and comes back as one, so a text
-    that holds it does not decode to itself.
+    that holds it does not decode to itself. A column named like a new one gets `_input` behind its name.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         pieces = Pieces(model)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
+
+        def encode(column: pa.Array) -> list[pa.Array]:
+            texts = column.to_pylist()
             parts = [pieces.parts(x) if x else [] for x in texts]
             pieces.learn(set().union(*parts))
             ids, sizes, scores, same = [], [], [], []
@@ -301,22 +301,25 @@ def encode_texts(docs: DataFrame, model: str = MODEL, n: int = N_BEST, text_col:
             offsets = np.concatenate(([0], np.cumsum([x or 0 for x in sizes]))).astype(np.int32)
             flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.array([*(x is None for x in sizes), False])), flat)
-            yield pa.RecordBatch.from_arrays([lists, pa.array(sizes, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_()), *batch.columns[1:]], ["ids", "n_pieces", "scores", "decodes", *batch.schema.names[1:]])
+            return [lists, pa.array(sizes, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())]
+
+        return encode
 
-    small_batches(docs.sparkSession)
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select(F.col(text_col).alias("__text"), "*").mapInArrow(run, f"ids array<int>, n_pieces long, scores array<double>, decodes boolean, {own}")
+    return mapped(docs, [quoted(text_col)], StructType.fromDDL("ids array<int>, n_pieces long, scores array<double>, decodes boolean"), make)
 
 
 def decode_ids(rows: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFrame:
-    """Every row with text, the decoded ids, before its own columns; null ids give a null text."""
+    """Every row with text, the decoded ids, before its own columns; null ids give a null text.
+
+    A column named text is returned as text_input.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         pieces = Pieces(model)
-        for batch in batches:
-            texts = [None if x is None else pieces.decode(np.array(x, np.int64)) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], ["text", *batch.schema.names[1:]])
 
-    small_batches(rows.sparkSession)
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.select(F.col(ids_col).alias("__ids"), "*").mapInArrow(run, f"text string, {own}")
+        def decode(column: pa.Array) -> list[pa.Array]:
+            return [pa.array([None if x is None else pieces.decode(np.array(x, np.int64)) for x in column.to_pylist()], pa.string())]
+
+        return decode
+
+    return mapped(rows, [quoted(ids_col)], StructType.fromDDL("text string"), make)

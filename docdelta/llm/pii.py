@@ -22,9 +22,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from docdelta.llm.common import small_batches
+from docdelta.llm.common import mapped, quoted
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -149,18 +149,16 @@ def joined(found: list[tuple]) -> str:
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Every row of docs with found, an array of (kind, start, end, score), before its own columns.
 
-    Places are code points, ends exclusive. A null or empty text has none.
+    Places are code points, ends exclusive. A null or empty text has none. Repeated rows stay. A
+    column named found is returned as found_input.
     """
-    small_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([[dict(zip(("kind", "start", "end", "score"), y, strict=True)) for y in spans(x)] for x in batch.column(0).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([found, *batch.columns[1:]], ["found", *batch.schema.names[1:]])
+    def find(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([[dict(zip(("kind", "start", "end", "score"), y, strict=True)) for y in spans(x)] for x in texts.to_pylist()], kind)]
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select(F.col(text_col).alias("__text"), "*").mapInArrow(run, f"found array<struct<kind: string, start: long, end: long, score: double>>, {own}")
+    out = StructType.fromDDL("found array<struct<kind: string, start: long, end: long, score: double>>")
+    return mapped(docs, [quoted(text_col)], out, lambda: find)
 
 
 def sha256(text: str) -> str:

@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from docdelta.llm.common import small_batches, written
+from docdelta.llm.common import mapped, names_beside, quoted, small_batches, written
 
 #: At most so many labelled rows of either class of the last category are trained on.
 SAMPLE = 2500
@@ -175,21 +176,27 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
 def classify(docs: DataFrame, chain: Chain | None, categories: Sequence[str], text_col: str = "text") -> DataFrame:
     """Every row of docs with p_<category> for each category and is_<last category> before its own columns.
 
-    A null or empty text has no features and gets the probabilities of the biases alone. Without a
-    chain all probabilities are 0 and nothing is flagged.
+    A null or empty text has no features and gets the probabilities of the biases alone. A probability
+    equal to the cut-off is flagged. Without a chain all probabilities are 0 and nothing is flagged. A
+    column named like a new one gets `_input` behind its name.
     """
     names = [f"p_{c}" for c in categories]
+    out = StructType()
+    for x in names:
+        out = out.add(x, "double")
+    out = out.add(f"is_{categories[-1]}", "boolean")
     if chain is None:
-        return docs.select(*[F.lit(0.0).alias(x) for x in names], F.lit(False).alias(f"is_{categories[-1]}"), "*")
+        own = names_beside(out.names, docs.columns)
+        return docs.select(*[F.lit(0.0).alias(x) for x in names], F.lit(False).alias(out.names[-1]), *[quoted(x).alias(y) for x, y in zip(docs.columns, own, strict=True)])
     shared = docs.sparkSession.sparkContext.broadcast((np.array(list(chain.place), np.int64), chain.weights, chain.biases, chain.cutoff))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         own = Chain(*shared.value)
-        for batch in batches:
-            p = np.array([own.probabilities(x) for x in batch.column(0).to_pylist()]).reshape(batch.num_rows, len(names))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in p.T), pa.array(p[:, -1] >= own.cutoff), *batch.columns[1:]], [*names, f"is_{categories[-1]}", *batch.schema.names[1:]])
 
-    small_batches(docs.sparkSession)
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    plan = ", ".join(f"{x} double" for x in names)
-    return docs.select(F.col(text_col).alias("__text"), "*").mapInArrow(run, f"{plan}, is_{categories[-1]} boolean, {own}")
+        def predict(texts: pa.Array) -> list[pa.Array]:
+            p = np.array([own.probabilities(x) for x in texts.to_pylist()]).reshape(len(texts), len(names))
+            return [*(pa.array(x) for x in p.T), pa.array(p[:, -1] >= own.cutoff)]
+
+        return predict
+
+    return mapped(docs, [quoted(text_col)], out, make)
