@@ -1,19 +1,25 @@
 """Main text of web pages by template deduction with equivalence classes.
 
-1. A page is cut into tokens: tags with their path of elements, and words with the path of their
-   element. The same string in different paths is a different token.
+1. A page is cut into tokens: tags with their path of elements, text blocks as a whole, and words with
+   the path of their element. The same string in different paths is a different token; sibling
+   containers with one name are told apart by their number.
 2. Over the pages of a host each token has an occurrence vector, its count in every page. Spark sums
    a 48-bit hash of (page's content, count) for each token, which stands for the whole vector and can
    be added up before anything is shuffled, so a host of any size is never gathered. Tokens with equal
    sums form an equivalence class.
-3. A class is valid if it has at least MIN_TOKENS tokens and occurs in at least MIN_SHARE of the
-   host's different pages; copies count as one. Paths make the classes nest: a token's path names the elements around it, so a class
-   lies inside the class of the tags that open its path. The tokens of the valid classes are the
-   host's template.
-4. What the template leaves is slots, the blocks of text. Blocks in elements whose tag or class names
-   them as menu, header, footer, sidebar, notice, advert, form or comments go, but not elements that
-   hold the page's article or main element, or most of the text where it has none; where the page has
-   no article or main element, blocks made of template words alone go as well. The rest is the text.
+3. A class is large enough with MIN_TOKENS tokens, found in MIN_SHARE of the host's different pages
+   or more; copies count as one. It is valid if its tokens come in one order in MIN_SHARE of the pages
+   that have it. Valid classes nest: a token's path names the elements around it, so the elements that
+   open and close a class lie inside those of the class around it. They are the host's template, a tree
+   of elements with slots between its tokens.
+4. A slot's text is what its template element holds beside template blocks and beside parts that an
+   element or class name gives away as menu, header, footer, sidebar, notice, advert, form or comments.
+   The elements that hold more than half of the host's slot text form a chain, and the article is the
+   innermost of them; where the chain has an element named article or main, the outermost of these.
+   A page's text is its slots in there and its top headings that aren't template.
+5. Names alone decide on hosts with too few pages for a template, and on pages without the element.
+   There the text is that of the article or main element, or of all blocks where the page has none,
+   without parts that names give away and without blocks made of template words.
 """
 
 from __future__ import annotations
@@ -29,11 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docdelta.llm.common import small_batches, written
+from docdelta.llm.common import quoted, small_batches, written
 
 MIN_TOKENS = 3
 MIN_SHARE = 0.6
-#: Hosts with fewer pages deduce nothing.
+#: Hosts with fewer pages deduce nothing: in so few, words of an article easily have equal vectors.
 MIN_PAGES = 4
 #: Tokens that a task sums up before it hands them on.
 HELD_TOKENS = 500_000
@@ -49,12 +55,14 @@ RAW = frozenset("script style noscript template textarea title iframe noembed no
 #: Elements that are never the article, and words that name such parts in class, id and role.
 ASIDE = frozenset("nav header footer aside form button select menu dialog head script style noscript template textarea title iframe".split())
 ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments comentarios commentaires consent contentinfo cookie cookies dialog disqus footer header menu modal nav navbar navigation newsletter notice notification popup promo related reply share sharing sidebar social sponsor sponsored subscribe".split()
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments comentario comentarios commentaire commentaires consent contentinfo cookie cookies dialog disqus footer header kommentar kommentare menu modal nav navbar navigation newsletter notice notification opiniones popup promo related reply share sharing sidebar social sponsor sponsored subscribe".split()
 )
 #: Words that stand beside those in names of such parts; inside an article only names made of both are parts that go.
 PLAIN_WORDS = frozenset("area bar block body box button buttons container content group icons inner item items link links list outer panel posts section site slot title top bottom left right unit widget wrap wrapper".split())
 MAIN = frozenset({"article", "main"})
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Elements that are numbered among siblings with the same name.
+NUMBERED = frozenset("aside div dl footer form header nav ol section table ul".split())
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 # Optional end tags: an element that ends the open one of its kind.
@@ -62,17 +70,17 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 
 
 class Block:
-    """Text between two block borders: its element path, whether it is in a part that goes, whether in the main one."""
+    """Text between two block borders: its element path, whether it is in a part that goes, whether in the main one, number of tags before."""
 
-    __slots__ = ("path", "text", "aside", "main")
+    __slots__ = ("path", "text", "aside", "main", "at")
 
-    def __init__(self, path: str, text: str, aside: bool, main: bool):
-        self.path, self.text, self.aside, self.main = path, text, aside, main
+    def __init__(self, path: str, text: str, aside: bool, main: bool, at: int):
+        self.path, self.text, self.aside, self.main, self.at = path, text, aside, main, at
 
 
 def _is_aside(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in ASIDE:
-        return True
+        return tag != "header" or not in_main  # inside the article it holds the title
     if not attributes or "=" not in attributes or tag in ("html", "body"):
         return False
     names = (_NAME.findall(n) for m in _ATTRIBUTE.finditer(attributes) for n in entities.unescape(m[2] or m[3] or m[4] or "").lower().split())
@@ -87,6 +95,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
     named: list[list[int]] = [[-1, 0, 0]]
     held: list[tuple[int, int]] = []  # for each block, the named element around it and the one around its main element, or -1
     stack: list[tuple[str, str, int, int]] = [("", "", 0, -1)]
+    numbers: Counter[str] = Counter()
     text: list[str] = []
 
     def close() -> None:
@@ -94,7 +103,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
             plain = " ".join(entities.unescape("".join(text)).split())
             if plain:
                 _, path, around, main = stack[-1]
-                blocks.append(Block(path, plain, False, main >= 0))
+                blocks.append(Block(path, plain, False, main >= 0, len(tags)))
                 held.append((around, main))
                 while around >= 0:
                     named[around][2] += len(plain)
@@ -146,6 +155,11 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
             around = len(named) - 1
         name = m[3].strip()
         path = f"{path}/{tag}" if "class" not in name else f"{path}/{tag}.{'.'.join(sorted(_NAME.findall(name.lower())))[:60]}"
+        if tag in NUMBERED:
+            # Siblings of one opened element: a closed and reopened parent of the same path goes on counting.
+            numbers[path] += 1
+            if numbers[path] > 1:
+                path = f"{path}#{numbers[path]}"
         tags.append(path)
         if tag in VOID or m[3].endswith("/"):
             continue
@@ -173,6 +187,10 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
     return blocks, tags
 
 
+def _block_token(block: Block) -> str:
+    return f"{block.path}\n{block.text}"
+
+
 def _tokens(page: str) -> Counter[str]:
     """Each token's count."""
     blocks, tags = parse(page)
@@ -180,6 +198,7 @@ def _tokens(page: str) -> Counter[str]:
     for block in blocks:
         path = f"{block.path} "
         out.update([path + word for word in block.text.split()])
+        out[_block_token(block)] += 1
     return out
 
 
@@ -222,8 +241,8 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://)?([^/?#]*)", 1))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens): the hashes of the template tokens of each host, of pages (host, page_id, html)."""
+def classes(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, token, class): the tokens of each host's classes that are large enough, of pages (host, html); written."""
     rows = pages.select("host", F.xxhash64("html").alias("content"), "html")
     contents = written(rows.groupBy("host", "content").agg(F.count("*").alias("copies")), "contents")
     # Written, so that Spark knows its size and moves the pages only where many have copies.
@@ -233,46 +252,132 @@ def templates(pages: DataFrame) -> DataFrame:
     # Halves are summed apart, so that no sum overflows; equal vectors have equal sums of both.
     halves = F.sum(F.shiftright("vector", 24)).alias("high"), F.sum(F.col("vector").bitwiseAND(F.lit((1 << 24) - 1))).alias("low")
     each = seen.groupBy("host", "token").agg(F.round(F.sum("pages") / UNIT).alias("pages"), *halves)
-    sizes = contents.groupBy("host").agg(F.sum("copies").alias("rows"), F.count("*").alias("of")).where((F.col("rows") >= MIN_PAGES) & (F.col("of") > 1))
+    sizes = contents.groupBy("host").agg(F.sum("copies").alias("rows"), F.count("*").alias("of")).where((F.col("rows") >= min_pages) & (F.col("of") > 1))
     common = written(each.join(sizes, "host").where(F.col("pages") >= F.col("of") * MIN_SHARE), "tokens")
-    classes = common.groupBy("host", "high", "low").agg(F.count("*").alias("size")).where(F.col("size") >= MIN_TOKENS)
-    chosen = common.join(classes, ["host", "high", "low"])
-    # At most 1 / MIN_SHARE times the different tokens of the host's mean page.
-    return chosen.groupBy("host").agg(F.collect_list("token").alias("tokens"))
+    large = common.groupBy("host", "high", "low").agg(F.count("*").alias("size")).where(F.col("size") >= MIN_TOKENS)
+    return written(common.join(large, ["host", "high", "low"]).select("host", "token", F.xxhash64("high", "low").alias("class")), "classes")
+
+
+def _with_tokens(pages: DataFrame, tokens: DataFrame) -> DataFrame:
+    """pages with the array of (token, class) of their host: at most 1 / MIN_SHARE times the different tokens of its mean page."""
+    of_host = written(tokens.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("tokens")), "of_host")
+    return pages.join(of_host, "host")
 
 
-def main_text(page: str | None, template: frozenset[int] | set[int]) -> str:
-    """The article's text, a line for each block."""
+def _chain(path: str) -> list[str]:
+    """The paths of the elements around a block, outermost first."""
+    return [path[:i] for i, x in enumerate(path) if x == "/" and i] + [path] if path else []
+
+
+def _orders_and_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For pages (host, html, tokens), summed for each task: pages by host, class and order of the class's tokens
+    (kind 0: class, order), and slot text by element (kind 1: token of the element, 1 if named as main, path)."""
+    sums: Counter[tuple] = Counter()
+    last, of_class = None, {}
+    for batch in batches:
+        for host, page, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if host != last:
+                last, of_class = host, dict(zip(tokens.values.field(0).to_pylist(), tokens.values.field(1).to_pylist(), strict=True))
+            blocks, tags = parse(page or "")
+            orders: dict[int, dict[int, None]] = {}
+            hashes: dict[str, int] = {}
+
+            def see(token: str) -> bool:
+                if (h := hashes.get(token)) is None:
+                    h = hashes[token] = _hash(token)
+                if (own := of_class.get(h)) is None:
+                    return False
+                orders.setdefault(own, {}).setdefault(h)
+                return True
+
+            at = 0
+            for block in blocks:
+                for tag in tags[at : block.at]:
+                    see(f"<{tag}")
+                at = block.at
+                fixed = see(_block_token(block))
+                for word in block.text.split():
+                    see(f"{block.path} {word}")
+                if not fixed and not block.aside:
+                    for path in _chain(block.path):
+                        if (h := hashes.get(f"<{path}")) in of_class:
+                            name = path.rpartition("/")[2].partition(".")[0].partition("#")[0]
+                            sums[host, 1, h, int(name in MAIN), path] += len(block.text)
+            for tag in tags[at:]:
+                see(f"<{tag}")
+            for own, order in orders.items():
+                sums[host, 0, own, xxhash.xxh3_64_intdigest(np.fromiter(order, np.int64).tobytes()) >> 1, ""] += 1
+        if len(sums) >= HELD_TOKENS:
+            yield _summed(sums)
+            sums = Counter()
+    if sums:
+        yield _summed(sums)
+
+
+def _summed(sums: Counter[tuple]) -> pa.RecordBatch:
+    columns = [*zip(*sums, strict=True), sums.values()]
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], ["host", "kind", "of", "mark", "path", "n"])
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, tokens, article) of pages (host, html): the hashes of the template's tokens, and the path of the element
+    with the article, null where no element has more than half of the text; written."""
+    found = classes(pages, min_pages)
+    sums = _with_tokens(pages.select("host", "html"), found).select("host", "html", "tokens")
+    sums = sums.mapInArrow(_orders_and_slots, "host string, kind int, of long, mark long, path string, n long")
+    sums = written(sums.groupBy("host", "kind", "of", "mark", "path").agg(F.sum("n").alias("n")), "slots")
+    orders = sums.where("kind = 0").groupBy("host", F.col("of").alias("class")).agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    valid = orders.where(F.col("most") >= F.col("all") * MIN_SHARE).select("host", "class")
+    template = written(found.join(valid, ["host", "class"]), "template")
+    slots = sums.where("kind = 1").join(template.select("host", F.col("token").alias("of")), ["host", "of"])
+    whole = slots.groupBy("host").agg(F.max("n").alias("whole"))
+    depth = F.size(F.split("path", "/"))
+    # The outermost element named as main comes first, else the innermost.
+    rank = F.struct("mark", F.when(F.col("mark") == 1, -depth).otherwise(depth), "path")
+    article = slots.join(whole, "host").where(F.col("n") * 2 > F.col("whole")).groupBy("host").agg(F.max_by("path", rank).alias("article"))
+    tokens = template.groupBy("host").agg(F.collect_list("token").alias("tokens"))
+    return written(tokens.join(article, "host", "left"), "templates")
+
+
+def main_text(page: str | None, template: frozenset[int] | set[int], article: str | None = None) -> str:
+    """The article's text, a line for each block: the slots of the element `article`, or what names tell."""
     if not page:
         return ""
     blocks, _ = parse(page)
-    kept = [b for b in blocks if not b.aside]
-    if any(b.main for b in kept):
-        kept = [b for b in kept if b.main]
+    free = [b for b in blocks if not b.aside]
+    if article:
+        inside = f"{article}/"
+        slots = [b for b in free if _hash(_block_token(b)) not in template]
+        kept = [b for b in slots if b.path == article or b.path.startswith(inside) or b.path.rpartition("/")[2].partition(".")[0] == "h1"]
+        if any(b.path == article or b.path.startswith(inside) for b in kept):
+            return "\n".join(b.text for b in kept)
+    if any(b.main for b in free):
+        free = [b for b in free if b.main]
     elif template:
-        kept = [b for b in kept if not all(_hash(f"{b.path} {w}") in template for w in b.text.split())]
-    return "\n".join(b.text for b in kept)
+        free = [b for b in free if not all(_hash(f"{b.path} {w}") in template for w in b.text.split())]
+    return "\n".join(b.text for b in free)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """Rows (page_id, url, text, n_chars), one for each row of pages.
 
     A null or empty html has an empty text. Rows with a null URL form a host of their own. Repeated
-    rows stay. Other columns are not read.
+    rows stay. Other columns are not read. Hosts with fewer than min_pages pages, or with one page
+    alone in any number of copies, have no template; names of elements and classes decide there.
     """
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
-    found = written(templates(rows), "templates")
-    joined = rows.join(found, "host", "left") if found.count() > 0 else rows.withColumn("tokens", F.lit(None).cast("array<long>"))
+    rows = pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(url_col).alias("url"), quoted(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
+    joined = rows.join(templates(rows, min_pages), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, template = None, frozenset()
         for batch in batches:
             texts = []
-            for host, page, tokens in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+            for host, page, tokens, article in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist(), strict=True):
                 if host != last:
                     last, template = host, frozenset(tokens.as_py() or ())
-                texts.append(main_text(page, template))
+                texts.append(main_text(page, template, article))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "host", "html", "tokens").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "host", "html", "tokens", "article").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -64,6 +64,78 @@ def test_named_elements_around_the_article_stay():
     assert text("<article>Kern</article><div id=comments><article>Ein sehr langer Kommentar eines Lesers</article></div>") == "Kern"
 
 
+def test_titles_and_loose_quotes():
+    assert text("<article><header><h1>Titel</h1></header><div class='entry-header'>Vorspann</div><p>Text <a href=x title=it's>mehr</a></p></article>") == "Titel\nVorspann\nText mehr"
+    assert text("<article><p>Text</p><section class='opiniones'><p>Leser</p></section></article>") == "Text"
+    assert text("<div class='nav'><ul><li>Menü</li></ul><main><p>Der Text danach</p></main>") == "Der Text danach"
+
+
+def site(r, i, names):
+    """A page and its article: with telling names, or with the same elements as plain div."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    title, own = line(4), [line(r.randrange(12, 40)) for _ in range(r.randrange(2, 6))]
+    nav = "".join(f"<li><a href='/{k}'>{word()}</a></li>" for k in range(5))
+    parts = [("nav", "", f"<ul>{nav}</ul>"), ("div", "class='ad'", line(9)), ("article", "", f"<h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in own) + "<p>Mehr zu diesem Thema</p>"), ("footer", "", f"Impressum {word()}")]
+    body = "".join(f"<{tag} {kind}>{x}</{tag}>" if names else f"<div>{x}</div>" for tag, kind, x in parts)
+    return i, f"http://h{i % 2}.de/{i}", page(body), "\n".join([title, *own])
+
+
+def test_the_template_gives_the_text_with_and_without_names(spark):
+    r = random.Random(8)
+    rows = [site(r, i, names=i % 2 == 0) for i in range(60)]
+    got = {x.page_id: x.text for x in ht.extract(spark.createDataFrame([x[:3] for x in rows], "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == {i: want for i, _, _, want in rows}
+    few = [site(random.Random(9), i, names=True) for i in (0, 2)]
+    got = {x.page_id: x.text for x in ht.extract(spark.createDataFrame([x[:3] for x in few], "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{want}\nMehr zu diesem Thema" for i, _, _, want in few}  # no template in so few pages: names decide
+
+
+def brute_template(pages):
+    """Tokens of the valid classes and the article's element, from whole occurrence vectors."""
+    pages = sorted(set(pages))
+    parsed, counts = [ht.parse(x) for x in pages], [ht._tokens(x) for x in pages]
+    classes = {}
+    for token in set().union(*counts):
+        vector = tuple(c[token] for c in counts)
+        if sum(map(bool, vector)) >= ht.MIN_SHARE * len(pages):
+            classes.setdefault(vector, set()).add(token)
+    template = set()
+    for tokens in (x for x in classes.values() if len(x) >= ht.MIN_TOKENS):
+        orders = []
+        for blocks, tags in parsed:
+            events, at = [], 0
+            for b in blocks:
+                events += [f"<{x}" for x in tags[at : b.at]] + [ht._block_token(b), *(f"{b.path} {w}" for w in b.text.split())]
+                at = b.at
+            events += [f"<{x}" for x in tags[at:]]
+            if own := tuple(dict.fromkeys(x for x in events if x in tokens)):
+                orders.append(own)
+        if max(map(orders.count, orders)) >= ht.MIN_SHARE * len(orders):
+            template |= tokens
+    mass = {}
+    for blocks, _ in parsed:
+        for b in blocks:
+            if not b.aside and ht._block_token(b) not in template:
+                for path in (p for p in ht._chain(b.path) if f"<{p}" in template):
+                    mass[path] = mass.get(path, 0) + len(b.text)
+    half = [p for p, n in mass.items() if 2 * n > max(mass.values())]
+    named = [p for p in half if p.rpartition("/")[2].split(".")[0] in ht.MAIN]
+    return {ht._hash(x) for x in template}, min(named, key=len) if named else max(half, key=lambda p: p.count("/"))
+
+
+def test_templates_equal_brute_force(spark):
+    r = random.Random(5)
+    hosts = {}
+    for host in ("a", "b", "c"):
+        for i in range(r.randrange(5, 12)):
+            mixed = "<p>eins zwei drei vier</p>" if i % 3 else "<p>vier drei zwei eins</p>"  # one vector each, two orders
+            hosts.setdefault(host, []).append(site(r, i, host == "a")[2].replace("Impressum", mixed if host == "b" else "Impressum"))
+    rows = spark.createDataFrame([(h, x) for h, own in hosts.items() for x in own], "host string, html string").repartition(3)
+    for x in ht.templates(rows).collect():
+        assert (set(x.tokens), x.article) == brute_template(hosts[x.host])
+
+
 def test_copies_are_no_template(spark):
     copy = "<div>Dieser Text steht auf allen Kopien</div>"
     rows = [(i, "http://a/", copy) for i in range(7)] + [(9, "http://a/", "<div>Ganz anders</div>")] + [(10 + i, "http://b/", copy) for i in range(5)]
