@@ -25,7 +25,9 @@ A document's set holds its distinct k-word shingles. Two documents link when
    than H, and the other shares more than half of its own delta with it. The deltas' prefixes, tokens
    that few members of the group lack or add first, are the keys of the next turn, which goes through
    steps 4 and 5 again. What texts of a group have in common is in no delta and makes no key.
-6. Verification intersects the whole sets, computed again from whole texts.
+6. A pair is verified by the intersection of the whole sets, computed again from whole texts. Texts move
+   only for pairs that their parities let pass: the bits that an odd number of a set's shingles fall on.
+   Where the parities of two sets differ, the sets do, so more such bits than H rule a link out.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docdelta.llm.common import connected, discard, small_batches, utf8, written
+from docdelta.llm.common import connected, discard, quoted, small_batches, utf8, written
 from docdelta.llm.shingles import overlap, set_digest, shingle_set
 
 #: At most so many shingles are in the frequent class (8 bytes each in the broadcast).
@@ -51,6 +53,8 @@ RUN = 4_000_000
 RUN_MIN = 4
 #: Sets up to this size index pairs of frequent shingles.
 SMALL = 200
+#: Bits of a set's parity, by 64.
+PARITY = 32
 #: Bits of the filter that picks the texts worth moving; it lets too many pass, never too few.
 FILTER_BITS = 1 << 24
 #: Open keys with at most so many members have their pairs verified without deltas.
@@ -69,8 +73,14 @@ def _least(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _describe(k: int):
-    """Rows (kind 0: doc_id, node, n) for each document and (kind 1: count, shingle, 0) for common shingles."""
+    """Rows (kind 0: doc_id, node, n) for each document, (kind 1: count, shingle) for common shingles, and
+    (kind 2: node, n, packed text, parity) for each node with shingles, without the copies that a task sees."""
 
     def common(held: list[np.ndarray]) -> pa.RecordBatch | None:
         if not held:
@@ -79,16 +89,18 @@ def _describe(k: int):
         keep = counts >= RUN_MIN
         if not keep.any():
             return None
-        n = int(keep.sum())
-        return rows(np.ones(n, np.int32), pa.array(counts[keep].astype(np.int64)), tokens[keep].view(np.int64), np.zeros(n, np.int32))
+        return rows(1, pa.array(counts[keep].astype(np.int64)), tokens[keep].view(np.int64), np.zeros(int(keep.sum()), np.int32))
 
-    def rows(kind, a, b, n):
-        return pa.RecordBatch.from_arrays([pa.array(kind), a, pa.array(b), pa.array(n)], ["kind", "a", "b", "n"])
+    def rows(kind, a, b, n, texts=None, parities=None):
+        size = len(b)
+        texts = pa.nulls(size, pa.binary()) if texts is None else pa.array(texts, pa.binary())
+        parities = pa.nulls(size, pa.list_(pa.int64())) if parities is None else pa.array(parities, pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), a, pa.array(b), pa.array(n), texts, parities], ["kind", "a", "b", "n", "text", "parity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
+        held, size, seen, pack = [], 0, set(), zstandard.ZstdCompressor(3)  # texts move with each pair: packed well, they move cheaply
         for batch in batches:
-            nodes, sizes = [], []
+            nodes, sizes, new = [], [], []
             for text in utf8(batch.column(1)):
                 shingles = shingle_set(text, k)
                 nodes.append(node := set_digest(shingles))
@@ -99,12 +111,16 @@ def _describe(k: int):
                     seen.add(node)
                     held.append(shingles)
                     size += len(shingles)
+                    if len(shingles):
+                        new.append((node, len(shingles), pack.compress(text), _parity(shingles)))
                 if size >= RUN:
                     if (out := common(held)) is not None:
                         yield out
                     held, size = [], 0
-            n = batch.num_rows
-            yield rows(np.zeros(n, np.int32), batch.column(0).cast(pa.int64()), np.array(nodes, np.int64), np.array(sizes, np.int32))
+            yield rows(0, batch.column(0).cast(pa.int64()), np.array(nodes, np.int64), np.array(sizes, np.int32))
+            if new:
+                own, lengths, texts, parities = zip(*new, strict=True)
+                yield rows(2, pa.nulls(len(new), pa.int64()), np.array(own, np.int64), np.array(lengths, np.int32), texts, parities)
         if (out := common(held)) is not None:
             yield out
 
@@ -132,18 +148,14 @@ def _keys(shingles: np.ndarray, is_frequent: np.ndarray, percent: int) -> np.nda
 
 
 def _index(k: int, percent: int, frequent: np.ndarray):
+    """Entries of nodes (node, packed text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             keys, nodes, sizes, counts = [], [], [], []
-            for text in utf8(batch.column(0)):
-                shingles = shingle_set(text, k)
-                node = set_digest(shingles)
-                if not len(shingles) or node in seen:
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(node)
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shingles = shingle_set(unpack.decompress(text), k)
                 at = np.searchsorted(frequent, shingles)
                 at[at == len(frequent)] = 0
                 is_frequent = frequent[at] == shingles if len(frequent) else np.zeros(len(shingles), bool)
@@ -158,29 +170,6 @@ def _index(k: int, percent: int, frequent: np.ndarray):
     return run
 
 
-def _texts(k: int, bits: np.ndarray):
-    """The packed text of each node that the filter lets pass, without the copies that a task sees."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, pack = set(), zstandard.ZstdCompressor(3)  # texts move with each pair: packed well, they move cheaply
-        for batch in batches:
-            nodes, texts = [], []
-            for text in utf8(batch.column(0)):
-                node = set_digest(shingle_set(text, k))
-                place = (node >> 8) % FILTER_BITS
-                if node in seen or not bits[place >> 3] >> (place & 7) & 1:
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(node)
-                nodes.append(node)
-                texts.append(pack.compress(text or b""))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.binary())], ["node", "text"])
-
-    return run
-
-
 def _filter(nodes: DataFrame) -> np.ndarray:
     """FILTER_BITS bits with those of the nodes set: a few kilobytes a row, a fixed number of rows."""
     place = F.pmod(F.shiftright("node", 8), F.lit(FILTER_BITS))
@@ -191,16 +180,25 @@ def _filter(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _picked(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the texts (node, text) that the pairs (a, b) may need."""
-    bits = _filter(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+def _picked(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Those rows of texts (node first) whose nodes the filter lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = (batch.column(0).to_numpy(zero_copy_only=False) >> 8) % FILTER_BITS
             yield batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
 
-    return texts.mapInArrow(run, "node long, text binary")
+    return texts.mapInArrow(run, texts.schema)
+
+
+def _possible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that may link by sizes and parities; written."""
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    out = written(met.where(_sizes_fit("n_a", "n_b", percent) & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))).select("a", "b"), "possible")
+    discard(pairs)
+    return out
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, with_delta: bool = False) -> DataFrame:
@@ -230,7 +228,10 @@ def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, with_del
     names = ["a", "b", "n_a", "n_b", "linked", "delta"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
     small_batches(pairs.sparkSession)
-    picked = written(_picked(texts, pairs), "picked")
+    if not with_delta:
+        pairs = _possible(pairs, texts, percent)
+    bits = _filter(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    picked = written(_picked(texts.select("node", "text"), bits), "picked")
     sided = pairs.join(picked.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     sided = sided.join(picked.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     out = written(sided.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_a int, n_b int, linked boolean, delta array<long>"), "compared")
@@ -266,9 +267,9 @@ def _leads(entries: DataFrame) -> DataFrame:
     return written(found.select("key", F.col("x.node").alias("lead"), F.col("x.n").alias("n_lead"), F.col("x.component").alias("of_lead"), "members"), "leads")
 
 
-def _stars(entries: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
+def _stars(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b): each node with one leader of another component, the one with which it shares most keys."""
-    met = entries.join(leads, "key").where((F.col("component") != F.col("of_lead")) & _sizes_fit("n", "n_lead", percent))
+    met = entries.where((F.col("component") != F.col("of_lead")) & _sizes_fit("n", "n_lead", percent))
     met = met.groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("keys"))
     return written(met.groupBy("a").agg(F.max_by("b", F.struct("keys", "b")).alias("b")), "pairs")
 
@@ -326,14 +327,14 @@ def _links(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     for turn in range(TURNS + 1):
         leads = _leads(entries)
         pairs = leads.agg(F.sum(F.col("members") * (F.col("members") - 1) / 2)).head()[0] or 0
-        add(_compared(_stars(entries, leads, percent), texts, k, percent))
-        left = _open(entries.drop("component"), label())
-        discard(entries)
-        large = leads.where(F.lit(turn < TURNS and (turn == 0 or pairs > DIRECT / 2 * linear)) & (F.col("members") > DIRECT)).select("key", "lead")
-        few = left.join(large.select("key"), "key", "left_anti")
-        add(_compared(_direct(few, percent), texts, k, percent))
-        far = written(left.join(large, "key").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "far")
-        discard(left, leads)
+        led = written(entries.join(leads, "key"), "led")
+        add(_compared(_stars(led, percent), texts, k, percent))
+        left = _open(led.drop("component", "of_lead"), label())
+        discard(entries, leads, led)
+        large = F.lit(turn < TURNS and (turn == 0 or pairs > DIRECT / 2 * linear)) & (F.col("members") > DIRECT)
+        add(_compared(_direct(left.where(~large), percent), texts, k, percent))
+        far = written(left.where(large & (F.col("node") != F.col("lead"))).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "far")
+        discard(left)
         if not far.head(1):
             break
         deltas = _compared(far, texts, k, percent, with_delta=True)
@@ -354,22 +355,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     if not 50 < percent <= 100:
         raise ValueError("the prefixes are exact for a percentage above 50 and up to 100")
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = written(docs.mapInArrow(_describe(k), "kind int, a long, b long, n int"), "sets")
+    docs = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
+    seen = written(docs.mapInArrow(_describe(k), "kind int, a long, b long, n int, text binary, parity array<long>"), "sets")
     rows = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n")
     often = seen.where("kind = 1").groupBy("b").agg(F.sum("a").alias("held")).orderBy(F.desc("held"), "b").limit(FREQUENT)
     frequent = np.sort(np.array([x.b for x in often.collect()], np.int64).view(np.uint64))
+    whole = seen.where("kind = 2").select(F.col("b").alias("node"), "n", "text", "parity")
 
-    entries = written(docs.select("text").mapInArrow(_index(k, percent, frequent), "key long, node long, n int, keys int"), "index")
-    sizes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("size"))
+    entries = written(whole.select("node", "text").mapInArrow(_index(k, percent, frequent), "key long, node long, n int, keys int"), "index")
+    sizes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     sizes = written(sizes, "nodes")
+
     several = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key")
     several = written(_banded(entries.join(several, "key").distinct(), percent), "banded")
     discard(entries)
     keys = several.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key")
     shared = written(several.join(keys, "key"), "shared")
     discard(several)
-    texts = docs.select("text").mapInArrow(_texts(k, _filter(shared)), "node long, text binary").groupBy("node").agg(F.first("text").alias("text"))
+    texts = _picked(whole, _filter(shared)).groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text"), F.first("parity").alias("parity"))
     texts = written(texts, "texts")
     label = _links(shared, texts, k, percent)
     discard(shared, texts)
