@@ -45,11 +45,24 @@ def names_beside(results: list[str], columns: list[str]) -> list[str]:
     return out
 
 
-def mapped(docs: DataFrame, inputs: list[Column], out: StructType, make: Callable[[], Callable[..., list[pa.Array]]], keep: list[str] | None = None) -> DataFrame:
+def _together(batches: Iterator[pa.RecordBatch], hold: int) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= hold:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def mapped(docs: DataFrame, inputs: list[Column], out: StructType, make: Callable[[], Callable[..., list[pa.Array]]], keep: list[str] | None = None, hold: int = 0) -> DataFrame:
     """The columns of out before those of docs, or those in keep, row by row.
 
     make is called in each task; what it returns turns a batch's input columns into the result
-    columns. The columns of docs keep their types and their names, but one that a result bears gets
+    columns; with hold, batches are put together until they have so many bytes. The columns of docs keep their types and their names, but one that a result bears gets
     `_input` behind its name.
     """
     small_batches(docs.sparkSession)
@@ -61,7 +74,7 @@ def mapped(docs: DataFrame, inputs: list[Column], out: StructType, make: Callabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
+        for batch in _together(batches, hold) if hold else batches:
             yield pa.RecordBatch.from_arrays([*each(*batch.columns[:n]), *batch.columns[n:]], [*new, *own])
 
     rows = docs.select(*[x.alias(f"i{k}") for k, x in enumerate(inputs)], *[quoted(x).alias(y) for x, y in zip(kept, own, strict=True)])

@@ -27,7 +27,8 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ MIN_SHARE = 0.6
 #: Hosts with fewer pages deduce nothing: in so few, words of an article easily have equal vectors.
 MIN_PAGES = 4
 #: Tokens that a task sums up before it hands them on.
-HELD_TOKENS = 500_000
+HELD_TOKENS = 2_000_000
 #: A page counts as this many units, shared among its copies.
 UNIT = 1 << 32
 
@@ -202,39 +203,84 @@ def _tokens(page: str) -> Counter[str]:
     return out
 
 
-def _hash(text: str) -> int:
-    """48 bits: they tell the tokens of a host apart and move cheaply."""
-    return xxhash.xxh3_64_intdigest(text.encode()) >> 16
+_MIX = 0x9E3779B97F4A7C15
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums for each host and token of a task: pages, and hash of the occurrence vector."""
-    sums: dict[str, dict[int, int]] = {}  # hash sum in the upper bits, units of pages in the lower 64
-    held = 0
+def _half(text: str) -> int:
+    h = xxhash.xxh3_64_intdigest(text.encode())
+    return h - (h >> 63 << 64)
+
+
+def _hash(token: str) -> int:
+    """48 bits: they tell the tokens of a host apart and move cheaply. Made of what stands before the first blank and behind it."""
+    head, _, tail = token.partition(" ")
+    return (_half(head) + _half(tail) * _MIX & 0xFFFFFFFFFFFFFFFF) >> 16
+
+
+class _Known(dict):
+    """Hashes that a worker remembers, as most paths and words come again."""
+
+    def __init__(self, hashed: Callable[[str], int]):
+        self.hashed = hashed
+
+    def __missing__(self, text: str) -> int:
+        if len(self) >= HELD_TOKENS:
+            self.clear()
+        h = self[text] = self.hashed(text)
+        return h
 
-    def out() -> pa.RecordBatch:
-        hosts = pa.array([h for h, own in sums.items() for _ in own], pa.string())
-        tokens = np.fromiter((t for own in sums.values() for t in own), np.int64, held)
-        pages = np.fromiter((v & 0xFFFFFFFFFFFFFFFF for own in sums.values() for v in own.values()), np.int64, held)
-        vectors = np.fromiter((v >> 64 & 0xFFFFFFFFFFFF for own in sums.values() for v in own.values()), np.int64, held)
-        return pa.RecordBatch.from_arrays([hosts, *map(pa.array, (tokens, pages, vectors))], ["host", "token", "pages", "vector"])
+
+_half_of = _Known(_half)
+_tag_of = _Known(lambda path: _hash(f"<{path}"))
+
+
+def _sequence(page: str) -> tuple[list[Block], np.ndarray, np.ndarray]:
+    """The blocks, the place of each block's token, and the hashes of all tokens in page order."""
+    blocks, tags = parse(page)
+    split = [b.text.split() for b in blocks]
+    sizes = np.array([len(x) for x in split], np.int64)
+    before = np.cumsum(sizes) - sizes
+    places = np.array([b.at for b in blocks], np.int64) + np.arange(len(blocks)) + before
+    words = np.fromiter(map(_half_of.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum())).view(np.uint64)
+    paths = np.repeat(np.fromiter((_half_of[b.path] for b in blocks), np.int64, len(blocks)).view(np.uint64), sizes)
+    at = np.arange(len(words)) + np.repeat(places + 1 - before, sizes)
+    out, rest = np.empty(len(tags) + len(blocks) + len(words), np.int64), np.ones(len(tags) + len(blocks) + len(words), bool)
+    out[at] = ((paths + words * np.uint64(_MIX)) >> np.uint64(16)).astype(np.int64)
+    out[places] = [_hash(_block_token(b)) for b in blocks]
+    rest[at] = rest[places] = False
+    out[rest] = np.fromiter(map(_tag_of.__getitem__, tags), np.int64, len(tags))
+    return blocks, places, out
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums for each host and token of a task: pages, in UNITs, and hash of the occurrence vector, modulo 2**48."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray, int]]] = {}
+    size = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for host, own in held.items():
+            tokens = np.concatenate([x for x, _, _ in own])
+            order = np.argsort(tokens, kind="stable")
+            tokens = tokens[order]
+            starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+            vectors = np.add.reduceat(np.concatenate([x for _, x, _ in own])[order], starts) & np.uint64((1 << 48) - 1)
+            pages = np.add.reduceat(np.repeat([n for _, _, n in own], [len(x) for x, _, _ in own])[order], starts)
+            yield pa.RecordBatch.from_arrays([pa.array([host] * len(starts), pa.string()), *map(pa.array, (tokens[starts], pages, vectors.astype(np.int64)))], ["host", "token", "pages", "vector"])
 
     for batch in batches:
         hosts, contents, copies, pages = (batch.column(i).to_pylist() for i in range(4))
         for host, content, n, page in zip(hosts, contents, copies, pages, strict=True):
-            own = sums.setdefault(host, {})
-            before, marks = len(own), {}
-            for token, count in _tokens(page or "").items():
-                if (mark := marks.get(count)) is None:
-                    mark = marks[count] = (_hash(f"{content} {count}") << 64) + round(UNIT / n)
-                key = _hash(token)
-                own[key] = own.get(key, 0) + mark
-            held += len(own) - before
-            if held >= HELD_TOKENS:
-                yield out()
-                sums, held = {}, 0
-    if held:
-        yield out()
+            tokens, counts = np.unique(_sequence(page or "")[2], return_counts=True)
+            if not len(tokens):
+                continue
+            kinds, which = np.unique(counts, return_inverse=True)
+            marks = np.array([_hash(f"{content} {x}") for x in kinds.tolist()], np.uint64)
+            held.setdefault(host, []).append((tokens, marks[which], round(UNIT / n)))
+            size += len(tokens)
+            if size >= HELD_TOKENS:
+                yield from out()
+                held, size = {}, 0
+    yield from out()
 
 
 def host_of(url):
@@ -273,40 +319,28 @@ def _orders_and_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     """For pages (host, html, tokens), summed for each task: pages by host, class and order of the class's tokens
     (kind 0: class, order), and slot text by element (kind 1: token of the element, 1 if named as main, path)."""
     sums: Counter[tuple] = Counter()
-    last, of_class = None, {}
+    last, template, of_class = None, np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
         for host, page, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             if host != last:
-                last, of_class = host, dict(zip(tokens.values.field(0).to_pylist(), tokens.values.field(1).to_pylist(), strict=True))
-            blocks, tags = parse(page or "")
-            orders: dict[int, dict[int, None]] = {}
-            hashes: dict[str, int] = {}
-
-            def see(token: str) -> bool:
-                if (h := hashes.get(token)) is None:
-                    h = hashes[token] = _hash(token)
-                if (own := of_class.get(h)) is None:
-                    return False
-                orders.setdefault(own, {}).setdefault(h)
-                return True
-
-            at = 0
-            for block in blocks:
-                for tag in tags[at : block.at]:
-                    see(f"<{tag}")
-                at = block.at
-                fixed = see(_block_token(block))
-                for word in block.text.split():
-                    see(f"{block.path} {word}")
-                if not fixed and not block.aside:
-                    for path in _chain(block.path):
-                        if (h := hashes.get(f"<{path}")) in of_class:
-                            name = path.rpartition("/")[2].partition(".")[0].partition("#")[0]
-                            sums[host, 1, h, int(name in MAIN), path] += len(block.text)
-            for tag in tags[at:]:
-                see(f"<{tag}")
-            for own, order in orders.items():
-                sums[host, 0, own, xxhash.xxh3_64_intdigest(np.fromiter(order, np.int64).tobytes()) >> 1, ""] += 1
+                last, (template, of_class) = host, (tokens.values.field(i).to_numpy() for i in (0, 1))
+                order = np.argsort(template)
+                template, of_class = template[order], of_class[order]
+                known = set(template.tolist())
+            blocks, places, every = _sequence(page or "")
+            at = np.minimum(np.searchsorted(template, every), len(template) - 1)
+            found, first = np.unique(at[template[at] == every], return_index=True)
+            found = found[np.argsort(first)]  # the template's tokens in the order of their first places
+            for own in np.unique(of_class[found]):
+                order = template[found[of_class[found] == own]]
+                sums[host, 0, int(own), xxhash.xxh3_64_intdigest(order.tobytes()) >> 1, ""] += 1
+            for block, place in zip(blocks, every[places].tolist(), strict=True):
+                if place in known or block.aside:
+                    continue
+                for path in _chain(block.path):
+                    if (h := _tag_of[path]) in known:
+                        name = path.rpartition("/")[2].partition(".")[0].partition("#")[0]
+                        sums[host, 1, h, int(name in MAIN), path] += len(block.text)
         if len(sums) >= HELD_TOKENS:
             yield _summed(sums)
             sums = Counter()

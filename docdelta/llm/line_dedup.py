@@ -5,7 +5,8 @@ code points or more that two documents or more hold are kept in the document wit
 and dropped from all others. The distinct hashes of those keys are dealt to shards; each shard
 becomes a minimal perfect hash (levels of bits: a key's place at the first level where it is
 alone, its rank is its slot) over compact arrays of fingerprints, document counts and first
-holders. Documents probe the arrays; their lines are never joined.
+holders. Documents probe the arrays; their lines are never joined. A task hashes the lines of a block of
+documents first and then goes through the shards once for the block, however many there are.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ MIN_CHARS = 10
 SHARD_KEYS = 200_000
 #: Bytes of shards that a worker keeps between batches.
 CACHE_BYTES = 96 << 20
+#: Bytes of documents in a block.
+BLOCK_BYTES = 32 << 20
 #: A null id counts as one document, behind all others.
 NO_ID = (1 << 63) - 1
 _SEED = 0x51ED270B
@@ -231,4 +234,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     doc, text = F.coalesce(quoted(id_col).cast("long"), F.lit(NO_ID)), quoted(text_col)
     folder, shards = build_index(docs.select(doc.alias("doc"), text.alias("text")))
-    return mapped(docs, [doc, text], StructType.fromDDL("kept string, n_lines long, n_dropped long"), _probe(folder, shards))
+    return mapped(docs, [doc, text], StructType.fromDDL("kept string, n_lines long, n_dropped long"), _probe(folder, shards), hold=BLOCK_BYTES)

@@ -6,8 +6,9 @@ of the class. A document's score is the sum of the log-probabilities of all its
 
 The words come from the counts over all documents. The most common have outputs of their own in the
 network; every other word has one of BUCKETS outputs by its last bytes, times its own share of that
-bucket's occurrences. Those shares are a Spark table that grows with the corpus and is joined to the
-documents' words; all words that the corpus lacks have one share of a bucket together.
+bucket's occurrences. Those shares are a Spark table that grows with the corpus. Tasks hold its NEAR most
+common words, and the table is joined to the documents' other words; all words that the corpus lacks have
+one share of a bucket together.
 
 Documents are encoded once and dealt by hash to runs of about RUN_TOKENS tokens, and each run to one of
 ROUNDS rounds, so every token is trained on once. In a round each of its runs trains a copy of the
@@ -44,6 +45,8 @@ RATE = 0.15
 ROUNDS = 4
 #: Tokens of a run, about.
 RUN_TOKENS = 500_000
+#: Words without outputs of their own whose counts go to every task.
+NEAR = 200_000
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 400_000
 #: Models that one grouping averages, and the parts that a model is cut into.
@@ -75,11 +78,12 @@ def count_words(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """Ids of words: the most common ones by rank, buckets of other words behind them.
 
-    others has (hash, log_count) of the other words that occur more than once, totals the occurrences
-    of all other words by bucket.
+    others has (hash, log_count) of the other words that occur more than once, near holds the most common
+    of them, totals the occurrences of all other words by bucket.
     """
 
-    def __init__(self, ranked: list[bytes], others: DataFrame | None = None, totals: dict[int, int] | None = None):
+    def __init__(self, ranked: list[bytes], others: DataFrame | None = None, totals: dict[int, int] | None = None, near: dict[int, float] | None = None):
+        self.near = near or {}
         self.ids = {w: i for i, w in enumerate(ranked[:VOCABULARY])}
         self.others = others
         #: log(1 / (total + 1)) of the buckets, 0 for words with outputs of their own.
@@ -108,7 +112,9 @@ def vocabulary_of(counts: DataFrame) -> tuple[Vocabulary, list[int]]:
     others = counts.join(F.broadcast(known), "word", "left_anti")
     bucket = F.pmod(F.crc32(F.unhex(F.expr("right(hex(word), 6)"))), F.lit(BUCKETS))
     totals = {r["bucket"]: r["total"] for r in others.groupBy(bucket.alias("bucket")).agg(F.sum("count").alias("total")).collect()}  # BUCKETS rows
-    return Vocabulary(ranked, others.where("count > 1").select(F.xxhash64("word").alias("hash"), F.ln("count").alias("log_count")), totals), own
+    others = others.where("count > 1").select(F.xxhash64("word").alias("hash"), F.ln("count").alias("log_count"))
+    near = {r["hash"]: r["log_count"] for r in others.orderBy(F.desc("log_count"), "hash").limit(NEAR).collect()}
+    return Vocabulary(ranked, others, totals, near), own
 
 
 class WindowNetwork:
@@ -313,28 +319,28 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: WindowNetwork, text_
 
     def make():
         words_of, flat = shared.value
-        net, shares, known = WindowNetwork(flat), words_of.shares, words_of.ids
-        hashes: dict[bytes, int] = {}
+        net, shares, known, near = WindowNetwork(flat), words_of.shares, words_of.ids, words_of.near
 
-        def rest(split: list[bytes]) -> list[dict]:
-            """The words of a text that have no outputs of their own."""
+        def rest(split: list[bytes]) -> tuple[float, list[dict]]:
+            """Of the words that have no outputs of their own, the summed log-counts of those in near, and the others."""
             if not with_others:
-                return []
-            out = []
+                return 0.0, []
+            counts, out = 0.0, []
             for word, n in Counter(x for x in split if x not in known).items():
-                if (h := hashes.get(word)) is None:
-                    if len(hashes) >= HELD_WORDS:
-                        hashes.clear()
-                    h = hashes[word] = word_hash(word)
-                out.append({"hash": h, "n": n})
-            return out
+                h = word_hash(word)
+                if (own := near.get(h)) is None:
+                    out.append({"hash": h, "n": n})
+                else:
+                    counts += n * own
+            return counts, out
 
         def rate(texts: pa.Array) -> list[pa.Array]:
             split = [words(x) for x in utf8(texts)]
             ids, places, owner = windows([words_of.coded(x) for x in split])
             each = np.concatenate([np.empty(0), *(net.log_probabilities(_near(ids, at), ids[at]) + shares[ids[at]] for i in range(0, len(places), STEP) if len(at := places[i : i + STEP]))])
             n, total = np.bincount(owner, minlength=len(split)), np.bincount(owner, each, len(split)).astype(float)
-            return [pa.array(n, pa.int64()), pa.array(total), pa.array([rest(x) for x in split], pa.list_(pair))]
+            others = [rest(x) for x in split]
+            return [pa.array(n, pa.int64()), pa.array(total + np.array([x for x, _ in others])), pa.array([x for _, x in others], pa.list_(pair))]
 
         return rate
 

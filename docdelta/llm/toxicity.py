@@ -3,8 +3,9 @@
 Categories are predicted one after the other. Each model is a logistic regression over the words
 and the character n-grams of words that a text holds, and over the probabilities of the categories
 before it; for the training rows those come from models that did not see them (out of fold), so a
-later model learns from probabilities as good as it will get. The training rows are a bounded
-sample; features are chosen and documents scored by Spark.
+later model learns from probabilities as good as it will get. Features too are chosen for each fold
+without its rows. The training rows are a bounded sample; features are counted and documents scored by
+Spark.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from docdelta.llm.common import mapped, names_beside, quoted, small_batches, wri
 
 #: At most so many labelled rows of either class of the last category are trained on.
 SAMPLE = 2500
-#: Features that the models see, shared out among the categories.
+#: Features that a model sees, shared out among the categories: a size of the model, whatever the data.
 FEATURES = 3000
 #: Rows of the sample that must hold a feature before it can be chosen.
 MIN_ROWS = 3
@@ -89,25 +90,29 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 1
     return w, float(b)
 
 
-def fit_chain(features: np.ndarray, x: np.ndarray, labels: np.ndarray, weight: np.ndarray, folds: int = FOLDS) -> Chain:
-    """labels: a column for each category. weight: of each row when the cut-off is chosen."""
-    n, fold = len(x), np.arange(len(x)) % folds
-    weights, biases, held = [], [], x
-    out_of_fold = np.zeros(n)
+def fit_chain(features: np.ndarray, x: np.ndarray, labels: np.ndarray, weight: np.ndarray, fold: np.ndarray | None = None, chosen: list[np.ndarray] | None = None) -> Chain:
+    """labels: a column for each category. weight: of each row when the cut-off is chosen. fold: of each row.
+
+    chosen[f] are the columns of x that the models without fold f see, chosen[-1] those of the last models; all if None.
+    """
+    fold = np.arange(len(x)) % FOLDS if fold is None else fold
+    chosen = [np.arange(x.shape[1])] * (FOLDS + 1) if chosen is None else chosen
+    weights, biases = [], []
+    before, out_of_fold = np.empty((len(x), 0), np.float32), np.zeros(len(x))
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(np.float32)
-        out_of_fold = np.zeros(n)
-        for f in range(folds):
+        out_of_fold = np.zeros(len(x))
+        for f, columns in enumerate(chosen[:-1]):
             seen = fold != f
-            if not (~seen).any():
+            if seen.all():
                 continue
-            w, b = fit_logistic(held[seen], y[seen])
-            out_of_fold[~seen] = 1 / (1 + np.exp(-np.clip(held[~seen] @ w + b, -30, 30)))
-        w, b = fit_logistic(held, y)
+            w, b = fit_logistic(np.column_stack((x[seen][:, columns], before[seen])), y[seen])
+            out_of_fold[~seen] = 1 / (1 + np.exp(-np.clip(np.column_stack((x[~seen][:, columns], before[~seen])) @ w + b, -30, 30)))
+        w, b = fit_logistic(np.column_stack((x[:, chosen[-1]], before)), y)
         weights.append(w)
         biases.append(b)
-        held = np.column_stack((held, out_of_fold)).astype(np.float32)
-    return Chain(features, weights, biases, _cutoff(out_of_fold, labels[:, -1], weight))
+        before = np.column_stack((before, out_of_fold)).astype(np.float32)
+    return Chain(features[chosen[-1]], weights, biases, _cutoff(out_of_fold, labels[:, -1], weight))
 
 
 def _cutoff(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -130,6 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
 
     At most `sample` rows of either class of the last category, the first by hash of the id, are
     trained on. Rows that lack an id or a label are left out; of repeated labels the largest counts.
+    Each model sees `features` features, the likeliest to tell a category by chi-square among its own
+    training rows; ties go to the smaller hash.
     """
     last = categories[-1]
     own = [F.max(F.col(c).cast("int")).alias(c) for c in categories]
@@ -147,30 +154,40 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found, pa.list_(pa.int32()))], ["id", *categories, "features"])
 
     small_batches(docs.sparkSession)
-    plan = ", ".join(f"{c} int" for c in categories)
+    plan = ", ".join(f"`{c}` int" for c in categories)
     rows = written(texts.select("id", "text", *categories).mapInArrow(describe, f"id long, {plan}, features array<int>"), "toxicity")
 
-    totals = rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).head()
-    n = totals["n"]
-    if not n:
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int"))
+    sizes = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("all"), *[F.sum(c).alias(f"in_{c}") for c in categories]).collect()}
+    if not sizes:
         return None
-    each = rows.select(F.explode("features").alias("feature"), *categories).groupBy("feature").agg(F.count("*").alias("all"), *[F.sum(c).alias(c) for c in categories])
-    each = written(each.where(F.col("all") >= MIN_ROWS), "features")
-    chosen: set[int] = set()
-    for c in categories:
-        positive = totals[c]
-        gap = F.col(c) * F.lit(float(n)) - F.col("all") * F.lit(float(positive))
-        chi2 = gap * gap / (F.col("all") * (F.lit(float(n)) - F.col("all") + 1))
-        chosen |= {r.feature for r in each.orderBy(F.desc(chi2), "feature").select("feature").limit(features // len(categories)).collect()}
-    names = np.array(sorted(chosen), np.int64)
-    kept = rows.select("id", *categories, F.array_intersect("features", F.array(*[]).cast("array<int>") if not len(names) else F.lit(names.tolist()).cast("array<int>")).alias("at")).orderBy("id")
+    # Of every feature its rows by fold, so that each fold's features can be chosen without the fold.
+    parts = ["all", *(f"in_{c}" for c in categories)]
+    each = rows.select(F.explode("features").alias("feature"), "fold", F.lit(1).alias("all"), *[F.col(c).alias(f"in_{c}") for c in categories])
+    each = each.groupBy("feature").agg(*[F.sum(F.when(F.col("fold") == f, F.col(x)).otherwise(0)).alias(f"{x}_{f}") for f in range(FOLDS) for x in parts])
+    each = written(each.where(sum(F.col(f"all_{f}") for f in range(FOLDS)) >= MIN_ROWS), "features")
+    best: list[set[int]] = []
+    for left_out in (*range(FOLDS), None):
+        seen = [f for f in range(FOLDS) if f != left_out]
+        n = float(sum(sizes[f]["all"] for f in seen if f in sizes))
+        held = sum(F.col(f"all_{f}") for f in seen)
+        own: set[int] = set()
+        for c in categories:
+            positive = float(sum(sizes[f][f"in_{c}"] for f in seen if f in sizes))
+            gap = sum(F.col(f"in_{c}_{f}") for f in seen) * F.lit(n) - held * F.lit(positive)
+            chi2 = gap * gap / (held * (F.lit(n) - held + 1))
+            own |= {r.feature for r in each.where(held > 0).orderBy(F.desc(chi2), "feature").select("feature").limit(features // len(categories)).collect()}
+        best.append(own)
+    names = np.array(sorted(set().union(*best)), np.int64)
+    kept = rows.select("id", "fold", *categories, F.array_intersect("features", F.array(*[]).cast("array<int>") if not len(names) else F.lit(names.tolist()).cast("array<int>")).alias("at")).orderBy("id")
     got = kept.collect()
     x = np.zeros((len(got), len(names)), np.float32)
     for i, r in enumerate(got):
         x[i, np.searchsorted(names, r["at"])] = 1
     y = np.array([[r[c] > 0 for c in categories] for r in got], np.float32).reshape(len(got), len(categories))
     share = {k: counts[k] / max(1, (y[:, -1] == k).sum()) for k in (0, 1)}
-    return fit_chain(names, x, y, np.where(y[:, -1] == 1, share[1], share[0]))
+    chosen = [np.searchsorted(names, np.array(sorted(own), np.int64)) for own in best]
+    return fit_chain(names, x, y, np.where(y[:, -1] == 1, share[1], share[0]), np.array([r["fold"] for r in got]), chosen)
 
 
 def classify(docs: DataFrame, chain: Chain | None, categories: Sequence[str], text_col: str = "text") -> DataFrame:

@@ -28,6 +28,8 @@ from docdelta.llm.common import shared_dir, small_batches, utf8, written
 BLOCK_LINES = 3000
 #: The WARC-Date of every record: pages carry no time.
 DATE = "1970-01-01T00:00:00Z"
+#: Bytes of archives that a task reads back, about.
+TASK_BYTES = 64 << 20
 _LEVEL = 4
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -206,7 +208,8 @@ class Index:
 def read_back(keys: DataFrame, index: str, archives: str, with_payload: bool = False) -> DataFrame:
     """The record of each capture with a key (surt, page_id) in keys, through the index.
 
-    Keys are sorted first, so a task goes through its blocks once.
+    Keys are sorted first, so a task goes through its blocks once. There are as many tasks as archives,
+    more where these have more than TASK_BYTES each. Keys that the index lacks give no row.
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +231,10 @@ def read_back(keys: DataFrame, index: str, archives: str, with_payload: bool = F
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * with_payload]
     small_batches(keys.sparkSession)
-    keys = keys.select("surt", "page_id").distinct().repartitionByRange("surt", "page_id").sortWithinPartitions("surt", "page_id")
+    fs, top = pafs.FileSystem.from_uri(archives)
+    files = [x.size for x in fs.get_file_info(pafs.FileSelector(top, allow_not_found=True)) if x.is_file]
+    tasks = max(1, len(files), -(-sum(files) // TASK_BYTES))
+    keys = keys.select("surt", "page_id").distinct().repartitionByRange(tasks, "surt", "page_id").sortWithinPartitions("surt", "page_id")
     return keys.mapInArrow(look, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
 
 

@@ -52,3 +52,21 @@ def test_odd_rows(odd_docs, no_docs):
     assert sorted(((x.doc_id, x.kept, x.n_lines, x.n_dropped) for x in got), key=repr) == brute([(r.doc_id, r.text) for r in odd_docs.collect()])
     assert {x.node for x in got} == {"x", "y", "z", "w", "", None}
     assert dedup_lines(no_docs).count() == 0
+
+
+def test_a_block_visits_each_shard_once(spark, monkeypatch):
+    """More shards than the cache holds: a block of documents loads none of them twice."""
+    import pyarrow as pa
+
+    docs = [(i, "\n".join(f"line number {(i * 7 + j) % 400}" for j in range(20))) for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc long, text string")
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 20)
+    monkeypatch.setattr(line_dedup, "CACHE_BYTES", 1)
+    folder, shards = line_dedup.build_index(frame)
+    loads = []
+    load = line_dedup._load
+    monkeypatch.setattr(line_dedup, "_load", lambda path: loads.append(path) or load(path))
+    probe = line_dedup._probe(folder, shards)()
+    kept = probe(pa.array([i for i, _ in docs]), pa.array([t for _, t in docs]))[0].to_pylist()
+    assert shards > 10 and len(loads) == len(set(loads)) <= shards
+    assert dict(zip((i for i, _ in docs), kept)) == {x[0]: x[1] for x in brute(docs)}

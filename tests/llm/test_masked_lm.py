@@ -107,8 +107,10 @@ def test_odd_rows(odd_docs, no_docs):
     assert lm.score(no_docs, *lm.fit(no_docs)).count() == 0
 
 
-def test_words_beyond_the_network_have_their_own_probability(spark):
+@pytest.mark.parametrize("near", [200_000, 0])
+def test_words_beyond_the_network_have_their_own_probability(spark, monkeypatch, near):
     """Two words with the same last bytes in the same place: the one that the corpus has more often is likelier."""
+    monkeypatch.setattr(lm, "NEAR", near)
     common = " ".join(f"c{i}" for i in range(lm.VOCABULARY)) + " "
     docs = [(1, common * 12), *((2 + i, "c1 real_xyz c2") for i in range(9)), (50, "c1 junk_xyz c2"), (51, "c1 junkpxyz c2")]
     docs = spark.createDataFrame([(i, t.replace("_", "q")) for i, t in docs], "doc_id long, text string")

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from docdelta.llm import toxicity as tx
+from docdelta.llm.common import names_beside
 
 
 def corpus(seed, n, language=0):
@@ -49,6 +50,50 @@ def test_later_models_get_out_of_fold_probabilities():
     assert (((x @ w + b) > 0) == first).all()
 
 
+def test_inputs_of_later_models_are_out_of_fold(monkeypatch):
+    """Every row has a feature of its own: a model that saw it knows its label, one that did not knows nothing."""
+    r = np.random.default_rng(2)
+    x, y = np.eye(60, dtype=np.float32), r.integers(0, 2, (60, 2)).astype(np.float32)
+    fold = r.integers(0, 5, 60)
+    fits = []
+    fit = tx.fit_logistic
+    monkeypatch.setattr(tx, "fit_logistic", lambda a, b: fits.append(a) or fit(a, b))
+    tx.fit_chain(np.arange(60), x, y, np.ones(60), fold, [np.arange(60)] * 6)
+    want = np.zeros(60)
+    for f in range(5):
+        w, b = fit(x[fold != f], y[fold != f, 0])
+        want[fold == f] = 1 / (1 + np.exp(-(x[fold == f] @ w + b)))
+    assert fits[-1].shape == (60, 61) and np.allclose(fits[-1][:, -1], want, atol=1e-6)
+    w, b = fit(x, y[:, 0])
+    in_fold = 1 / (1 + np.exp(-(x @ w + b)))
+    assert ((in_fold > 0.5) == y[:, 0]).all() and not ((want > 0.5) == y[:, 0]).all()
+
+
+def test_features_of_a_fold_are_chosen_without_it(spark, monkeypatch):
+    rows = corpus(5, 200)
+    docs, labels = frames(spark, rows)
+    got = {}
+    monkeypatch.setattr(tx, "fit_chain", lambda names, x, y, weight, fold, chosen: got.update(names=names, x=x, y=y, fold=fold, chosen=chosen))
+    tx.train(docs, labels, ["low", "toxic"], features=24)
+    found = {i: {y for w in tx.tokens(t) for y in tx.word_features(w)} for i, t, _, _ in rows}
+    ids = sorted(found)  # rows come in the order of their ids
+    label = {i: (a, b) for i, _, a, b in rows}
+    held = [f for f in set().union(*found.values()) if sum(f in x for x in found.values()) >= tx.MIN_ROWS]
+    for f, columns in enumerate(got["chosen"]):
+        seen = [i for i, own in zip(ids, got["fold"]) if own != f]
+        want = set()
+        for c in (0, 1):
+            positive = sum(label[i][c] for i in seen)
+            scored = []
+            for feature in held:
+                have = [label[i][c] for i in seen if feature in found[i]]
+                if have:
+                    scored.append((-((sum(have) * len(seen) - len(have) * positive) ** 2) / (len(have) * (len(seen) - len(have) + 1)), feature))
+            want |= {feature for _, feature in sorted(scored)[:12]}
+        assert set(got["names"][columns]) == want
+    assert len({tuple(c) for c in got["chosen"]}) > 1
+
+
 def test_sample_is_bounded_and_chosen_alike(spark):
     rows = corpus(3, 300)
     docs, labels = frames(spark, rows)
@@ -64,4 +109,4 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert tx.classify(odd_docs, chain, ["low", "toxic"]).count() == 8 and tx.classify(no_docs, chain, ["low", "toxic"]).count() == 0
     assert tx.train(docs, labels.limit(0), ["toxic"]) is None and tx.train(docs, labels.where("toxic = 0"), ["toxic"]) is None
     none = tx.classify(odd_docs, None, ["toxic"])
-    assert none.where(F.col("is_toxic")).count() == 0 and none.columns == ["p_toxic", "is_toxic", *odd_docs.columns]
+    assert none.where(F.col("is_toxic")).count() == 0 and none.columns == ["p_toxic", "is_toxic", *names_beside(["p_toxic", "is_toxic"], odd_docs.columns)]
