@@ -8,6 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from docdelta.checkpoint import shared_dir
 
+
 def encoded(value: Column, is_nested: Column) -> Column:
     """Values as they are stored: nested ones as JSON, others as text; null as None."""
     return F.when(is_nested, F.to_json(value)).otherwise(F.coalesce(value.cast("string"), F.lit("None")))
@@ -15,7 +16,7 @@ def encoded(value: Column, is_nested: Column) -> Column:
 
 def decoded(value: Column) -> Column:
     """The stored text as a variant: parsed where it is JSON, else the text itself."""
-    return F.coalesce(F.try_parse_json(value), F.to_variant_object(F.array(value)))
+    return F.coalesce(F.try_parse_json(value), F.variant_get(F.to_variant_object(F.array(value)), "$[0]", "variant"))
 
 
 def fold(events: DataFrame, sid: str = "sid", field: str = "field", value: str = "value", order: list[str] | None = None) -> DataFrame:

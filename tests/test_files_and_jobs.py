@@ -89,7 +89,7 @@ def test_stream_table_is_in_files(spark, tmp_path):
 
 def test_state_values(spark):
     got = spark.createDataFrame([("True",), ("None",), ("5",), ('{"a": 1}',)], "v string").select(F.to_json(jobs.decoded(F.col("v")))).collect()
-    assert [json.loads(r[0]) for r in got] == [["True"], ["None"], 5, {"a": 1}]
+    assert [json.loads(r[0]) for r in got] == ["True", "None", 5, {"a": 1}]
 
 
 def test_chat(spark):
