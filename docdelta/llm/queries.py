@@ -77,10 +77,11 @@ QUERIES = {
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_TOKENS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[^\\x20\\x09-\\x0D]+')"
 _KEY = _LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
 
-#: DuckDB SQL for the queries that SQL can express. The others train models, search lattices or
-#: connect components; tests hold them against brute force.
+#: DuckDB SQL for the queries that SQL can express. The others train models, search lattices or parse
+#: pages; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_index": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -91,6 +92,15 @@ ORACLE_SQL: dict[str, str] = {
                 CAST(((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
             CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id <> last THEN last END AS refers_to FROM l""",
+    "op3_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_TOKENS} AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS shingle
+            FROM (SELECT * FROM w WHERE len(ws) > 0), LATERAL (SELECT unnest(range(1, greatest(1, len(ws) - 3) + 1)) AS i)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(other) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id)""",
     "op5_line_dedup": f"""
         WITH l AS (SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
             FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i)),
