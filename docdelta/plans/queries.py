@@ -155,7 +155,19 @@ def text_ratio(spark, d):
     return both.select("job_id", "index", F.round(similarity.text_ratio("text_a", "text_b"), 6).alias("ratio"), F.round(text.token_jaccard(F.col("text_a"), F.col("text_b")), 6).alias("jaccard"))
 
 
-@query()
+# Units by list functions: a sentence end becomes chr(1); short units stay open for the next piece, done ones end with chr(2).
+_NUMBERING = "regexp_matches({}, '(?i)^(?:[ivxlcdm]+[\\)\\.]|\\(?\\d+(?:\\.\\d+)*[\\)\\.]|[a-z]\\))$')"
+_HEADING = "regexp_matches({}, '^(?:\\d+(?:\\.\\d+){{0,3}}\\s+)?[A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ0-9 ,:;()/-]{{4,}}$')"
+_BARE = "trim({}, E' \\t\\n\\r')"
+_UNITS = f"""p AS (SELECT doc_id, unnest(regexp_split_to_array({_BARE.format("text")}, '\\n{{2,}}')) AS chunk, generate_subscripts(regexp_split_to_array({_BARE.format("text")}, '\\n{{2,}}'), 1) AS c FROM documents),
+l AS (SELECT doc_id, c, list_filter(list_transform(regexp_split_to_array(chunk, '\\n+'), lambda x: {_BARE.format("x")}), lambda x: x <> '' AND NOT {_NUMBERING.format("x")}) AS ls FROM p),
+w AS (SELECT doc_id, c, list_filter(flatten(list_transform(ls, lambda x: CASE WHEN {_HEADING.format("x")} THEN [x] ELSE list_transform(string_split(regexp_replace(x, '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda y: {_BARE.format("y")}) END)), lambda x: x <> '' AND NOT {_NUMBERING.format("x")}) AS ws FROM l),
+g AS (SELECT doc_id, c, list_reduce(ws, lambda a, x: a || CASE WHEN length(string_split(a, chr(2))[-1]) <= 10 THEN ' ' ELSE chr(2) END || x) AS a FROM w WHERE len(ws) > 0),
+e AS (SELECT doc_id, c, CASE WHEN contains(a, chr(2)) AND length(string_split(a, chr(2))[-1]) <= 10 THEN regexp_replace(a, chr(2) || '([^' || chr(2) || ']*)$', ' \\1') ELSE a END AS a FROM g),
+u AS (SELECT doc_id, flatten(list(string_split(a, chr(2)) ORDER BY c)) AS us FROM e GROUP BY doc_id)"""
+
+
+@query(f"WITH {_UNITS} SELECT doc_id, CAST(generate_subscripts(us, 1) - 1 AS INTEGER) AS unit, unnest(us) AS text FROM u")
 def sentence_units(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", F.posexplode(segment.sentence_units(F.col("text"))).alias("unit", "text"))
     return docs
