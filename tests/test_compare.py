@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -163,3 +164,32 @@ def test_page_lines_and_groups(spark):
     lines = layout.page_lines(spark.createDataFrame(rows, span))
     groups = layout.page_groups(lines, spark.createDataFrame([(1, 1, 100.0)], "doc_id long, page int, height double"))
     assert {r.text: r.block_type for r in groups.collect()} == {"a b c": "table_row", "- punto": "list_item", "Titulo": "header"}
+
+
+def test_patient_model():
+    """Failed calls are tried again, unusable answers asked for without JSON mode, long prompts not sent."""
+    good = json.dumps({"choices": [{"message": {"content": '{"changes": []}'}}]})
+    prompt = [{"role": "user", "content": "uno dos tres"}]
+
+    def run(answers, **options):
+        bodies, pauses, left = [], [], list(answers)
+
+        def post(body):
+            bodies.append(body)
+            if isinstance(x := left.pop(0), Exception):
+                raise x
+            return x
+
+        try:
+            got = decide.patient(post, "m", sleep=pauses.append, **options)(prompt)
+        except Exception as e:
+            got = type(e)
+        return got, ["response_format" in b for b in bodies], pauses
+
+    assert run([good]) == (good, [True], [])
+    assert run([OSError(), OSError(), good]) == (good, [True] * 3, [0.7, 1.4])
+    assert run([OSError()] * 4, attempts=4) == (OSError, [True] * 4, [0.7, 1.4, 2.0])
+    assert run(["nothing of use", good]) == (good, [True, False], [])
+    assert run(["nothing", OSError(), "nothing"]) == ("nothing", [True, False, False], [0.7])
+    assert run([good], window=1800) == (decide.PromptTooLong, [], [])
+    assert decide.prompt_tokens([{"content": "uno dos tres"}, {"content": " "}]) == 28 and decide.request_body(prompt, "m", False)["max_tokens"] == 1800
