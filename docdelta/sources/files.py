@@ -12,11 +12,14 @@ from xml.etree import ElementTree as E
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docdelta.functions.text import LIST_PREFIX
+from docdelta.checkpoint import written
+from docdelta.operators import layout
 from docdelta.schemas import LAYOUT
 
 # Suffixes by kind, engines, and the quality that each format starts from.
@@ -180,14 +183,50 @@ def read_office(files: DataFrame) -> DataFrame:
     return files.where(F.col("extension").isin(*_READERS)).select("path", "extension", "content").mapInArrow(run, LAYOUT.replace("doc_id long", "path string", 1))
 
 
+def read_layout(files: DataFrame) -> DataFrame:
+    """Layout blocks with path for doc_id of all files, each read by what its suffix says. Files of other kinds have none."""
+    texts = layout.text_blocks(read_text(files.where(F.col("extension") == ".txt")), "path")
+    return texts.withColumnRenamed("doc_id", "path").unionByName(read_office(files))
+
+
+def extracted(files: DataFrame) -> DataFrame:
+    """One row for each file that can be read: path, source_format, engine_used, text, blocks (a count by type), quality signals and score.
+
+    A file without text has an empty one, no blocks and null signals. Use validate or view.valid_files to
+    tell why a file is missing.
+    """
+    able = files.where(F.col("extension").isin(".txt", *_READERS)).select("path", F.substring("extension", 2, 10).alias("source_format"))
+    engine = F.when(F.col("source_format") == "txt", "text").otherwise(F.col("source_format"))
+    base = F.create_map(*[F.lit(x) for p in BASE_QUALITY.items() for x in p])
+    blocks = written(read_layout(files).withColumnRenamed("path", "doc_id"), "layout")
+    counts = layout.block_type_counts(blocks).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("block_type", "n")))).alias("blocks"))
+    out = able.withColumn("engine_used", engine)
+    for part in (layout.canonical_text(blocks), counts, layout.quality_signals(blocks)):
+        out = out.join(part.withColumnRenamed("doc_id", "path"), "path", "left")
+    out = layout.quality_scores(out, F.element_at(base, F.col("engine_used")))
+    return out.withColumns({"text": F.coalesce("text", F.lit("")), "blocks": F.coalesce("blocks", F.create_map().cast("map<string, bigint>"))})
+
+
+def text_facade(files: DataFrame) -> DataFrame:
+    """(path, text, quality_score) alone."""
+    return extracted(files).select("path", "text", "quality_score")
+
+
 def write_results(rows: DataFrame, path: str) -> None:
     """Result rows by job. Only the jobs of rows are replaced; a job appears whole or not at all."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sid").parquet(path)
 
 
-def read_results(spark: SparkSession, path: str, sid: str) -> DataFrame:
-    """The rows of one job; the other jobs' folders are not listed."""
-    return spark.read.parquet(path).where(F.col("sid") == sid)
+def read_results(spark: SparkSession, path: str, sid: str) -> DataFrame | None:
+    """The rows of one job, None where nothing was written for it; the other jobs' folders are not listed."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    rows = rows.where(F.col("sid") == sid)
+    return rows if rows.head(1) else None
 
 
 def export_json(rows: DataFrame, path: str) -> None:

@@ -126,3 +126,21 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 40
     assert entry.entry(spark).count() > 0
     assert layout.block_type_counts(layout.text_blocks(spark.createDataFrame([(1, "a\n\n- b")], "doc_id long, text string"))).count() == 3
+
+
+def test_files_are_read_by_suffix(spark, tmp_path):
+    (tmp_path / "a.TXT").write_text("Uno.\nDos.\n\n- Tres.")
+    (tmp_path / "b.docx").write_bytes(b"no archive")
+    (tmp_path / "c.exe").write_bytes(b"x")
+    got = {r.path.rpartition("/")[2]: r for r in files.extracted(files.read_files(spark, f"file://{tmp_path}")).collect()}
+    assert set(got) == {"a.TXT", "b.docx"}
+    a, b = got["a.TXT"], got["b.docx"]
+    assert (a.source_format, a.engine_used, a.text, a.blocks) == ("txt", "text", "Uno. Dos.\n\n- Tres.", {"line": 3, "list_item": 1, "paragraph": 1})
+    assert (b.source_format, b.engine_used, b.text, b.blocks, b.block_count) == ("docx", "docx", "", {}, None) and 0 < a.quality_score <= 1
+    assert files.text_facade(files.read_files(spark, f"file://{tmp_path}")).columns == ["path", "text", "quality_score"]
+
+
+def test_absent_results_are_none(spark, tmp_path):
+    assert files.read_results(spark, f"file://{tmp_path}/none", "s") is None
+    files.write_results(spark.createDataFrame([("s", "x")], "sid string, summary string"), f"file://{tmp_path}/rows")
+    assert files.read_results(spark, f"file://{tmp_path}/rows", "t") is None and files.read_results(spark, f"file://{tmp_path}/rows", "s").count() == 1
