@@ -12,6 +12,7 @@ Scored kinds, added to those when their score reaches MIN_SCORE:
 * iban, two letters, two check digits and 11 to 30 more, remainder 1 modulo 97; the candidate ends
   where its country's length is reached, or at the last place that passes where the country has none
 * ssn, three, two and four digits with hyphens, which needs a context word
+* secret, 20 characters or more of a key or token, letters and digits mixed, which needs one too
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql.types import StructType
 from docdelta.llm.common import mapped, quoted
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn")
+KINDS = (*BASE, "iban", "ssn", "secret")
 MIN_SCORE = 0.6
 #: Code points on either side of a span in which context words count.
 NEAR = 40
@@ -51,8 +52,10 @@ _IBAN_LENGTHS = {
 }
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}")
+
 #: Score of a span that its checksum confirms, or that has none, and what a context word adds.
-SCORES = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.7, "iban": 0.7, "ssn": 0.4}
+SCORES = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.7, "iban": 0.7, "ssn": 0.4, "secret": 0.4}
 BONUS = 0.25
 CONTEXT = {
     "email": re.compile(r"\b(?:e-?mail|mail|contact)\b", re.I),
@@ -61,6 +64,7 @@ CONTEXT = {
     "phone": re.compile(r"\b(?:phone|tel|call|mobile|fax)\b", re.I),
     "iban": re.compile(r"\b(?:iban|account|bank|konto|compte|cuenta)\b", re.I),
     "ssn": re.compile(r"\b(?:ssn|social security)\b", re.I),
+    "secret": re.compile(r"\b(?:token|secret|password|passwd|api[ _-]?key|access[ _-]?key|bearer|authorization|contraseña|passwort|mot de passe)\b", re.I),
 }
 
 
@@ -115,6 +119,12 @@ def _ibans(text: str) -> Iterator[tuple[int, int]]:
                 break
 
 
+def _mixed(text: str) -> bool:
+    """Letters and digits, several of either: no long word and no number."""
+    found = sum(x.isdigit() for x in text)
+    return found >= 3 and sum(x.isalpha() for x in text) >= 3
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base kinds in the order of BASE, then by start."""
     out = [("email", a, b) for a, b in _emails(text)]
@@ -139,6 +149,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
     out += [("iban", a, b, s) for a, b in _ibans(text) if (s := score("iban", text, a, b)) >= MIN_SCORE]
     if "-" in text:
         out += [("ssn", a, b, s) for a, b in _matches(_SSN, text) if (s := score("ssn", text, a, b)) >= MIN_SCORE]
+    out += [("secret", a, b, s) for a, b in _matches(_SECRET, text) if _mixed(text[a:b]) and (s := score("secret", text, a, b)) >= MIN_SCORE]
     return out
 
 

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from docdelta.llm import pii
+from docdelta.llm import pii, queries
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -63,3 +63,26 @@ def test_long_runs_are_linear():
 def test_odd_rows(odd_docs, no_docs):
     assert odd_docs.count() == pii.find_pii(odd_docs).where(F.size("found") == 0).count()
     assert pii.find_pii(no_docs).count() == 0
+
+
+def test_secrets_need_a_context_word():
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert [(k, a, b) for k, a, b, _ in pii.spans(f'token = "{key}" x')] == [("secret", 9, 49)]
+    assert pii.spans(f"commit {key}") == [] and pii.spans("the token donaudampfschifffahrtsgesellschaft") == []
+    assert [k for k, *_ in pii.spans("Password: Zx9-kk28_LLq0pP12abc==")] == ["secret"]
+
+
+def test_registered_columns_equal_the_plain_patterns(spark):
+    import hashlib
+
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = queries.op9_pii(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in want) for x in pii.BASE]
+        line = lambda found: ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+        assert r.base_sha256 == hashlib.sha256(line(want).encode()).hexdigest()
+        every = [(k, a, b) for k, a, b, _ in pii.spans(texts[r.doc_id])]
+        assert r.spans == line(every) and [x for x in every if x[0] in pii.BASE] == want
