@@ -13,11 +13,12 @@ A document's set holds its distinct k-word shingles. Two documents link when
    index has a key for each rare prefix shingle and for each pair of frequent ones. Pairs of pairs
    grow with the prefix, so sets above SMALL shingles index the frequent ones singly as well;
    sizes between take both forms, and so every possible pair of sizes has one in common.
-4. A key that several sets have is split into bands of similar sizes. Each then has a leader, the member with the largest share of keys that others hold too: the least
-   changed text of a group of copies. Each node is verified against the leader with which it shares
-   most keys; large groups of near copies become stars, linear in their size.
-5. Keys that still join different components are open. One with at most DIRECT members has all its
-   pairs verified. In a larger one each member x is compared with the leader L, once for each (x, L),
+4. A key that several sets have is split into bands of similar sizes. Keys with at most DIRECT members
+   have all their pairs verified.
+5. A larger one has a leader, the member with the largest share of keys in such groups: the least changed
+   text of a group of copies. Each node is verified against the leader with which it shares most keys;
+   large groups of near copies become stars, linear in their size. Where the key still joins different
+   components, each member x is compared with the leader L, once for each (x, L),
    and gives its delta d(x), the symmetric difference of the two sets. Since a and b differ in exactly
    d(a) against d(b), a link of a and b is an overlap of their deltas:
    2 * |d(a) & d(b)| >= |d(a)| + |d(b)| - H, with H = (|a| + |b|) * (100 - percent) / (100 + percent).
@@ -54,7 +55,7 @@ RUN_MIN = 4
 #: Sets up to this size index pairs of frequent shingles.
 SMALL = 200
 #: Bits of a set's parity, by 64.
-PARITY = 32
+PARITY = 16
 #: Bits of the filter that picks the texts worth moving; it lets too many pass, never too few.
 FILTER_BITS = 1 << 24
 #: Open keys with at most so many members have their pairs verified without deltas.
@@ -260,11 +261,11 @@ def _open(entries: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _leads(entries: DataFrame) -> DataFrame:
-    """(key, lead, n_lead, of_lead, members): each key's leader with its set's size and component; written."""
+    """(key, lead, n_lead, of_lead): each key's leader with its set's size and component; written."""
     shared = entries.groupBy("node").agg(F.count("*").alias("shared"))
     each = entries.join(shared, "node").withColumn("share", F.col("shared") / F.col("keys"))
-    found = each.groupBy("key").agg(F.max(F.struct("share", "node", "n", "component")).alias("x"), F.count("*").alias("members"))
-    return written(found.select("key", F.col("x.node").alias("lead"), F.col("x.n").alias("n_lead"), F.col("x.component").alias("of_lead"), "members"), "leads")
+    found = each.groupBy("key").agg(F.max(F.struct("share", "node", "n", "component")).alias("x"))
+    return written(found.select("key", F.col("x.node").alias("lead"), F.col("x.n").alias("n_lead"), F.col("x.component").alias("of_lead")), "leads")
 
 
 def _stars(entries: DataFrame, percent: int) -> DataFrame:
@@ -322,18 +323,29 @@ def _links(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
         return connected(out)
 
     start = {"role": F.lit(MEETS_OUT), "d": F.lit(0), "at": F.lit(0), "component": F.col("node")}
-    entries = written(entries.withColumns(start), "open")
+    entries = entries.withColumns(start)
     linear = entries.count()
     for turn in range(TURNS + 1):
-        leads = _leads(entries)
-        pairs = leads.agg(F.sum(F.col("members") * (F.col("members") - 1) / 2)).head()[0] or 0
-        led = written(entries.join(leads, "key"), "led")
+        members = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
+        members = members.where("low != high").select("key", "members")
+        most = DIRECT if turn < TURNS else None
+        if turn and most:
+            pairs = members.agg(F.sum(F.col("members") * (F.col("members") - 1) / 2)).head()[0] or 0
+            most = DIRECT if pairs > DIRECT / 2 * linear else None
+        keyed = entries.join(members, "key")
+        add(_compared(_direct(keyed if most is None else keyed.where(F.col("members") <= most), percent), texts, k, percent))
+        large = written(keyed.where("false" if most is None else F.col("members") > most), "large")
+        if turn:
+            discard(entries)
+        if not large.head(1):
+            discard(large)
+            break
+        leads = _leads(large)
+        led = written(large.join(leads, "key"), "led")
         add(_compared(_stars(led, percent), texts, k, percent))
         left = _open(led.drop("component", "of_lead"), label())
-        discard(entries, leads, led)
-        large = F.lit(turn < TURNS and (turn == 0 or pairs > DIRECT / 2 * linear)) & (F.col("members") > DIRECT)
-        add(_compared(_direct(left.where(~large), percent), texts, k, percent))
-        far = written(left.where(large & (F.col("node") != F.col("lead"))).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "far")
+        discard(large, leads, led)
+        far = written(left.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "far")
         discard(left)
         if not far.head(1):
             break
@@ -367,11 +379,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sizes = written(sizes, "nodes")
 
     several = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key")
-    several = written(_banded(entries.join(several, "key").distinct(), percent), "banded")
+    shared = written(_banded(entries.join(several, "key").distinct(), percent), "shared")
     discard(entries)
-    keys = several.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key")
-    shared = written(several.join(keys, "key"), "shared")
-    discard(several)
     texts = _picked(whole, _filter(shared)).groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text"), F.first("parity").alias("parity"))
     texts = written(texts, "texts")
     label = _links(shared, texts, k, percent)
