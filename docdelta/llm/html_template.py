@@ -8,8 +8,8 @@
    be added up before anything is shuffled, so a host of any size is never gathered. Tokens with equal
    sums form an equivalence class.
 3. A class is large enough with MIN_TOKENS tokens, found in MIN_SHARE of the host's different pages
-   or more; copies count as one. It is valid if its tokens come in one order in MIN_SHARE of the pages
-   that have it. Valid classes nest: a token's path names the elements around it, so the elements that
+   or more; copies count as one. It is valid if its tags and blocks come in one order in MIN_SHARE of the
+   pages that have it; words come in the order of their blocks. Valid classes nest: a token's path names the elements around it, so the elements that
    open and close a class lie inside those of the class around it. They are the host's template, a tree
    of elements with slots between its tokens.
 4. A slot's text is what its template element holds beside template blocks and beside parts that an
@@ -234,10 +234,10 @@ _half_of = _Known(_half)
 _tag_of = _Known(lambda path: _hash(f"<{path}"))
 
 
-def _sequence(page: str) -> tuple[list[Block], np.ndarray, np.ndarray]:
+def _sequence(page: str, with_words: bool = True) -> tuple[list[Block], np.ndarray, np.ndarray]:
     """The blocks, the place of each block's token, and the hashes of all tokens in page order."""
     blocks, tags = parse(page)
-    split = [b.text.split() for b in blocks]
+    split = [b.text.split() if with_words else () for b in blocks]
     sizes = np.array([len(x) for x in split], np.int64)
     before = np.cumsum(sizes) - sizes
     places = np.array([b.at for b in blocks], np.int64) + np.arange(len(blocks)) + before
@@ -316,7 +316,7 @@ def _chain(path: str) -> list[str]:
 
 
 def _orders_and_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For pages (host, html, tokens), summed for each task: pages by host, class and order of the class's tokens
+    """For pages (host, html, tokens), summed for each task: pages by host, class and order of the class's tags and blocks
     (kind 0: class, order), and slot text by element (kind 1: token of the element, 1 if named as main, path)."""
     sums: Counter[tuple] = Counter()
     last, template, of_class = None, np.empty(0, np.int64), np.empty(0, np.int64)
@@ -327,7 +327,7 @@ def _orders_and_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 order = np.argsort(template)
                 template, of_class = template[order], of_class[order]
                 known = set(template.tolist())
-            blocks, places, every = _sequence(page or "")
+            blocks, places, every = _sequence(page or "", with_words=False)
             at = np.minimum(np.searchsorted(template, every), len(template) - 1)
             found, first = np.unique(at[template[at] == every], return_index=True)
             found = found[np.argsort(first)]  # the template's tokens in the order of their first places
@@ -362,8 +362,8 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     sums = sums.mapInArrow(_orders_and_slots, "host string, kind int, of long, mark long, path string, n long")
     sums = written(sums.groupBy("host", "kind", "of", "mark", "path").agg(F.sum("n").alias("n")), "slots")
     orders = sums.where("kind = 0").groupBy("host", F.col("of").alias("class")).agg(F.max("n").alias("most"), F.sum("n").alias("all"))
-    valid = orders.where(F.col("most") >= F.col("all") * MIN_SHARE).select("host", "class")
-    template = written(found.join(valid, ["host", "class"]), "template")
+    mixed = orders.where(F.col("most") < F.col("all") * MIN_SHARE).select("host", "class")
+    template = written(found.join(mixed, ["host", "class"], "left_anti"), "template")
     slots = sums.where("kind = 1").join(template.select("host", F.col("token").alias("of")), ["host", "of"])
     whole = slots.groupBy("host").agg(F.max("n").alias("whole"))
     depth = F.size(F.split("path", "/"))

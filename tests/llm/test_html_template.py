@@ -106,12 +106,12 @@ def brute_template(pages):
         for blocks, tags in parsed:
             events, at = [], 0
             for b in blocks:
-                events += [f"<{x}" for x in tags[at : b.at]] + [ht._block_token(b), *(f"{b.path} {w}" for w in b.text.split())]
+                events += [f"<{x}" for x in tags[at : b.at]] + [ht._block_token(b)]
                 at = b.at
             events += [f"<{x}" for x in tags[at:]]
             if own := tuple(dict.fromkeys(x for x in events if x in tokens)):
                 orders.append(own)
-        if max(map(orders.count, orders)) >= ht.MIN_SHARE * len(orders):
+        if not orders or max(map(orders.count, orders)) >= ht.MIN_SHARE * len(orders):
             template |= tokens
     mass = {}
     for blocks, _ in parsed:
