@@ -1,4 +1,6 @@
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from docdelta.llm import queries
 
 SF = "/root/testdata/sf0.001"
@@ -21,6 +23,7 @@ def test_stages_take_odd_and_no_rows(spark):
     rows = [(1, None, None, None, None), (2, "", "de", "s", 0), (None, "ein zwei drei", "de", "s", 13), (3, "ein zwei drei", "de", "s", 13), (3, "ein zwei drei", "de", "s", 13)]
     for data in (rows, []):
         docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+        docs = docs.withColumns({x: F.lit("x") for x in ("kept", "kept_id", "is_toxic", "clean", "n_hit", "ids", "a.b")})
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.written(stage(spark, docs, SF), "stage")
         assert docs.count() <= len(data) and (not data or docs.count() >= 3)
