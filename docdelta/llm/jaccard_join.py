@@ -327,14 +327,16 @@ def _links(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     linear = entries.count()
     for turn in range(TURNS + 1):
         members = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
-        members = members.where("low != high").select("key", "members")
+        members = written(members.where("low != high").select("key", "members"), "members")
         most = DIRECT if turn < TURNS else None
         if turn and most:
             pairs = members.agg(F.sum(F.col("members") * (F.col("members") - 1) / 2)).head()[0] or 0
             most = DIRECT if pairs > DIRECT / 2 * linear else None
-        keyed = entries.join(members, "key")
-        add(_compared(_direct(keyed if most is None else keyed.where(F.col("members") <= most), percent), texts, k, percent))
-        large = written(keyed.where("false" if most is None else F.col("members") > most), "large")
+        few = members if most is None else members.where(F.col("members") <= most)
+        add(_compared(_direct(entries.join(few, "key"), percent), texts, k, percent))
+        many = written(members.where("false" if most is None else F.col("members") > most).select("key"), "many")
+        large = written(entries.join(many, "key"), "large")
+        discard(members, many)
         if turn:
             discard(entries)
         if not large.head(1):
