@@ -245,10 +245,15 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
 
 
 def _banded(entries: DataFrame, percent: int) -> DataFrame:
-    """The entries with their keys split by size: each set is in two neighbouring bands, and two sets whose
-    sizes fit meet in one of them."""
+    """The entries with their keys split by size, and the members of each: a set is in two neighbouring bands, and
+    two sets whose sizes fit meet in one of them. Bands with one member are left out.
+
+    Entries that a join has dealt by key stay where they are: the windows lie within a key.
+    """
     band = F.floor(F.ln("n") / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else 2 * F.col("n")
-    return entries.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("key", "band").alias("key"), "node", "n", "keys")
+    own = Window.partitionBy("key", "band")
+    rows = entries.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("members", F.count("*").over(own)).where("members > 1")
+    return rows.select(F.xxhash64("key", "band").alias("key"), "node", "n", "keys", "members")
 
 
 def _open(entries: DataFrame, label: DataFrame) -> DataFrame:
@@ -326,17 +331,12 @@ def _links(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     entries = entries.withColumns(start)
     linear = entries.count()
     for turn in range(TURNS + 1):
-        members = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
-        members = written(members.where("low != high").select("key", "members"), "members")
         most = DIRECT if turn < TURNS else None
         if turn and most:
-            pairs = members.agg(F.sum(F.col("members") * (F.col("members") - 1) / 2)).head()[0] or 0
+            pairs = entries.agg(F.sum((F.col("members") - 1) / 2)).head()[0] or 0
             most = DIRECT if pairs > DIRECT / 2 * linear else None
-        few = members if most is None else members.where(F.col("members") <= most)
-        add(_compared(_direct(entries.join(few, "key"), percent), texts, k, percent))
-        many = written(members.where("false" if most is None else F.col("members") > most).select("key"), "many")
-        large = written(entries.join(many, "key"), "large")
-        discard(members, many)
+        add(_compared(_direct(entries if most is None else entries.where(F.col("members") <= most), percent), texts, k, percent))
+        large = written(entries.where("false" if most is None else F.col("members") > most).drop("members"), "large")
         if turn:
             discard(entries)
         if not large.head(1):
@@ -353,7 +353,9 @@ def _links(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
             break
         deltas = _compared(far, texts, k, percent, with_delta=True)
         add(deltas)
-        entries = _open(_delta_entries(deltas, percent), label())
+        left = _open(_delta_entries(deltas, percent), label())
+        entries = written(left.join(left.groupBy("key").agg(F.count("*").alias("members")), "key"), "entries")
+        discard(left)
         if not entries.head(1):
             break
     return label()
