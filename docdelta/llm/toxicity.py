@@ -29,6 +29,7 @@ FEATURES = 3000
 #: Rows of the sample that must hold a feature before it can be chosen.
 MIN_ROWS = 3
 FOLDS = 5
+LEAST_CUTOFF = 0.1
 _SPACE = 1 << 24
 _NGRAMS = (4, 5)
 _WORD = re.compile(r"\w+")
@@ -116,7 +117,8 @@ def fit_chain(features: np.ndarray, x: np.ndarray, labels: np.ndarray, weight: n
 
 
 def _cutoff(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The probability from which a row counts as positive: the best F1 over the rows as weighted."""
+    """The probability from which a row counts as positive: the best F1 over the rows as weighted, but no
+    less than LEAST_CUTOFF, where few rows could put it among the probabilities of clean ones."""
     order = np.argsort(-p, kind="stable")
     p, y, weight = p[order], y[order], weight[order]
     hit, picked = np.cumsum(weight * y), np.cumsum(weight)
@@ -127,7 +129,7 @@ def _cutoff(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     if not len(ok) or best == 0:
         return 1.0
     i = ok[0]
-    return float((p[i] + (p[i + 1] if i + 1 < len(p) else 0)) / 2)
+    return max(LEAST_CUTOFF, float((p[i] + (p[i + 1] if i + 1 < len(p) else 0)) / 2))
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text") -> Chain | None:
