@@ -29,7 +29,7 @@ FEATURES = 3000
 #: Rows of the sample that must hold a feature before it can be chosen.
 MIN_ROWS = 3
 FOLDS = 5
-LEAST_CUTOFF = 0.1
+LEAST_CUTOFF = 0.25
 _SPACE = 1 << 24
 _NGRAMS = (4, 5)
 _WORD = re.compile(r"\w+")
