@@ -11,7 +11,7 @@ from pyspark.sql.types import StructField, StructType
 
 from docdelta.checkpoint import discard, shared_dir, written
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "connected", "discard", "mapped", "names_beside", "quoted", "shared_dir", "small_batches", "table", "utf8", "written"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "connected", "discard", "mapped", "names_beside", "quoted", "shared_dir", "small_batches", "table", "together", "utf8", "written"]
 
 #: Rows and bytes of an Arrow batch that goes to Python: they bound a worker's memory where texts are long.
 BATCH_ROWS = 1000
@@ -45,7 +45,8 @@ def names_beside(results: list[str], columns: list[str]) -> list[str]:
     return out
 
 
-def _together(batches: Iterator[pa.RecordBatch], hold: int) -> Iterator[pa.RecordBatch]:
+def together(batches: Iterator[pa.RecordBatch], hold: int) -> Iterator[pa.RecordBatch]:
+    """The batches, put together until they have so many bytes."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -74,7 +75,7 @@ def mapped(docs: DataFrame, inputs: list[Column], out: StructType, make: Callabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in _together(batches, hold) if hold else batches:
+        for batch in together(batches, hold) if hold else batches:
             yield pa.RecordBatch.from_arrays([*each(*batch.columns[:n]), *batch.columns[n:]], [*new, *own])
 
     rows = docs.select(*[x.alias(f"i{k}") for k, x in enumerate(inputs)], *[quoted(x).alias(y) for x, y in zip(kept, own, strict=True)])
