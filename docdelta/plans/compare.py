@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docdelta.checkpoint import written
@@ -34,10 +34,6 @@ def prepared(docs: DataFrame, corrected: bool = False, target_chars: int = TARGE
     return segmented(clean, "clean_text", target_chars, overlap_chars)
 
 
-def _picked(segments: str, indices: str) -> Column:
-    return F.transform(F.col(indices), lambda i: F.get(F.col(segments), i))
-
-
 def paired(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """Aligned pairs of segments of each job, labelled, with the texts and places of both sides."""
     side = lambda x: documents.select(F.col("doc_id").alias(f"doc_{x}"), F.col("segments").alias(f"segments_{x}"), F.length("clean_text").alias(f"chars_{x}"))
@@ -46,14 +42,13 @@ def paired(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     jobs = jobs.repartition(int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "job_id")
     rows = align.aligned(jobs)
     for x in ("a", "b"):
-        rows = rows.withColumn(f"__{x}", _picked(f"segments_{x}", f"{x}_indices"))
         rows = rows.withColumns({
-            f"text_{x}": joined_texts(F.transform(F.col(f"__{x}"), lambda s: s["text"])),
-            f"block_chars_{x}": F.aggregate(F.col(f"__{x}"), F.lit(0), lambda acc, s: acc + F.length(s["text"])),
-            f"start_{x}": F.coalesce(F.array_min(F.transform(F.col(f"__{x}"), lambda s: s["start_char"])), F.lit(0)),
-            f"end_{x}": F.coalesce(F.array_max(F.transform(F.col(f"__{x}"), lambda s: s["end_char"])), F.lit(0)),
+            f"text_{x}": joined_texts(F.transform(F.col(f"blocks_{x}"), lambda s: s["text"])),
+            f"block_chars_{x}": F.aggregate(F.col(f"blocks_{x}"), F.lit(0), lambda acc, s: acc + F.length(s["text"])),
+            f"start_{x}": F.coalesce(F.array_min(F.transform(F.col(f"blocks_{x}"), lambda s: s["start_char"])), F.lit(0)),
+            f"end_{x}": F.coalesce(F.array_max(F.transform(F.col(f"blocks_{x}"), lambda s: s["end_char"])), F.lit(0)),
             f"{x}_index": F.try_element_at(F.col(f"{x}_indices"), F.lit(-1)),
-        }).drop(f"__{x}", f"segments_{x}")
+        }).drop(f"blocks_{x}")
     return align.labelled(rows)
 
 

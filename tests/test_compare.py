@@ -39,6 +39,16 @@ def texts(seed, n):
     return [" ".join(r.choice("uno dos tres cuatro cinco seis siete ocho nueve diez once doce".split()) for _ in range(r.randrange(3, 14))) for _ in range(n)]
 
 
+def tiled(a, b, tile=3):
+    """The alignment by tiles, as tasks make it."""
+    align.TILE, before = tile, align.TILE
+    try:
+        moves = [x for i in range(0, len(a), tile) for j in range(0, len(b), tile) for x in align.tile_gains(a[i : i + tile + 1], b[j : j + tile + 1], i, j, len(a), len(b))]
+        return align.align_settled(len(a), len(b), moves)
+    finally:
+        align.TILE = before
+
+
 @pytest.mark.parametrize("seed", range(25))
 def test_lazy_alignment_equals_full_evaluation(seed):
     r = random.Random(seed)
@@ -47,18 +57,18 @@ def test_lazy_alignment_equals_full_evaluation(seed):
     if len(b) > 2:
         b[0:2] = [f"{b[0]} {b[1]}"]
     b += texts(seed + 200, r.randrange(2))
-    lazy, full = align.Alignment(a, b).pairs(), align.Alignment(a, b, lazy=False).pairs()
-    assert lazy == full
+    lazy, full = align.align_lazily(a, b), align.align_fully(a, b)
+    assert lazy == full == tiled(a, b)
     for side, n in (("a_indices", len(a)), ("b_indices", len(b))):
         assert [i for p in lazy for i in p[side]] == list(range(n))
 
 
 def test_alignment_edges():
-    assert align.Alignment(["x"], ["x"]).pairs() == [{"a_indices": [0], "b_indices": [0], "alignment_score": 1.0, "match_reason": "1:1"}]
-    assert [p["match_reason"] for p in align.Alignment(["x"], []).pairs()] == ["gap_b"] and [p["match_reason"] for p in align.Alignment([], ["x"]).pairs()] == ["gap_a"]
-    assert align.Alignment([], []).pairs() == []
+    assert align.align_lazily(["x"], ["x"]) == [{"a_indices": [0], "b_indices": [0], "alignment_score": 1.0, "match_reason": "1:1"}]
+    assert [p["match_reason"] for p in align.align_lazily(["x"], [])] == ["gap_b"] and [p["match_reason"] for p in align.align_lazily([], ["x"])] == ["gap_a"]
+    assert align.align_lazily([], []) == []
     long = "el contrato entra en vigor el primer dia del mes siguiente", "y termina cuando ambas partes lo decidan por escrito"
-    assert [p["match_reason"] for p in align.Alignment(list(long), [" ".join(long)]).pairs()] == ["2:1_merge_a"]
+    assert [p["match_reason"] for p in align.align_lazily(list(long), [" ".join(long)])] == ["2:1_merge_a"]
 
 
 def test_orphans_swap():
