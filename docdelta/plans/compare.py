@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from docdelta.checkpoint import written
 from docdelta.functions.similarity import diff_segments
@@ -85,11 +86,67 @@ def compared(docs: DataFrame, pairs: DataFrame, model: Callable[[], decide.Model
 
 def job_meta(decided: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row for each job: counts, coverage and status. Jobs without pairs of segments count 0 and are done."""
-    both = (F.size("a_indices") > 0) & (F.size("b_indices") > 0)
-    done = decided.groupBy("job_id").agg(
-        F.count("*").alias("pairs"), *[F.count_if(F.col("pair_type") == k).alias(k) for k in ("matched", "reanchored", "orphan_a", "orphan_b")],
-        F.count_if(F.col("row_source") == "cache").alias("cache_hits"), F.count_if(F.col("row_source") == "fallback").alias("fallbacks"),
-        *[metrics.coverage(F.sum(F.when(both, F.col(f"block_chars_{x}")).otherwise(0)), F.max(f"chars_{x}")).alias(f"coverage_{x}") for x in ("a", "b")],
+    facts = metrics.job_facts(decided)
+    done = facts.select(
+        "job_id", F.col("total_pairs").alias("pairs"), "matched", "reanchored", "orphan_a", "orphan_b", "cache_hits", F.col("fallback_blocks").alias("fallbacks"), "failed_blocks",
+        *[metrics.coverage(F.col(f"aligned_{x}"), F.col(f"chars_{x}")).alias(f"coverage_{x}") for x in ("a", "b")], "status",
     )
-    out = pairs.select("job_id").join(done, "job_id", "left").join(rows.groupBy("job_id").agg(F.count("*").alias("rows")), "job_id", "left").fillna(0)
-    return out.withColumn("status", metrics.result_status(F.col("pairs"), F.lit(0), F.col("fallbacks")))
+    out = pairs.select("job_id").join(done, "job_id", "left").join(rows.groupBy("job_id").agg(F.count("*").alias("rows")), "job_id", "left")
+    return out.fillna(0).fillna("done", "status")
+
+
+def job_payloads(decided: DataFrame, rows: DataFrame, pairs: DataFrame, documents: DataFrame, target_chars: int = TARGET_CHARS, overlap_chars: int = OVERLAP_CHARS, model_name: str = "local-model", ratio: float = metrics.ERROR_RATIO) -> DataFrame:
+    """The result of each job without its rows: job_id, status, ok, error, progress and meta (audit, cache, segmentation, pairing, diagnostics, error_summary, documents).
+
+    documents is what prepared() gave. A job without pairs has counts of 0 and is done.
+    """
+    side = lambda x: documents.select(F.col("doc_id").alias(f"doc_{x}"), F.length("clean_text").cast("long").alias(f"doc_{x}_chars"), F.size("segments").cast("long").alias(f"doc_{x}_blocks"))
+    jobs = pairs.join(side("a"), "doc_a", "left").join(side("b"), "doc_b", "left").join(metrics.job_facts(decided).drop("chars_a", "chars_b"), "job_id", "left")
+    jobs = jobs.join(rows.groupBy("job_id").agg(F.count("*").alias("final_rows")), "job_id", "left").fillna(0).fillna("done", "status").fillna(False, "threshold_reached")
+    c, zero = F.col, F.lit(0).cast("long")
+    share = F.when(c("total_pairs") > 0, c("failed_blocks") / c("total_pairs")).otherwise(0.0)
+    partial = (c("failed_blocks") > 0) | (c("fallback_blocks") > 0) | c("threshold_reached")
+    errors = F.coalesce(c("errors"), F.array().cast(ArrayType(decide.ERROR)))
+    warnings = F.array_compact(F.array(
+        F.when(c("failed_blocks") > 0, F.format_string("%d de %d bloques fallidos", "failed_blocks", "total_pairs")),
+        F.when(c("fallback_blocks") > 0, F.format_string("%d bloques resueltos con fallback local", "fallback_blocks")),
+    ))
+    detail = F.when(F.size(warnings) > 0, F.array_join(warnings, "; ")).otherwise("se detectaron advertencias")
+    of = lambda **fields: F.struct(*[v.alias(k) for k, v in fields.items()])
+    lit = F.lit
+    progress = of(
+        percent=lit(100), step=F.when(c("status") == "error", "completado_con_errores").otherwise("completado"),
+        detail=F.when(partial, "Comparación finalizada con resultado parcial").otherwise("Comparación finalizada"),
+        completed_pairs=c("compared_pairs"), total_pairs=c("total_pairs"), failed_blocks=c("failed_blocks"), fallback_blocks=c("fallback_blocks"),
+    )
+    pairing = of(strategy=lit(align.ALGORITHM), pair_count=c("total_pairs"), matched_pairs=c("matched"), orphan_a=c("orphan_a"), orphan_b=c("orphan_b"), reanchored_pairs=c("reanchored"))
+    coverage = {f"alignment_coverage_ratio_{x}": metrics.coverage(c(f"aligned_{x}"), c(f"doc_{x}_chars")) for x in ("a", "b")}
+    diagnostics = of(
+        failed_blocks=c("failed_blocks"), fallback_blocks=c("fallback_blocks"), compared_pairs=c("compared_pairs"), total_pairs=c("total_pairs"), failed_ratio=share, partial_result=partial,
+        threshold=c("threshold"), threshold_reached=c("threshold_reached"), **coverage, orphan_pairs=c("orphan_a") + c("orphan_b"), deduplicated_rows=F.greatest(zero, c("rows_before") - c("final_rows")), errors=errors,
+    )
+    summary = of(failed_blocks=c("failed_blocks"), fallback_blocks=c("fallback_blocks"), total_pairs=c("total_pairs"), failed_ratio=share, threshold=c("threshold"), threshold_reached=c("threshold_reached"), valid_rows_before_reconciliation=c("rows_before"), errors=errors)
+    cache = of(policy=lit("incremental_result_file"), resolved_from_cache=c("cache_hits"), resolved_by_llm=c("llm_rows"), resolved_by_fallback=c("fallback_rows"), resolved_by_heuristic=c("heuristic_rows"), failed_blocks=c("failed_blocks"), fallback_blocks=c("fallback_blocks"), model_name=lit(model_name))
+    segmentation = of(target_chars=lit(target_chars), overlap_chars=lit(overlap_chars), doc_a_blocks=c("doc_a_blocks"), doc_b_blocks=c("doc_b_blocks"))
+    documents_ = of(a=of(doc_id=c("doc_a"), clean_chars=c("doc_a_chars"), segment_count=c("doc_a_blocks")), b=of(doc_id=c("doc_b"), clean_chars=c("doc_b_chars"), segment_count=c("doc_b_blocks")))
+    audit = of(all_rows_count=c("final_rows"), filtered_rows_count=c("final_rows"), unchanged_rows_count=zero)
+    meta = of(audit=audit, cache=cache, segmentation=segmentation, pairing=pairing, diagnostics=diagnostics, partial_result=partial, error_summary=summary, documents=documents_)
+    return jobs.select("job_id", "status", (c("status") != "error").alias("ok"), F.when(c("status") != "done", F.concat(lit("Resultado parcial: "), detail)).alias("error"), progress.alias("progress"), meta.alias("meta"))
+
+
+def served(results: DataFrame, states: DataFrame) -> DataFrame:
+    """What a reader of a job gets: its result, or where there is none but its state is an error, that error with no rows.
+
+    results (sid, status, ok, error, rows), states (sid, status, error). Jobs with neither are absent. Each sid is in either table at most once.
+    """
+    kind = results.schema["rows"].dataType
+    lost = states.where(F.lower("status") == "error").join(results, "sid", "left_anti")
+    lost = lost.select("sid", F.lit("error").alias("status"), F.lit(False).alias("ok"), "error", F.array().cast(kind).alias("rows"))
+    return results.select("sid", "status", "ok", "error", "rows").unionByName(lost)
+
+
+def has_useful_data(results: DataFrame) -> DataFrame:
+    """The results that have rows, meta or an error."""
+    rows = F.size(F.coalesce("rows", F.array().cast(results.schema["rows"].dataType))) > 0
+    filled = lambda x: F.coalesce(F.trim(F.col(x).cast("string")), F.lit("")) != ""
+    return results.where(rows | filled("meta") | filled("error"))

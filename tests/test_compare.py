@@ -198,8 +198,9 @@ def test_patient_model():
 
     assert run([good]) == (good, [True], [])
     assert run([OSError(), OSError(), good]) == (good, [True] * 3, [0.7, 1.4])
-    assert run([OSError()] * 4, attempts=4) == (OSError, [True] * 4, [0.7, 1.4, 2.0])
+    assert run([OSError()] * 4, attempts=4) == (decide.ResponseError, [True] * 4, [0.7, 1.4, 2.0])
+    assert run([KeyError("x"), good]) == (good, [True] * 2, [0.7])
     assert run(["nothing of use", good]) == (good, [True, False], [])
-    assert run(["nothing", OSError(), "nothing"]) == ("nothing", [True, False, False], [0.7])
+    assert run(["nothing", OSError(), "nothing"]) == (decide.ResponseError, [True, False, False], [0.7])
     assert run([good], window=1800) == (decide.PromptTooLong, [], [])
     assert decide.prompt_tokens([{"content": "uno dos tres"}, {"content": " "}]) == 28 and decide.request_body(prompt, "m", False)["max_tokens"] == 1800
