@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +40,19 @@ def discard(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_stored: dict[tuple, DataFrame] = {}
+
+
+def stored(key: tuple, source: DataFrame, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make() as a written table that later callers with that key read again, as long as source reads the same files in this application and the table is there."""
+    spark = source.sparkSession
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), *key, tuple(sorted(source.inputFiles())))
+    if (table := _stored.get(key)) is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return table
+    table = written(make(), name)
+    _stored[(*key[:1], spark.conf.get("spark.checkpoint.dir", None), *key[2:])] = table
+    return table

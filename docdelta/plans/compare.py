@@ -10,18 +10,39 @@ from pyspark.sql.types import ArrayType
 
 from docdelta.checkpoint import written
 from docdelta.functions.similarity import diff_segments
-from docdelta.functions.text import collapse, joined_texts, normalize_text
+from docdelta.functions.text import collapse, joined_texts, normalize_text, strip
 from docdelta.operators import align, decide, metrics, postprocess
 from docdelta.operators.segment import OVERLAP_CHARS, TARGET_CHARS, segmented
 
 PREFIX = 60
 
 
-def candidate_pairs(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
-    """(job_id, doc_a, doc_b): documents whose texts begin alike, each with the one before it by id."""
+def _with_text(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull() & (strip(F.coalesce("text", F.lit(""))) != ""))
+
+
+def _jobs(pairs: DataFrame) -> DataFrame:
+    return pairs.where("doc_a is not null").select(F.concat_ws("-", "doc_a", "doc_b").alias("job_id"), "doc_a", "doc_b")
+
+
+def candidate_pairs(docs: DataFrame) -> DataFrame:
+    """(job_id, doc_a, doc_b): each document that has a text with the next one by id. Rows with one id are one document; rows without an id take no part.
+
+    Ranges of ids are paired apart; the first of a range follows the last of the range before it, which
+    takes one row for each range.
+    """
+    ids = _with_text(docs).select("doc_id").distinct().repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
+    ids = written(ids, "ids")
+    inside = ids.select(F.lag("doc_id").over(Window.partitionBy("part").orderBy("doc_id")).alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    edges = ids.groupBy("part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    between = edges.select(F.lag("last").over(Window.orderBy("part")).alias("doc_a"), F.col("first").alias("doc_b"))
+    return _jobs(inside.unionByName(between))
+
+
+def alike_pairs(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
+    """(job_id, doc_a, doc_b): documents whose texts begin alike, each with the one before it by id. Blank texts begin like none."""
     same = Window.partitionBy(F.substring("text", 1, prefix)).orderBy("doc_id")
-    pairs = docs.select(F.lag("doc_id").over(same).alias("doc_a"), F.col("doc_id").alias("doc_b")).where("doc_a is not null")
-    return pairs.select(F.concat_ws("-", "doc_a", "doc_b").alias("job_id"), "doc_a", "doc_b")
+    return _jobs(_with_text(docs).select(F.lag("doc_id").over(same).alias("doc_a"), F.col("doc_id").alias("doc_b")))
 
 
 def prepared(docs: DataFrame, corrected: bool = False, target_chars: int = TARGET_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
@@ -76,11 +97,15 @@ def change_rows(decided: DataFrame, model_name: str = "local-model") -> DataFram
     return postprocess.deduplicated(out)
 
 
+def involved(docs: DataFrame, pairs: DataFrame, corrected: bool = False) -> DataFrame:
+    """The prepared documents of the pairs."""
+    ids = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
+    return prepared(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), corrected)
+
+
 def compared(docs: DataFrame, pairs: DataFrame, model: Callable[[], decide.Model] | None = None, corrected: bool = False) -> DataFrame:
     """The decided pairs of segments of all jobs."""
-    involved = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
-    documents = prepared(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi"), corrected)
-    rows = written(paired(pairs, documents), "pairs")  # alignments are dear, and several branches read them
+    rows = written(paired(pairs, involved(docs, pairs, corrected)), "pairs")  # alignments are dear, and several branches read them
     return written(decide.decided(rows, model), "decided")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docdelta.checkpoint import shared_dir
+from docdelta.checkpoint import shared_dir, stored
 from docdelta.functions import similarity, text
 from docdelta.operators import align, chat, decide, layout, metrics, postprocess, segment, view
 from docdelta.plans import compare
@@ -32,7 +32,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 # SQL that several oracles share.
-_PAIRS = "pairs AS (SELECT doc_a, doc_id AS doc_b, concat(doc_a, '-', doc_id) AS job_id FROM (SELECT doc_id, lag(doc_id) OVER (PARTITION BY substr(text, 1, 60) ORDER BY doc_id) AS doc_a FROM documents) WHERE doc_a IS NOT NULL)"
+_PAIRS = "pairs AS (SELECT doc_a, doc_id AS doc_b, concat(doc_a, '-', doc_id) AS job_id FROM (SELECT doc_id, lag(doc_id) OVER (ORDER BY doc_id) AS doc_a FROM documents WHERE trim(text, E' \\t\\n\\r') <> '') WHERE doc_a IS NOT NULL)"
 _PAIR_TEXTS = f"{_PAIRS}, t AS (SELECT p.job_id, a.text AS ta, b.text AS tb FROM pairs p JOIN documents a ON a.doc_id = p.doc_a JOIN documents b ON b.doc_id = p.doc_b)"
 _CHUNKS = "chunk AS (SELECT doc_id, CAST(i AS INTEGER) AS idx, substr(trim(text, E' \\t\\n\\r'), CAST(i * 250 + 1 AS BIGINT), 250) AS piece FROM documents, LATERAL (SELECT unnest(generate_series(0, (length(trim(text, E' \\t\\n\\r')) - 1) // 250)) AS i) WHERE length(trim(text, E' \\t\\n\\r')) > 0)"
 _INDEX = f"{_PAIRS}, {_CHUNKS}, ia AS (SELECT job_id, idx, piece FROM pairs JOIN chunk ON doc_id = doc_a), ib AS (SELECT job_id, idx, piece FROM pairs JOIN chunk ON doc_id = doc_b), ip AS (SELECT job_id, idx, ia.piece AS pa, ib.piece AS pb, CASE WHEN ia.piece IS NULL THEN 'orphan_b' WHEN ib.piece IS NULL THEN 'orphan_a' ELSE 'matched' END AS pair_type FROM ia FULL OUTER JOIN ib USING (job_id, idx))"
@@ -72,6 +72,12 @@ def doc_pairs(spark, d):
     return compare.candidate_pairs(_t(spark, d, "documents"))
 
 
+@query("SELECT concat(doc_a, '-', doc_id) AS job_id, doc_a, doc_id AS doc_b FROM (SELECT doc_id, lag(doc_id) OVER (PARTITION BY substr(text, 1, 60) ORDER BY doc_id) AS doc_a FROM documents WHERE trim(text, E' \\t\\n\\r') <> '') WHERE doc_a IS NOT NULL")
+def alike_doc_pairs(spark, d):
+    """Documents that begin alike."""
+    return compare.alike_pairs(_t(spark, d, "documents"))
+
+
 @query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
 def ingest_canonical_text(spark, d):
     return layout.canonical_text(layout.text_blocks(_t(spark, d, "documents")))
@@ -138,19 +144,20 @@ def token_jaccard(spark, d):
     return _pair_texts(spark, d).select("job_id", F.round(text.token_jaccard(a, b), 6).alias("jaccard"), F.round(text.length_score(a, b), 6).alias("length_score"))
 
 
-@query(f"""WITH {_CHUNKS}, n AS (SELECT doc_id, count(*) AS n FROM chunk GROUP BY doc_id), {_PAIRS}, x AS (SELECT job_id, c.idx AS i, na.n AS n, nb.n AS m FROM pairs JOIN chunk c ON c.doc_id = doc_a JOIN n na ON na.doc_id = doc_a JOIN n nb ON nb.doc_id = doc_b)
-SELECT job_id, i, round(CASE WHEN n <= 1 AND m <= 1 THEN 1 ELSE greatest(0, 1 - abs(CASE WHEN n <= 1 THEN 0 ELSE i / CAST(n - 1 AS DOUBLE) END)) END, 6) AS position_score FROM x""")
+@query(f"""WITH {_CHUNKS}, n AS (SELECT doc_id, count(*) AS n FROM chunk GROUP BY doc_id), {_PAIRS}, x AS (SELECT job_id, CAST(c.idx AS INTEGER) AS i, CAST((c.idx * 7) % nb.n AS INTEGER) AS j, na.n AS n, nb.n AS m FROM pairs JOIN chunk c ON c.doc_id = doc_a JOIN n na ON na.doc_id = doc_a JOIN n nb ON nb.doc_id = doc_b)
+SELECT job_id, i, j, round(CASE WHEN n <= 1 AND m <= 1 THEN 1 ELSE greatest(0, 1 - abs(CASE WHEN n <= 1 THEN 0 ELSE i / CAST(n - 1 AS DOUBLE) END - CASE WHEN m <= 1 THEN 0 ELSE j / CAST(m - 1 AS DOUBLE) END)) END, 6) AS position_score FROM x""")
 def position_scores(spark, d):
+    """Each chunk of the one document at its place against a chunk of the other: the seven-fold place, counted round."""
     docs = _t(spark, d, "documents").select("doc_id", F.size(segment.fixed_chunks(F.col("text"))).alias("n")).where("n > 0")
     side = lambda x, n: docs.select(F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(n))
     rows = compare.candidate_pairs(_t(spark, d, "documents")).join(side("a", "n"), "doc_a").join(side("b", "m"), "doc_b")
-    rows = rows.select("job_id", "n", "m", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    return rows.select("job_id", "i", F.round(text.position_score(F.col("i"), F.col("n"), F.lit(0), F.col("m")), 6).alias("position_score"))
+    rows = rows.select("job_id", "n", "m", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).withColumn("j", (F.col("i") * 7 % F.col("m")).cast("int"))
+    return rows.select("job_id", "i", "j", F.round(text.position_score(F.col("i"), F.col("n"), F.col("j"), F.col("m")), 6).alias("position_score"))
 
 
 @query()
 def text_ratio(spark, d):
-    """Word-level and character-level similarity of the first chunk of each pair of documents."""
+    """Word-level and character-level similarity of the chunks at one place of each pair of documents."""
     both = _index_pairs(spark, d).where("pair_type = 'matched'")
     return both.select("job_id", "index", F.round(similarity.text_ratio("text_a", "text_b"), 6).alias("ratio"), F.round(text.token_jaccard(F.col("text_a"), F.col("text_b")), 6).alias("jaccard"))
 
@@ -224,11 +231,26 @@ def heuristic_orphans(spark, d):
     return found.select("job_id", "index", F.explode("changes").alias("c")).select("job_id", "index", "c.change_type", "c.source_a", "c.source_b")
 
 
+def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    """The aligned pairs of all documents with their next ones: made once for the queries that read them."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+
+    def make() -> DataFrame:
+        pairs = compare.candidate_pairs(docs)
+        return compare.paired(pairs, compare.involved(docs, pairs))
+
+    return stored(("aligned",), docs, make, "pairs")
+
+
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    """Their decisions, the same way."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    return stored(("decided",), docs, lambda: decide.decided(_aligned(spark, d)), "decided")
+
+
 @query()
 def align_blocks(spark, d):
-    docs = _t(spark, d, "documents")
-    pairs = compare.candidate_pairs(docs)
-    rows = compare.paired(pairs, compare.prepared(docs.select("doc_id", "text")))
+    rows = _aligned(spark, d)
     return rows.select("job_id", "pair_index", "a_indices", "b_indices", F.round("alignment_score", 6).alias("alignment_score"), "match_reason", "pair_type", "match_confidence")
 
 
@@ -248,17 +270,22 @@ def noise_equivalent(spark, d):
 
 @query()
 def change_rows(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", "text")
-    return compare.change_rows(compare.compared(docs, compare.candidate_pairs(docs)))
+    return compare.change_rows(_compared(spark, d))
 
 
 @query()
 def job_results(spark, d):
     """Counts, coverage and status of each job."""
-    docs = _t(spark, d, "documents").select("doc_id", "text")
+    decided = _compared(spark, d)
+    return compare.job_meta(decided, compare.change_rows(decided), compare.candidate_pairs(_t(spark, d, "documents").select("doc_id", "text")))
+
+
+@query()
+def job_payloads(spark, d):
+    """The result of each job without its rows."""
+    docs, decided = _t(spark, d, "documents").select("doc_id", "text"), _compared(spark, d)
     pairs = compare.candidate_pairs(docs)
-    decided = compare.compared(docs, pairs)
-    return compare.job_meta(decided, compare.change_rows(decided), pairs)
+    return compare.job_payloads(decided, compare.change_rows(decided), pairs, compare.involved(docs, pairs))
 
 
 @query(f"WITH {_ROWS}, k AS (SELECT *, lower(trim(regexp_replace(text_a, '\\s+', ' ', 'g'))) AS ka, lower(trim(regexp_replace(text_b, '\\s+', ' ', 'g'))) AS kb FROM rows), r AS (SELECT *, min(block_id) OVER (PARTITION BY job_id, change_type, ka, kb) AS first_id, row_number() OVER (PARTITION BY job_id, change_type, ka, kb ORDER BY length(summary) DESC, block_id) AS rank FROM k) SELECT job_id, first_id AS block_id, change_type, summary, text_a, text_b FROM r WHERE rank = 1")
