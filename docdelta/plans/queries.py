@@ -294,7 +294,16 @@ def dedupe_exact(spark, d):
     return postprocess.dedupe_exact(rows).select("job_id", "block_id", "change_type", "summary", "text_a", "text_b")
 
 
-@query()
+_HELD = "(k.a <> '' OR k.b <> '') AND ((contains(k.a, o.ka) AND contains(k.b, o.kb)) OR (contains(o.ka, k.a) AND contains(o.kb, k.b)))"
+
+
+@query(f"""WITH RECURSIVE {_ROWS}, k AS (SELECT *, lower(trim(regexp_replace(text_a, '\\s+', ' ', 'g'))) AS ka, lower(trim(regexp_replace(text_b, '\\s+', ' ', 'g'))) AS kb FROM rows),
+x AS (SELECT *, min(block_id) OVER (PARTITION BY job_id, change_type, ka, kb) AS first_id, row_number() OVER (PARTITION BY job_id, change_type, ka, kb ORDER BY length(summary) DESC, block_id) AS rank FROM k),
+n AS (SELECT *, row_number() OVER (PARTITION BY job_id, change_type ORDER BY first_id) AS i FROM x WHERE rank = 1),
+r AS (SELECT DISTINCT job_id, change_type, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(a VARCHAR, b VARCHAR, id BIGINT)[]) AS kept FROM n
+ UNION ALL SELECT o.job_id, o.change_type, o.i, CASE WHEN len(list_filter(kept, lambda k: {_HELD})) > 0 THEN kept ELSE list_append(kept, {{'a': o.ka, 'b': o.kb, 'id': o.first_id}}) END FROM r JOIN n o ON o.job_id = r.job_id AND o.change_type = r.change_type AND o.i = r.i + 1),
+z AS (SELECT job_id, change_type, unnest(arg_max(kept, i)).id AS id FROM r GROUP BY job_id, change_type)
+SELECT n.job_id, first_id AS block_id, n.change_type, text_a, text_b FROM n JOIN z ON z.job_id = n.job_id AND z.change_type = n.change_type AND z.id = first_id""")
 def dedupe_nested(spark, d):
     rows = _rows(spark, d).withColumns({"display_text_a": F.col("text_a"), "display_text_b": F.col("text_b")})
     return postprocess.deduplicated(rows).select("job_id", "block_id", "change_type", "text_a", "text_b")

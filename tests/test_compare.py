@@ -204,3 +204,47 @@ def test_patient_model():
     assert run(["nothing", OSError(), "nothing"]) == (decide.ResponseError, [True, False, False], [0.7])
     assert run([good], window=1800) == (decide.PromptTooLong, [], [])
     assert decide.prompt_tokens([{"content": "uno dos tres"}, {"content": " "}]) == 28 and decide.request_body(prompt, "m", False)["max_tokens"] == 1800
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_nested_rows_by_index(seed):
+    """The index finds what a look at every kept pair finds."""
+    r = random.Random(seed)
+    words = "uno dos tres x yy zzz contrato".split()
+    text = lambda: r.choice(["", "", r.choice(words), " ".join(r.choices(words, k=r.randrange(1, 7))), "".join(r.choices("ab", k=r.randrange(9)))])
+    index, kept = postprocess.Kept(), []
+    for _ in range(600):
+        x, y = text(), text()
+        want = any((p or q) and ((x in p and y in q) or (p in x and q in y)) for p, q in kept)
+        assert index.nested(x, y) == want
+        if not want:
+            kept.append((x, y))
+            index.add(x, y)
+    assert len(kept) > 20
+
+
+def test_a_large_job_takes_time_in_proportion():
+    import time
+
+    r = random.Random(1)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    vocabulary = [word() for _ in range(3000)]
+    rows = [(" ".join(r.choices(vocabulary, k=15)), " ".join(r.choices(vocabulary, k=15))) for _ in range(8000)]
+
+    def seconds(n):
+        began, index = time.process_time(), postprocess.Kept()
+        for x, y in rows[:n]:
+            if not index.nested(x, y):
+                index.add(x, y)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(8000) < 4 * 2.5 * max(seconds(2000), 0.05)
+
+
+def test_nested_rows_with_odd_columns(spark):
+    rows = rows_of(spark, [("j", 1, "mod", "abc def", "x", "s"), ("j", 2, "mod", "abc", "x", "t"), (None, 1, "mod", "abc", None, "t"), ("j", 3, None, "abc", "x", "t")])
+    rows = rows.withColumn("a.b", F.lit(1)).withColumn("c`d", F.array(F.lit("x"))).withColumn("i0", F.lit("own")).withColumn("__a", F.lit(2))
+    got = postprocess.dedupe_nested(rows)
+    assert got.columns == rows.columns and sorted((str(r.job_id), r.block_id, str(r.change_type)) for r in got.collect()) == [("None", 1, "mod"), ("j", 1, "mod"), ("j", 3, "None")]
+    assert postprocess.dedupe_nested(rows.limit(0)).count() == 0
