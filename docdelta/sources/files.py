@@ -13,7 +13,7 @@ from xml.etree import ElementTree as E
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,7 @@ from docdelta.functions.text import LIST_PREFIX
 from docdelta.checkpoint import written
 from docdelta.operators import layout
 from docdelta.schemas import LAYOUT
+from docdelta.sources import pdf, rtf
 
 # Suffixes by kind, engines, and the quality that each format starts from.
 ALWAYS = (".txt", ".pdf", ".docx", ".xlsx", ".pptx")
@@ -46,9 +47,8 @@ def capabilities() -> dict:
     have = lambda name: importlib.util.find_spec(name) is not None
     ocr = "rapidocr" if have("rapidocr_onnxruntime") else "tesseract" if have("pytesseract") and shutil.which("tesseract") else None
     office = shutil.which("soffice") is not None
-    pdf = have("fitz") or have("docling")
-    extensions = [x for x in ALWAYS if x != ".pdf" or pdf] + list(IMAGES if ocr else ()) + list(LEGACY if office else ())
-    return {"extensions": sorted(extensions), "engines": [x for x in ENGINES if x != "docling" or have("docling")], "ocr": ocr, "soffice": office, "pdf": pdf}
+    extensions = [*ALWAYS, ".rtf", *(IMAGES if ocr else ()), *(x for x in LEGACY if office and x != ".rtf")]
+    return {"extensions": sorted(extensions), "engines": [x for x in ENGINES if x != "docling" or have("docling")], "ocr": ocr, "soffice": office, "pdf": True}
 
 
 def validate(name: str, engine: str = "auto") -> str:
@@ -158,7 +158,16 @@ def _pptx(data: bytes) -> Iterator[dict]:
                     yield _block(text, "paragraph", "pptx") | {"page": n}
 
 
-_READERS = {".docx": _docx, ".xlsx": _xlsx, ".pptx": _pptx}
+def _rtf(data: bytes) -> Iterator[dict]:
+    """As a text document reads after conversion: paragraphs with their lines, table rows, breaks."""
+    for kind, text in rtf.paragraphs(data):
+        listed = kind == "paragraph" and _LIST.match(text)
+        yield _block(text, "list_item" if listed else kind, "docx")
+        if kind == "paragraph":
+            yield from (_block(x, "line", "docx", True) for line in text.splitlines() if (x := line.strip()))
+
+
+_READERS = {".docx": _docx, ".xlsx": _xlsx, ".pptx": _pptx, ".rtf": _rtf}
 
 
 def read_office(files: DataFrame) -> DataFrame:
@@ -172,7 +181,7 @@ def read_office(files: DataFrame) -> DataFrame:
     def blocks(extension: str, data: bytes) -> list[dict]:
         try:
             return list(_READERS[extension](data))
-        except (zipfile.BadZipFile, E.ParseError, KeyError):
+        except (zipfile.BadZipFile, E.ParseError, KeyError, rtf.NotRtf):
             return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +192,52 @@ def read_office(files: DataFrame) -> DataFrame:
     return files.where(F.col("extension").isin(*_READERS)).select("path", "extension", "content").mapInArrow(run, LAYOUT.replace("doc_id long", "path string", 1))
 
 
+_SPAN = "path string, page int, height double, block int, line int, span int, text string, bbox struct<x0: double, y0: double, x1: double, y1: double>, reason string"
+
+
+def pdf_spans(files: DataFrame) -> DataFrame:
+    """Spans of .pdf files: path, page, height, block, line, span, text, bbox, reason.
+
+    A page without text has one row with a null text. A file that can't be read has one row with the reason:
+    encrypted, broken, or packed in a way that isn't known here. A file is read by one task.
+    """
+    box = pa.struct([(k, pa.float64()) for k in ("x0", "y0", "x1", "y1")])
+    kinds = {"path": pa.string(), "page": pa.int32(), "height": pa.float64(), "block": pa.int32(), "line": pa.int32(), "span": pa.int32(), "text": pa.string(), "bbox": box, "reason": pa.string()}
+
+    def rows(path: str, data: bytes) -> list[dict]:
+        try:
+            return [{"path": path} | x for x in pdf.spans(data)] or [{"path": path, "reason": "no pages"}]
+        except Exception as e:  # whatever is wrong with a file, it is that file's reason
+            return [{"path": path, "reason": str(e) if isinstance(e, pdf.Unreadable) else f"broken: {type(e).__name__}"}]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = rows(path, data)
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in found], t) for k, t in kinds.items()], list(kinds))
+
+    return files.where(F.col("extension") == ".pdf").select("path", "content").mapInArrow(run, _SPAN)
+
+
+def pdf_layout(spans: DataFrame, drop_headers: bool = True) -> DataFrame:
+    """Layout blocks of pdf_spans: each page's mark, its paragraphs and their lines, repeated headers and footers marked."""
+    spans = written(spans.where("page is not null").withColumnRenamed("path", "doc_id"), "spans")
+    heights = spans.select("doc_id", "page", "height").distinct()
+    own = lambda kind, drop: {"source_engine": F.lit("pdf"), "drop_in_canonical": F.lit(drop)} | ({"block_type": F.lit(kind)} if kind else {})
+    lines = written(layout.page_lines(spans.where("text is not null").drop("height", "reason")), "lines")
+    groups = layout.page_groups(lines, heights).drop("lines").withColumn("line", F.lit(-1)).withColumns(own(None, False))
+    lines = lines.withColumns(own(None, True))
+    marks = heights.select("doc_id", "page", F.lit(-1).alias("block"), F.lit(-1).alias("line"), F.concat(F.lit("Page "), "page").alias("text"), F.lit(None).cast(spans.schema["bbox"].dataType).alias("bbox")).withColumns(own("page", True))
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "block", "line")) - 1
+    blocks = marks.unionByName(groups).unionByName(lines).withColumns({"seq": seq.cast("int"), "is_repeated_header": F.lit(False), "is_repeated_footer": F.lit(False)})
+    names = [x.split()[0] for x in re.sub(r"<.*?>", "", LAYOUT).split(", ")]
+    return layout.mark_repeated(blocks.select(*names), heights, drop_headers).withColumnRenamed("doc_id", "path")
+
+
 def read_layout(files: DataFrame) -> DataFrame:
     """Layout blocks with path for doc_id of all files, each read by what its suffix says. Files of other kinds have none."""
     texts = layout.text_blocks(read_text(files.where(F.col("extension") == ".txt")), "path")
-    return texts.withColumnRenamed("doc_id", "path").unionByName(read_office(files))
+    return texts.withColumnRenamed("doc_id", "path").unionByName(read_office(files)).unionByName(pdf_layout(pdf_spans(files)))
 
 
 def extracted(files: DataFrame) -> DataFrame:
@@ -195,8 +246,8 @@ def extracted(files: DataFrame) -> DataFrame:
     A file without text has an empty one, no blocks and null signals. Use validate or view.valid_files to
     tell why a file is missing.
     """
-    able = files.where(F.col("extension").isin(".txt", *_READERS)).select("path", F.substring("extension", 2, 10).alias("source_format"))
-    engine = F.when(F.col("source_format") == "txt", "text").otherwise(F.col("source_format"))
+    able = files.where(F.col("extension").isin(".txt", ".pdf", *_READERS)).select("path", F.substring("extension", 2, 10).alias("source_format"))
+    engine = F.when(F.col("source_format") == "txt", "text").when(F.col("source_format") == "rtf", "docx").otherwise(F.col("source_format"))
     base = F.create_map(*[F.lit(x) for p in BASE_QUALITY.items() for x in p])
     blocks = written(read_layout(files).withColumnRenamed("path", "doc_id"), "layout")
     counts = layout.block_type_counts(blocks).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("block_type", "n")))).alias("blocks"))
