@@ -219,9 +219,12 @@ def merged_segments(segments: Column) -> Column:
     kind = lambda x: F.when(x["type"].isin("equal", "insert", "delete", "replace"), x["type"]).otherwise("equal")
     clean = F.filter(F.transform(segments, lambda x: F.struct(kind(x).alias("type"), F.coalesce(x["text"], F.lit("")).alias("text"))), lambda x: x["text"] != "")
 
-    def add(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        same = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["type"].alias("type"), F.concat(last["text"], x["text"]).alias("text"))))
-        return F.when(last["type"] == x["type"], same).otherwise(F.array_append(acc, x))
-
-    return F.aggregate(clean, F.array().cast("array<struct<type: string, text: string>>"), add)
+    def runs(own: Column) -> Column:
+        """Each run from its first place to the next run's first place."""
+        n = F.size(own)
+        first = lambda i: (i == 1) | (F.element_at(own, i)["type"] != F.element_at(own, F.greatest(i - 1, F.lit(1)))["type"])
+        starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), first))
+        joined = lambda i, after: F.array_join(F.transform(F.slice(own, i, after - i), lambda x: x["text"]), "")
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.element_at(own, i)["type"].alias("type"), joined(i, F.coalesce(F.get(at, k + 1), n + 1)).alias("text"))))
+
+    return let(clean, runs)

@@ -67,9 +67,9 @@ def name_contains(rows: DataFrame, column: str, query: str) -> DataFrame:
     return rows.where(F.contains(F.lower(column), F.lit(query.lower())))
 
 
-def tab(rows: DataFrame, departments: str, name: str, popularity: str, popular_tab: str = "Más usados") -> DataFrame:
-    """The rows of a tab; the popular one shows all, most used first."""
-    return rows.orderBy(F.desc(popularity)) if name == popular_tab else rows.where(F.array_contains(departments, name))
+def tab(rows: DataFrame, departments: str, name: str, popularity: str, popular_tab: str = "Más usados", tie: str | None = None) -> DataFrame:
+    """The rows of a tab; the popular one shows all, most used first, equal ones in the order of tie."""
+    return rows.orderBy(F.desc(popularity), *([tie] if tie else [])) if name == popular_tab else rows.where(F.array_contains(departments, name))
 
 
 def level_meter(samples: DataFrame, size: int = 4000, order: str = "seq", value: str = "value") -> DataFrame:
@@ -78,3 +78,14 @@ def level_meter(samples: DataFrame, size: int = 4000, order: str = "seq", value:
     out = samples.groupBy(chunk).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
     level = F.greatest(F.lit(-60.0), F.least(F.lit(0.0), F.when(F.col("rms") > 0, 20 * F.log10(F.col("rms") / 255)).otherwise(-60.0)))
     return out.select("chunk", "n", level.alias("decibel")).withColumn("speaking", F.col("decibel") > -40)
+
+
+def favourites(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ids (one column, any number of copies)."""
+    wanted = ids.select(ids[ids.columns[0]].alias("__favourite")).distinct()
+    return rows.join(wanted, rows[id_col] == wanted["__favourite"], "left_semi")
+
+
+def by_name(rows: DataFrame, name: str, tie: str) -> DataFrame:
+    """The rows in order of their names, whatever the case of their letters; equal ones by tie, rows without a name first."""
+    return rows.orderBy(F.lower(F.coalesce(F.col(name), F.lit(""))), tie)

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docdelta.functions.text import strip
+from docdelta.checkpoint import written
+from docdelta.functions.text import merged_segments, strip
 
 # Ranks, states and the fields that the search reads.
 SEVERITY_RANK = {"critica": 4, "alta": 3, "media": 2, "baja": 1}
@@ -42,6 +43,51 @@ def with_defaults(rows: DataFrame) -> DataFrame:
     return rows.withColumns(filled)
 
 
+# The fields of a row as readers get it. Texts are blank where nothing else is said; a name stands for that field's value.
+TEXTS = (
+    "pair_id pair_hash text_a text_b display_text_a display_text_b context_before_a context_after_a context_before_b context_after_b change_type materiality confidence final_decision severity summary impact llm_comment "
+    "justification review_status decision_source result_origin result_validation_status started_at completed_at cache_pair_hash model_name prompt_version prompt_text_a_literal prompt_text_b_literal relation_type relation_notes alignment_strategy"
+).split()
+NUMBERS = "block_id chunk_index_a chunk_index_b offset_start_a offset_end_a offset_start_b offset_end_b block_word_count_a block_word_count_b block_size_words block_overlap_words alignment_score".split()
+FLAGS = "fallback_applied cache_hit llm_success reanchored".split()
+OTHERS = {
+    "pair_hash": "cache_pair_hash", "cache_pair_hash": "pair_hash", "display_text_a": "text_a", "display_text_b": "text_b", "llm_comment": "summary", "prompt_text_a_literal": "text_a", "prompt_text_b_literal": "text_b",
+}
+DEFAULTS = {"change_type": "pendiente_confirmacion", "materiality": "pendiente_confirmacion", "final_decision": "pendiente_confirmacion", "confidence": "baja", "severity": "baja"}
+
+
+def normalized_rows(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns in keep and all fields of a row as readers get it, whichever of them rows has.
+
+    Absent and blank fields are filled from others, then with their default; numbers that aren't some are 0; segments are
+    coalesced; lists and structs that are absent are empty. A field of rows counts by its name in any case of letters.
+    """
+    there = {c.lower(): c for c in rows.columns}
+    raw = lambda c, kind: F.col(f"`{there[c]}`").cast(kind) if c in there else F.lit(None).cast(kind)
+    text = lambda c: F.nullif(raw(c, "string"), F.lit(""))
+    flag = lambda c: F.coalesce(raw(c, "boolean"), F.lit(False))
+    special = {
+        "result_origin": F.coalesce(text("result_origin"), F.when(flag("cache_hit"), "cache").otherwise("fallback")),
+        "result_validation_status": F.coalesce(text("result_validation_status"), F.when(flag("llm_success"), "validated").otherwise("fallback_applied")),
+    }
+    out = {c: special.get(c, F.coalesce(text(c), *([text(OTHERS[c])] if c in OTHERS else []), F.lit(DEFAULTS.get(c, "")))) for c in TEXTS}
+    out |= {c: F.coalesce(F.try_to_number(raw(c, "string"), F.lit("S" + "9" * 18)).cast("long") if c not in there or rows.schema[there[c]].dataType.typeName() == "string" else raw(c, "double" if c == "alignment_score" else "long"), F.lit(0)) for c in NUMBERS}
+    out["alignment_score"] = F.coalesce(F.expr(f"try_cast(`{there['alignment_score']}` AS double)") if "alignment_score" in there else F.lit(None).cast("double"), F.lit(0.0))
+    out |= {c: flag(c) for c in FLAGS}
+    out["fallback_applied"] = F.coalesce(raw("fallback_applied", "boolean"), ~flag("llm_success"))
+    out["cache_stored_at"] = raw("cache_stored_at", "double")
+    segment = "array<struct<type: string, text: string>>"
+    for c in ("display_segments_a", "display_segments_b"):
+        own = F.coalesce(F.col(f"`{there[c]}`") if c in there else F.lit(None).cast(segment), F.array().cast(segment))
+        out[c] = merged_segments(F.transform(own, lambda x: F.struct(F.lower(strip(F.coalesce(x["type"], F.lit("equal")))).alias("type"), x["text"].alias("text"))))
+    out["related_block_ids"] = F.filter(F.coalesce(raw("related_block_ids", "array<long>"), F.array().cast("array<long>")), lambda x: x > 0)
+    for c in ("prompt_messages", "related_blocks"):
+        out[c] = F.coalesce(F.col(f"`{there[c]}`"), F.array().cast(rows.schema[there[c]].dataType)) if c in there else F.array().cast("array<string>")
+    for c in ("source_spans", "pairing"):
+        out[c] = F.col(f"`{there[c]}`") if c in there else F.create_map().cast("map<string, string>")
+    return rows.select(*[F.col(f"`{c}`") for c in keep or ()], *[v.alias(k) for k, v in out.items()])
+
+
 def _wanted(c: Column, value: str | None) -> Column | None:
     """None where every row passes. insertado names the same rows as añadido; an empty field only passes without a filter."""
     value = (value or "").strip().lower() or "all"
@@ -65,6 +111,45 @@ def filtered(rows: DataFrame, severity: str | None = None, change_type: str | No
     return rows.where(F.contains(search_text(rows.columns), F.lit(text))) if text else rows
 
 
+#: Substrings of a searched text that are looked up, the rarest ones; the others are left to the comparison that follows.
+LOOKED_UP = 4
+
+
+def _substrings(text: Column, n: int) -> Column:
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def search_index(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(gram, *keys): each row's substrings of one to three characters of its searched fields; written, sorted by substring and key.
+
+    Ranges of substrings and keys are dealt, so that a substring of all rows fills many files; a lookup reads the
+    parts of files that its substrings lie in.
+    """
+    text = search_text(rows.columns)
+    grams = F.array_distinct(F.concat(*[_substrings(F.col("__text"), n) for n in (1, 2, 3)]))
+    posted = rows.select(*keys, text.alias("__text")).select(*keys, F.explode(grams).alias("gram"))
+    return written(posted.select("gram", *keys).repartitionByRange("gram", *keys).sortWithinPartitions("gram", *keys), "postings")
+
+
+def searched(rows: DataFrame, index: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
+    """(query, *keys): for each text of queries (query) the rows whose searched fields hold it, as filtered() finds them one by one.
+
+    The rows that have a query's rarest substrings are looked up in the index and then compared. Queries are stripped
+    and lower-cased; blank ones find nothing.
+    """
+    asked = queries.select(F.lower(strip(F.coalesce("query", F.lit("")))).alias("query")).where("query != ''").distinct()
+    size = F.least(F.length("query"), F.lit(3))
+    own = F.when(size == 3, _substrings(F.col("query"), 3)).otherwise(F.array("query"))
+    grams = written(asked.select("query", F.explode(F.array_distinct(own)).alias("gram")), "asked")
+    counts = index.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("n", "gram"))
+    chosen = grams.join(counts, "gram", "left").fillna(0, "n").withColumn("place", place).where(F.col("place") <= LOOKED_UP)
+    chosen = chosen.withColumn("of", F.count("*").over(Window.partitionBy("query"))).select("query", "gram", "of")
+    hits = chosen.join(index, "gram").groupBy("query", "of", *keys).agg(F.count("*").alias("n")).where("n = of").drop("n", "of")
+    found = hits.join(rows.select(*keys, search_text(rows.columns).alias("__text")), keys)
+    return found.where(F.contains("__text", "query")).select("query", *keys)
+
+
 def sort_keys(by: str = "block_id") -> list[Column]:
     keys = {"severity_desc": [_rank(SEVERITY_RANK, F.col("severity")).desc()], "confidence_desc": [_rank(CONFIDENCE_RANK, F.col("confidence")).desc()], "change_type": [F.col("change_type").asc()]}
     return [*keys.get(by, []), F.col("block_id").asc()]
@@ -123,20 +208,25 @@ def top_similar(vectors: DataFrame, query_id: int, k: int = 5, id_col: str = "ve
 
 
 def top_similar_each(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, cosine): top_similar for every row of queries. Null vectors and those of length 0 take no part.
+    """(query_id, rank, vec_id, cosine): top_similar for every row of queries. Null vectors, those with null or non-finite components and those of length 0 take no part; shorter vectors count as if zeros followed.
 
     Queries and vectors are dealt to blocks; a task has one block of either and hands on k rows for each query.
     """
 
     def dealt(df: DataFrame) -> tuple[DataFrame, int]:
         df = df.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v")).where("id is not null and v is not null")
+        df = df.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
         n = max(1, -(-df.count() // BLOCK))
         return df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n))), n
 
     def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        width = max((len(x) for table in (left, right) for x in table.column("v").to_pylist()), default=0)
+
         def unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             ids, rows = table.column("id").to_numpy(), table.column("v").to_pylist()
-            v = np.array(rows, np.float64).reshape(len(rows), -1)
+            v = np.zeros((len(rows), width))
+            for i, x in enumerate(rows):
+                v[i, : len(x)] = x
             size = np.sqrt((v * v).sum(1))
             return ids[size > 0], v[size > 0] / size[size > 0, None]
 

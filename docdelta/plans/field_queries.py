@@ -198,11 +198,9 @@ def level_meter(spark, d):
 
 @query("SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS place FROM events QUALIFY place <= 50")
 def popular_chats(spark, d):
-    """The fifty most used entries of the popular tab, with their places."""
-    from pyspark.sql import Window
-
-    rows = chat.tab(_t(spark, d, "events"), "", "Más usados", "value").orderBy(F.desc("value"), "event_id").limit(50)
-    return rows.select("event_id", F.row_number().over(Window.orderBy(F.desc("value"), "event_id")).cast("long").alias("place"))  # 50 rows
+    """The fifty most used entries of the popular tab, numbered as the tab has them."""
+    rows = chat.tab(_t(spark, d, "events"), "", "Más usados", "value", tie="event_id").limit(50)
+    return rows.coalesce(1).select("event_id", (F.monotonically_increasing_id() + 1).alias("place"))  # one partition: numbers from 1 in the order of the rows
 
 
 @query("SELECT user_id AS sid, time_bucket(INTERVAL '1 hour', ts) AS start, event_type AS field, count(*) AS n FROM events GROUP BY ALL")
