@@ -15,7 +15,10 @@
 4. A slot's text is what its template element holds beside template blocks and beside parts that an
    element or class name gives away as menu, header, footer, sidebar, notice, advert, form or comments.
    The elements that hold more than half of the host's slot text form a chain, and the article is the
-   innermost of them; where the chain has an element named article or main, the outermost of these.
+   innermost of them; where the chain has an element named article or main, the outermost of these. Length alone
+   can't tell an article from longer comments below it, so an unnamed one must be where the text goes on behind the
+   top heading: if on most pages the first slot behind the first h1 is outside of it, the largest element with that slot and
+   at least LEAD_SHARE of the text is the article.
    A page's text is its slots in there and its top headings that aren't template.
 5. Names alone decide on hosts with too few pages for a template, and on pages without the element.
    There the text is that of the article or main element, or of all blocks where the page has none,
@@ -42,6 +45,8 @@ MIN_TOKENS = 3
 MIN_SHARE = 0.6
 #: Hosts with fewer pages deduce nothing: in so few, words of an article easily have equal vectors.
 MIN_PAGES = 4
+#: Share of a host's slot text that an element which follows the heading has to have.
+LEAD_SHARE = 0.2
 #: Tokens that a task sums up before it hands them on.
 HELD_TOKENS = 2_000_000
 #: A page counts as this many units, shared among its copies.
@@ -56,16 +61,17 @@ RAW = frozenset("script style noscript template textarea title iframe noembed no
 #: Elements that are never the article, and words that name such parts in class, id and role.
 ASIDE = frozenset("nav header footer aside form button select menu dialog head script style noscript template textarea title iframe".split())
 ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments comentario comentarios commentaire commentaires consent contentinfo cookie cookies dialog disqus footer header kommentar kommentare menu modal nav navbar navigation newsletter notice notification opiniones popup promo related reply share sharing sidebar social sponsor sponsored subscribe".split()
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments comentario comentarios commentaire commentaires consent contentinfo cookie cookiebar cookies dialog disqus footer header kommentar kommentare menu modal nav navbar navigation newsletter opinions notice notification opiniones popup promo related topmenu reply share sharing sidebar social sponsor sponsored subscribe".split()
 )
 #: Words that stand beside those in names of such parts; inside an article only names made of both are parts that go.
-PLAIN_WORDS = frozenset("area bar block body box button buttons container content group icons inner item items link links list outer panel posts section site slot title top bottom left right unit widget wrap wrapper".split())
+PLAIN_WORDS = frozenset("area bar block body box button buttons container content group icons inner item items link links list outer panel posts reader readers section site slot title top bottom left right unit user users widget wrap wrapper".split())
 MAIN = frozenset({"article", "main"})
 #: Elements that are numbered among siblings with the same name.
 NUMBERED = frozenset("aside div dl footer form header nav ol section table ul".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
+_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|style\s*=\s*[\"'][^\"'>]*display\s*:\s*none)", re.I)
 # Optional end tags: an element that ends the open one of its kind.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -82,7 +88,11 @@ class Block:
 def _is_aside(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in ASIDE:
         return tag != "header" or not in_main  # inside the article it holds the title
-    if not attributes or "=" not in attributes or tag in ("html", "body"):
+    if not attributes or tag in ("html", "body"):
+        return False
+    if ("hidden" in attributes or "display" in attributes) and _HIDDEN.search(attributes):
+        return True
+    if "=" not in attributes:
         return False
     names = (_NAME.findall(n) for m in _ATTRIBUTE.finditer(attributes) for n in entities.unescape(m[2] or m[3] or m[4] or "").lower().split())
     return any(any(w in ASIDE_WORDS for w in n) and (not in_main or all(w in ASIDE_WORDS or w in PLAIN_WORDS for w in n)) for n in names)
@@ -317,7 +327,8 @@ def _chain(path: str) -> list[str]:
 
 def _orders_and_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For pages (host, html, tokens), summed for each task: pages by host, class and order of the class's tags and blocks
-    (kind 0: class, order), and slot text by element (kind 1: token of the element, 1 if named as main, path)."""
+    (kind 0: class, order), slot text by element (kind 1: token of the element, 1 if named as main, path), and pages
+    whose first slot behind the first h1 is in an element (kind 2: the same)."""
     sums: Counter[tuple] = Counter()
     last, template, of_class = None, np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
@@ -334,13 +345,20 @@ def _orders_and_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             for own in np.unique(of_class[found]):
                 order = template[found[of_class[found] == own]]
                 sums[host, 0, int(own), xxhash.xxh3_64_intdigest(order.tobytes()) >> 1, ""] += 1
+            headed, led = False, False
             for block, place in zip(blocks, every[places].tolist(), strict=True):
+                heading = block.path.rpartition("/")[2].partition(".")[0] == "h1"
+                headed |= heading and not block.aside
                 if place in known or block.aside:
                     continue
+                lead = headed and not heading and not led
+                led |= lead
                 for path in _chain(block.path):
                     if (h := _tag_of[path]) in known:
                         name = path.rpartition("/")[2].partition(".")[0].partition("#")[0]
                         sums[host, 1, h, int(name in MAIN), path] += len(block.text)
+                        if lead:
+                            sums[host, 2, h, int(name in MAIN), path] += 1
         if len(sums) >= HELD_TOKENS:
             yield _summed(sums)
             sums = Counter()
@@ -364,12 +382,21 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     orders = sums.where("kind = 0").groupBy("host", F.col("of").alias("class")).agg(F.max("n").alias("most"), F.sum("n").alias("all"))
     mixed = orders.where(F.col("most") < F.col("all") * MIN_SHARE).select("host", "class")
     template = written(found.join(mixed, ["host", "class"], "left_anti"), "template")
-    slots = sums.where("kind = 1").join(template.select("host", F.col("token").alias("of")), ["host", "of"])
-    whole = slots.groupBy("host").agg(F.max("n").alias("whole"))
+    own = template.select("host", F.col("token").alias("of"))
+    leads = sums.where("kind = 2").groupBy("host", "path").agg(F.sum("n").alias("lead"))
+    slots = sums.where("kind = 1").join(own, ["host", "of"]).join(leads, ["host", "path"], "left").fillna(0, "lead")
+    whole = slots.groupBy("host").agg(F.max("n").alias("whole"), F.max("lead").alias("leads"))
     depth = F.size(F.split("path", "/"))
-    # The outermost element named as main comes first, else the innermost.
+    # The outermost element named as main comes first, else the innermost; of equal ones the last by path.
     rank = F.struct("mark", F.when(F.col("mark") == 1, -depth).otherwise(depth), "path")
-    article = slots.join(whole, "host").where(F.col("n") * 2 > F.col("whole")).groupBy("host").agg(F.max_by("path", rank).alias("article"))
+    half = F.col("n") * 2 > F.col("whole")
+    follows = (F.col("lead") * 2 > F.col("leads")) & (F.col("n") >= F.col("whole") * LEAD_SHARE) & ~half
+    article = slots.join(whole, "host").groupBy("host").agg(
+        F.max_by(F.when(half, F.struct("path", "mark", "lead", "leads")), F.when(half, rank)).alias("most"),
+        F.max_by(F.when(follows, F.col("path")), F.when(follows, F.struct("n", -depth, "path"))).alias("after"),
+    )
+    elsewhere = (F.col("most.mark") == 0) & (F.col("most.lead") * 2 <= F.col("most.leads")) & F.col("after").isNotNull()
+    article = article.select("host", F.when(elsewhere, F.col("after")).otherwise(F.col("most.path")).alias("article"))
     tokens = template.groupBy("host").agg(F.collect_list("token").alias("tokens"))
     return written(tokens.join(article, "host", "left"), "templates")
 
@@ -397,7 +424,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Rows (page_id, url, text, n_chars), one for each row of pages.
 
     A null or empty html has an empty text. Rows with a null URL form a host of their own. Repeated
-    rows stay. Other columns are not read. Hosts with fewer than min_pages pages, or with one page
+    rows stay. Other columns are not read. A block that recurs in MIN_SHARE of a host's pages is its template, not its
+    article, wherever it stands: what is the same on most pages is no page's own text. Hidden elements go. Hosts with fewer than min_pages pages, or with one page
     alone in any number of copies, have no template; names of elements and classes decide there.
     """
     small_batches(pages.sparkSession)

@@ -147,3 +147,29 @@ def test_all_template_tokens_are_kept(spark):
     fixed = " ".join(f"wort{i}" for i in range(6000))
     rows = [("a", i, f"<p>{fixed}</p><p>eigen{i}</p>") for i in range(5)]
     assert len(ht.templates(spark.createDataFrame(rows, "host string, page_id long, html string")).head().tokens) >= 6000
+
+
+def test_longer_comments_below_the_article_go(spark):
+    r = random.Random(7)
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(12):
+        title, own = line(4), [line(20), line(20)]
+        body = f"<h1>{title}</h1><div class='post'>{''.join(f'<p>{x}</p>' for x in own)}</div><div class='was-andere-meinen'>{''.join(f'<p>{line(25)}</p>' for _ in range(3))}</div>"
+        rows.append((i, f"http://a.de/{i}", page(body)))
+        want[i] = "\n".join([title, *own])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in ht.extract(pages).collect()} == want
+    # A short teaser behind the heading does not make its element the article.
+    rows, want = [], {}
+    for i in range(12):
+        title, teaser, own = line(4), line(5), [line(30), line(30)]
+        rows.append((i, f"http://b.de/{i}", page(f"<h1>{title}</h1><div class='vor'><p>{teaser}</p></div><div class='haupt'>{''.join(f'<p>{x}</p>' for x in own)}</div>")))
+        want[i] = "\n".join([title, *own])
+    got = {x.page_id: x.text for x in ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].endswith("\n".join(want[i].split("\n")[1:])) for i in want)
+
+
+def test_hidden_and_named_parts():
+    assert text("<article><p>Text</p><section id='reader-comments'><p>Leser</p></section><div hidden><p>weg</p></div><div style='color:red; display: none'>weg</div><p aria-hidden=false>da</p></article>") == "Text\nda"
+    assert text("<div class='topmenu'>Menü</div><div class='cookiebar'>Kekse</div><p>Ein Text</p>") == "Ein Text"
