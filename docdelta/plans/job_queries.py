@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docdelta.checkpoint import shared_dir, written
 from docdelta.operators import chat, decide, metrics, postprocess, segment, view
-from docdelta.plans import compare
+from docdelta.plans import compare, progress
 from docdelta.plans.queries import _t, query
 from docdelta.sources import files
 from docdelta.streaming import jobs
@@ -37,7 +37,7 @@ def _unsteady_model():
     return answer
 
 
-def _decided(spark, d) -> DataFrame:
+def _questions(spark, d) -> DataFrame:
     e = _t(spark, d, "events")
     question = F.concat(F.lit("pregunta "), F.col("event_type"), F.lit(" "), F.col("event_id") % 9)
     index = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
@@ -47,7 +47,11 @@ def _decided(spark, d) -> DataFrame:
         *[(index - 1).alias(f"{x}_index") for x in ("a", "b")], *[indices.alias(f"{x}_indices") for x in ("a", "b")], *[F.lit(10).alias(f"block_chars_{x}") for x in ("a", "b")], *[F.lit(100).alias(f"chars_{x}") for x in ("a", "b")],
         F.lit(0.5).alias("alignment_score"), F.lit("matched").alias("pair_type"),
     )
-    return decide.decided(pairs, lambda: _unsteady_model(), ratio=FAIL_RATIO)
+    return pairs
+
+
+def _decided(spark, d) -> DataFrame:
+    return decide.decided(_questions(spark, d), lambda: _unsteady_model(), ratio=FAIL_RATIO)
 
 
 @query(f"""WITH {_ASKED} SELECT job_id, CAST(pair_index AS INTEGER) AS pair_index, row_source, CASE WHEN row_source IN ('heuristic', 'failed') THEN 0 ELSE 1 END AS changes,
@@ -122,6 +126,19 @@ def worked_jobs(spark, d):
     return spark.read.parquet(f"{path}/states").drop("batch").join(spark.read.parquet(f"{path}/results").drop("batch"), "sid", "left").select("sid", "rows", "status", "error")
 
 
+@query(f"""WITH {_ASKED}, g AS (SELECT job_id, count(*) FILTER (row_source = 'failed') AS f, count(*) FILTER (row_source = 'fallback') AS b, max(total) AS t, max(pair_index) AS last, max(most) AS most FROM p GROUP BY job_id),
+z AS (SELECT *, CASE WHEN f = 0 AND b = 0 THEN 'done' WHEN f / CAST(t AS DOUBLE) >= 0.5 THEN 'error' ELSE 'done_with_warnings' END AS status FROM g)
+SELECT CAST(job_id AS VARCHAR) AS sid, '100' AS percent, CASE status WHEN 'error' THEN 'completado_con_errores' ELSE 'completado' END AS step, status, CASE WHEN f > most THEN last ELSE t END AS completed, true AS in_order FROM z""")
+def progress_states(spark, d):
+    """The last state that each job tells, and whether it told its percents in order."""
+    told = progress.Progress(spark, shared_dir(spark, "progress"))
+    progress.decided_with_progress(_questions(spark, d), told, lambda: _unsteady_model(), ratio=FAIL_RATIO)
+    states = told.states().groupBy("sid").agg(*[F.max(F.when(F.col("field") == x, F.col("value"))).alias(x) for x in ("percent", "step", "status", "metrics")])
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("value").cast("int").alias("percent")))), lambda x: x["percent"])
+    order = spark.read.parquet(told.path).where("field = 'percent'").groupBy("sid").agg(steps.alias("steps")).select("sid", (F.col("steps") == F.array_sort("steps")).alias("in_order"))
+    return states.join(order, "sid").select("sid", "percent", "step", "status", F.get_json_object("metrics", "$.completed_pairs").cast("long").alias("completed"), "in_order")
+
+
 @query(f"WITH {_ASKED}, k AS (SELECT job_id, event_type, k, min(pair_index) AS first FROM p WHERE row_source IN ('llm', 'cache', 'fallback') GROUP BY ALL), c AS (SELECT job_id, count(*) AS rows FROM k GROUP BY job_id) SELECT p.job_id, count(*) AS completed_pairs, count(*) FILTER (row_source = 'failed') AS failed_blocks, count(*) FILTER (row_source = 'fallback') AS fallback_blocks, max(coalesce(rows, 0)) AS rows, least(99, CAST(floor(count(*) / CAST(max(total) AS DOUBLE) * 75) AS INTEGER) + 20) AS percent FROM p LEFT JOIN c USING (job_id) GROUP BY p.job_id")
 def result_snapshots(spark, d):
     """The newest snapshot of each job: its progress and the number of its de-duplicated rows, by exact duplicates."""

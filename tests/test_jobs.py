@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docdelta.operators import decide, metrics
-from docdelta.plans import compare
+from docdelta.plans import compare, progress
 from docdelta.streaming import jobs
 
 
@@ -189,3 +189,24 @@ def test_snapshots_equal_the_batch_result(spark, tmp_path):
     assert run([r for r in rows if r[0] == "j" and r[1] <= 2], 2) == (want(2, "j"), {"j": (2, 45)})
     assert run([r for r in rows if r[0] == "j" and r[1] == 3] + [r for r in rows if r[0] == "k" and r[1] <= 4], 2) == (want(2, "j") + want(4, "k"), {"j": (2, 45), "k": (4, 70)})
     assert run([r for r in rows if r[0] == "j" and r[1] > 3], 2) == (want(6, "j") + want(4, "k"), {"j": (6, 95), "k": (4, 70)})
+
+
+def test_phases_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(decide, "WAVE", 1)
+    text = "El contrato de arrendamiento entra en vigor el primer dia del mes. Las partes firman dos copias iguales del documento. El pago se realiza cada trimestre sin demora."
+    other = text.replace("dos copias", "nueve ejemplares completos y sellados").replace("trimestre", "semana habil")
+    docs = spark.createDataFrame([(1, text), (2, other), (3, ""), (4, text)], "doc_id long, text string")
+    pairs = spark.createDataFrame([("edit", 1, 2), ("same", 1, 4), ("none", 3, 3)], "job_id string, doc_a long, doc_b long")
+    path = str(tmp_path / "states")
+    decided = progress.compared_with_progress(docs, pairs, path, by_last())
+    want = compare.compared(docs, pairs, by_last())
+    assert sorted(map(str, decided.select("job_id", "pair_index", "row_source").collect())) == sorted(map(str, want.select("job_id", "pair_index", "row_source").collect()))
+    told = spark.read.parquet(path).where("field = 'percent'").orderBy("seq").collect()
+    percents = {s: [int(r.value) for r in told if r.sid == s] for s in ("edit", "same", "none")}
+    assert percents["none"] == [20, 32, 42]
+    for s in ("edit", "same"):
+        assert percents[s][:3] == [20, 32, 42] and percents[s][-1] == 100 and percents[s][-2] == 95 and percents[s][3:] == sorted(percents[s][3:]) and min(percents[s][3:]) >= 20
+    states = {(r.sid, r.field): r.value for r in progress.jobs.fold(spark.read.parquet(path)).collect()}
+    assert states["same", "status"] == "done" and json.loads(states["edit", "metrics"])["phase"] == "completed" and states["edit", "step"] == "completado"
+    phases = [json.loads(r.value) for r in spark.read.parquet(path).where("field = 'metrics' and sid = 'edit'").orderBy("seq").collect()]
+    assert [x["phase"] for x in phases][:3] == ["extraction", "extraction", "pairing"] and phases[1]["doc_a_blocks"] > 0 and [x["elapsed_ms"] for x in phases] == sorted(x["elapsed_ms"] for x in phases)
