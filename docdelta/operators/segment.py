@@ -8,7 +8,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from docdelta.columns import by_place, named, quoted
 from docdelta.functions.text import SPACES, let, strip
 from docdelta.schemas import SEGMENT
 
@@ -114,15 +116,24 @@ def fixed_chunks(text: Column, size: int = PAIR_CHARS) -> Column:
 
 
 def segmented(docs: DataFrame, text_col: str = "clean_text", target_chars: int = TARGET_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """docs with segments, an array of (index, text, start_char, end_char) over the text."""
+    """docs with segments, an array of (index, text, start_char, end_char) over the text.
+
+    A null text counts as empty and has no segments; a text without units has chunks of a fixed size. Columns may have
+    any names; one named segments gets `_input` behind its name.
+    """
     kind = pa.list_(pa.struct([("index", pa.int32()), ("text", pa.string()), ("start_char", pa.int32()), ("end_char", pa.int32())]))
+    text = quoted(text_col)
+    units = F.flatten(F.transform(sentence_units(text), lambda x: split_long(x)))
+    rows, own, held = by_place(docs, [text, units], docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [windows(t or "", p, target_chars, overlap_chars) for t, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(found, kind)], [*batch.schema.names[2:], "segments"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(found, kind)], [*own, "segments"])
+
+    out = rows.mapInArrow(run, StructType([*held, StructField("segments", _SEGMENTS)]))
+    chunks = fixed_chunks(F.col(own[docs.columns.index(text_col)]))
+    return named(out.withColumn("segments", F.when(F.size("segments") == 0, chunks).otherwise(F.col("segments"))), docs.columns, ["segments"])
+
 
-    units = F.flatten(F.transform(sentence_units(F.col(text_col)), lambda x: split_long(x)))
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.select(F.col(text_col).alias("__text"), units.alias("__pieces"), "*").mapInArrow(run, f"{own}, segments array<{SEGMENT}>")
-    return out.withColumn("segments", F.when(F.size("segments") == 0, fixed_chunks(F.col(text_col))).otherwise(F.col("segments")))
+_SEGMENTS = ArrayType(StructType([StructField("index", IntegerType()), StructField("text", StringType()), StructField("start_char", IntegerType()), StructField("end_char", IntegerType())]))

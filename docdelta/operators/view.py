@@ -200,10 +200,10 @@ def valid_files(files: DataFrame, extensions: tuple[str, ...], most_bytes: int,
 def top_similar(vectors: DataFrame, query_id: int, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k vectors with the highest cosine to the one with query_id, itself left out; ties by id."""
     vectors = vectors.select(F.col(id_col).alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"))
-    query = F.broadcast(vectors.where(F.col("vec_id") == query_id).limit(1).select(F.col("v").alias("q")))  # one row
+    query = vectors.where(F.col("vec_id") == query_id).limit(1).select("v").scalar()
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda acc, z: acc + z)
     cosine = dot(F.col("v"), F.col("q")) / (F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("q"), F.col("q"))))
-    out = vectors.where(F.col("vec_id") != query_id).join(query, F.lit(True)).select("vec_id", F.round(cosine, 6).alias("cosine"))
+    out = vectors.where(F.col("vec_id") != query_id).withColumn("q", query).where("q is not null").select("vec_id", F.round(cosine, 6).alias("cosine"))
     return out.orderBy(F.desc("cosine"), "vec_id").limit(k)
 
 

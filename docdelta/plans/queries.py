@@ -375,8 +375,7 @@ def job_state_stream(spark, d):
 @query("SELECT user_id AS sid, count(*) AS done, least(99, 20 + CAST(floor(count(*) / CAST(max(count(*)) OVER () AS DOUBLE) * 75) AS INTEGER)) AS percent FROM events GROUP BY user_id")
 def job_progress_pct(spark, d):
     done = _t(spark, d, "events").groupBy(F.col("user_id").alias("sid")).agg(F.count("*").alias("done"))
-    total = done.agg(F.max("done").alias("total"))  # one row
-    return done.join(F.broadcast(total), F.lit(True)).select("sid", "done", metrics.progress_percent(F.col("done"), F.col("total")).alias("percent"))
+    return done.withColumn("total", done.agg(F.max("done")).scalar()).select("sid", "done", metrics.progress_percent(F.col("done"), F.col("total")).alias("percent"))
 
 
 _TURNS = "SELECT conv_id, turn, role, text FROM conversations"

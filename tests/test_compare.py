@@ -248,3 +248,20 @@ def test_nested_rows_with_odd_columns(spark):
     got = postprocess.dedupe_nested(rows)
     assert got.columns == rows.columns and sorted((str(r.job_id), r.block_id, str(r.change_type)) for r in got.collect()) == [("None", 1, "mod"), ("j", 1, "mod"), ("j", 3, "None")]
     assert postprocess.dedupe_nested(rows.limit(0)).count() == 0
+
+
+def test_segments_beside_odd_columns(spark):
+    docs = spark.createDataFrame([(1, "Uno dos. Tres cuatro cinco seis.", "x", 1, (2,)), (2, None, None, None, None), (3, "", "y", 3, (4,))], "doc_id long, clean_text string, segments string, `__text` int, `c``d` struct<`e f`: int>").withColumn("a.b", F.lit(1))
+    got = segment.segmented(docs)
+    assert got.columns == ["doc_id", "clean_text", "segments_input", "__text", "c`d", "a.b", "segments"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert len(rows[1].segments) == 1 and rows[1].segments_input == "x" and rows[2].segments == [] and rows[3]["c`d"] == (4,)
+    assert segment.segmented(docs.limit(0)).count() == 0
+
+
+def test_ragged_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 1.0, 5.0]), (4, None), (5, [None, 1.0]), (6, []), (7, [float("nan"), 1.0]), (8, [1.0, 0.1])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.cosine) for r in view.top_similar_each(vectors, vectors.where("vec_id < 3"), k=2).collect()}
+    assert got == {(1, 1): (2, 1.0), (1, 2): (8, 0.995037), (2, 1): (1, 1.0), (2, 2): (8, 0.995037)}
+    assert view.top_similar_each(vectors.limit(0), vectors, k=2).count() == 0
