@@ -32,9 +32,9 @@ from pyspark.sql.types import StructType
 from docdelta.llm.common import mapped, quoted
 
 #: States with their moves, and pairs of tokens, that a worker remembers; full tables start anew.
-STATES, PAIRS = 80_000, 300_000
+STATES, PAIRS = 60_000, 200_000
 #: Words whose ids a worker remembers twice over (the ones before last go), and the longest of them.
-CACHE, CACHE_CHARS = 250_000, 40
+CACHE, CACHE_CHARS = 200_000, 40
 #: Tokens that are decoded at a time.
 CHUNK = 1 << 16
 _NEVER = 1 << 60
@@ -358,11 +358,19 @@ def _shipped(spark: SparkSession, vocabulary: bytes):
     return spark.sparkContext.broadcast(vocabulary)
 
 
-def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, blanks_begin: bool = False, text_col: str = "text") -> DataFrame:
+def _decoded(decoder: Decoder, ids: bytes | None) -> tuple[bytes, bool]:
+    """The bytes of the ids, chunk by chunk, and whether they are UTF-8."""
+    own, stream = np.frombuffer(ids or b"", "<u4"), Stream(decoder)
+    parts = [stream.feed(own[at : at + CHUNK]) for at in range(0, len(own), CHUNK)]
+    return b"".join([*parts, stream.close()]), stream.valid
+
+
+def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, blanks_begin: bool = False, text_col: str = "text", decode: bool = False) -> DataFrame:
     """Every row of docs with ids (little-endian unsigned integers of four bytes, together) and n_tokens before its own columns.
 
     blanks_begin says that the pattern begins a match at each blank in front of what is no white space;
-    a text is then cut there first, and repeated words are looked up. A null text counts as empty; an
+    a text is then cut there first, and repeated words are looked up. With decode, decoded has the bytes that the ids
+    decode to, as decode_ids would give them, without a second worker. A null text counts as empty; an
     empty one has no tokens. Rows are independent of each other, so repeated ones get equal results,
     and there are no ties: merging has one result. A column named like a new one gets `_input` behind its name.
     """
@@ -370,14 +378,16 @@ def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, blanks_begin:
 
     def make():
         encoder = _encoder(shipped.value, pattern, blanks_begin)
+        decoder = _decoder(shipped.value) if decode else None
 
         def encode(column: pa.Array) -> list[pa.Array]:
-            ids = [encoder.encode(x or "") for x in column.to_pylist()]
-            return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            ids = [encoder.encode(x.as_py() or "") for x in column]
+            own = [pa.array([_decoded(decoder, x)[0] for x in ids], pa.binary())] if decode else []
+            return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), *own]
 
         return encode
 
-    return mapped(docs, [quoted(text_col)], StructType.fromDDL("ids binary, n_tokens long"), make)
+    return mapped(docs, [quoted(text_col)], StructType.fromDDL("ids binary, n_tokens long" + ", decoded binary" * decode), make)
 
 
 def decode_ids(rows: DataFrame, vocabulary: bytes, ids_col: str = "ids") -> DataFrame:
@@ -392,13 +402,8 @@ def decode_ids(rows: DataFrame, vocabulary: bytes, ids_col: str = "ids") -> Data
         decoder = _decoder(shipped.value)
 
         def decode(column: pa.Array) -> list[pa.Array]:
-            out, valid = [], []
-            for x in column.to_pylist():
-                ids, stream = np.frombuffer(x or b"", "<u4"), Stream(decoder)
-                parts = [stream.feed(ids[at : at + CHUNK]) for at in range(0, len(ids), CHUNK)]
-                out.append(b"".join([*parts, stream.close()]))
-                valid.append(stream.valid)
-            return [pa.array(out, pa.binary()), pa.array(valid, pa.bool_())]
+            found = [_decoded(decoder, x) for x in column.to_pylist()]
+            return [pa.array([x for x, _ in found], pa.binary()), pa.array([ok for _, ok in found], pa.bool_())]
 
         return decode
 

@@ -80,8 +80,7 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = byte_bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    rows = byte_bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN, blanks_begin=True)
-    rows = byte_bpe.decode_ids(rows.select("doc_id", "n_tokens", "ids"), vocabulary)
+    rows = byte_bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN, blanks_begin=True, decode=True)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

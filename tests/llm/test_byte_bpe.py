@@ -145,6 +145,8 @@ def test_odd_rows(odd_docs, no_docs):
         assert r.n_tokens == len(r.ids) // 4
         assert bytes(r.decoded).decode() == (r.text or "") and r.valid
     assert byte_bpe.encode_texts(no_docs, VOCABULARY, public_tokenizers.PATTERN).count() == 0
+    both = byte_bpe.encode_texts(odd_docs.select("doc_id", "text"), VOCABULARY, public_tokenizers.PATTERN, True, decode=True)
+    assert all(bytes(r.decoded).decode() == (r.text or "") for r in both.collect())
 
 
 def test_query(spark):
