@@ -32,9 +32,9 @@ from pyspark.sql.types import StructType
 from docdelta.llm.common import mapped, quoted
 
 #: States with their moves, and pairs of tokens, that a worker remembers; full tables start anew.
-STATES, PAIRS = 60_000, 200_000
+STATES, PAIRS = 100_000, 400_000
 #: Words whose ids a worker remembers twice over (the ones before last go), and the longest of them.
-CACHE, CACHE_CHARS = 200_000, 40
+CACHE, CACHE_CHARS = 350_000, 40
 #: Tokens that are decoded at a time.
 CHUNK = 1 << 16
 _NEVER = 1 << 60
