@@ -240,7 +240,8 @@ def top_similar_each(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col:
         return pa.Table.from_pylist([{"query_id": a, "vec_id": b, "cosine": c} for a, b, c in out], pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("cosine", pa.float64())]))
 
     (asked, n_asked), (held, n_held) = dealt(queries), dealt(vectors)
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Both sides' keys are longs: rows of one key in two types go to different tasks.
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = asked.select("id", "v", F.col("block").alias("q"), all_of(n_held).alias("h")).groupBy("q", "h")
     right = held.select("id", "v", all_of(n_asked).alias("q"), F.col("block").alias("h")).groupBy("q", "h")
     found = left.cogroup(right).applyInArrow(best, "query_id long, vec_id long, cosine double")

@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,29 @@ def test_vector_search_asks_for_every_twentieth(spark, monkeypatch):
         assert [x[1:] for x in sorted(got[query])] == [tuple(r) for r in view.top_similar(vectors, query).collect()]
 
 
+def test_vector_search_meets_every_block_in_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(view, "BLOCK", 90)
+    before = {key: spark.conf.get(key) for key in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+        got = {}
+        for r in view.top_similar_each(vectors, vectors.where("vec_id % 20 = 0")).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.cosine))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    rows = vectors.toPandas()
+    v = np.array(rows.embedding.tolist(), float)
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    ids = rows.vec_id.to_numpy()
+    for i in np.flatnonzero(ids % 20 == 0):
+        cosine = np.round(v @ v[i], 6)
+        order = [j for j in np.lexsort((ids, -cosine)) if ids[j] != ids[i]][:5]
+        assert [x[1] for x in sorted(got[ids[i]])] == ids[order].tolist()
+
+
 def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 40
     assert entry.entry(spark).count() > 0
