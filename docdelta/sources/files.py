@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 import io
+import itertools
 import re
 import shutil
 import zipfile
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from docdelta.functions.text import LIST_PREFIX
 from docdelta.checkpoint import written
+from docdelta.columns import slices
 from docdelta.operators import layout
 from docdelta.schemas import LAYOUT
 from docdelta.sources import pdf, rtf
@@ -30,6 +32,8 @@ LEGACY = (".doc", ".xls", ".rtf")
 ENGINES = ("auto", "builtin", "docling")
 BASE_QUALITY = {"text": 1.0, "docx": 0.98, "xlsx": 0.96, "pptx": 0.95, "pdf": 0.93, "docling": 0.94, "rapidocr": 0.75, "tesseract": 0.68}
 MAX_BYTES = 40 << 20
+#: Blocks that a reader hands on at a time.
+HANDED_ON = 2000
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -182,12 +186,13 @@ def read_office(files: DataFrame) -> DataFrame:
         try:
             return list(_READERS[extension](data))
         except (zipfile.BadZipFile, E.ParseError, KeyError, rtf.NotRtf):
-            return []
+            return []  # whole or not at all, so a file's blocks are listed before any is handed on
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [{"path": path, "seq": k, "is_repeated_header": False, "is_repeated_footer": False} | b for path, extension, data in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, b in enumerate(blocks(extension, data))]
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()], list(kinds))
+        for batch in slices(batches):
+            found = ({"path": path, "seq": k, "is_repeated_header": False, "is_repeated_footer": False} | b for path, extension, data in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, b in enumerate(blocks(extension, data)))
+            while rows := list(itertools.islice(found, HANDED_ON)):
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()], list(kinds))
 
     return files.where(F.col("extension").isin(*_READERS)).select("path", "extension", "content").mapInArrow(run, LAYOUT.replace("doc_id long", "path string", 1))
 
@@ -212,7 +217,7 @@ def pdf_spans(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, data in ((x.as_py(), y.as_py()) for x, y in zip(*batch.columns, strict=True)):
                 found = rows(path, data)
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in found], t) for k, t in kinds.items()], list(kinds))
 

@@ -1,6 +1,8 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docdelta.columns import slices
 from docdelta.functions import similarity as sim
 from docdelta.functions import text as t
 
@@ -75,3 +77,10 @@ def test_word_diff_gives_both_sides_back():
 def test_noise_equivalence():
     assert sim.noise_equivalent("Él  dijo: sí", "el dijo si") and not sim.noise_equivalent("a", "") and sim.noise_equivalent("--", "..")
     assert not sim.noise_equivalent("der hund ist gross", "die katze ist klein")
+
+
+def test_python_steps_take_few_rows_at_a_time():
+    texts = [str(k) * (300_000 if k == 70 else 40_000 if k > 70 else 1) for k in range(150)]
+    got = list(slices(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])])))
+    assert [x for batch in got for x in batch.column(0).to_pylist()] == texts
+    assert all(b.num_rows <= 64 and (b.num_rows == 1 or b.nbytes <= 1 << 20) for b in got) and len(got) < 20
