@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docdelta.checkpoint import written
 from docdelta.functions.text import merged_segments, strip
@@ -119,35 +122,111 @@ def _substrings(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+#: Rows and characters that a block of the search index has, about.
+BLOCK_ROWS, BLOCK_CHARS = 5000, 2_000_000
+
+
+def _in_blocks(rows: DataFrame, keys: list[str], blocks: int) -> DataFrame:
+    """(block, *keys, __text): rows dealt to blocks by their keys; in a block a row's place is that in the order of the keys."""
+    dealt = rows.select(F.pmod(F.xxhash64(*keys), F.lit(blocks).cast("long")).alias("block"), *keys, search_text(rows.columns).alias("__text"))
+    return _spread(dealt)
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    # Blocks take much work for their bytes: they are dealt to all tasks, however small they are.
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+
+
+def _ordered(block: pa.Table, keys: list[str]) -> pa.Table:
+    return block.sort_by([(x, "ascending") for x in keys])
+
+
+def _postings(texts: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+    """The substrings of one to three characters with the places of the texts that have them, ascending."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+    lengths = np.array([len(x) for x in texts], np.int64)
+    row = np.repeat(np.arange(len(texts)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))
+    for n in (1, 2, 3):
+        at = np.flatnonzero(left >= n)
+        code = sum(points[at + k] << 21 * k for k in range(n)) if len(at) else at
+        codes, own = np.unique(code, return_inverse=True)
+        pair = np.unique(own * len(texts) + row[at])
+        cut = np.searchsorted(pair, np.arange(len(codes) + 1) * len(texts))
+        place = (pair % len(texts)).astype(np.int32)
+        for c, i, j in zip(codes.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            yield "".join(chr((c >> 21 * k & 0x1FFFFF) - 1) for k in range(n)), place[i:j]
+
+
 def search_index(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(gram, *keys): each row's substrings of one to three characters of its searched fields; written, sorted by substring and key.
+    """(gram, block, blocks, n, packed, places): each block's substrings of one to three characters of its rows' searched fields with the n places of the rows that have it; written.
 
-    Ranges of substrings and keys are dealt, so that a substring of all rows fills many files; a lookup reads the
-    parts of files that its substrings lie in.
+    keys tell rows apart. Blocks have about as many rows and characters each, however many rows there are, and are made
+    apart. Places of many rows are a bit for each row of the block (packed), those of few numbers of 32 bits.
     """
-    text = search_text(rows.columns)
-    grams = F.array_distinct(F.concat(*[_substrings(F.col("__text"), n) for n in (1, 2, 3)]))
-    posted = rows.select(*keys, text.alias("__text")).select(*keys, F.explode(grams).alias("gram"))
-    return written(posted.select("gram", *keys).repartitionByRange("gram", *keys).sortWithinPartitions("gram", *keys), "postings")
+    size = rows.select(F.length(search_text(rows.columns)).alias("n")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("chars")).head()
+    blocks = max(1, -(-size.rows // BLOCK_ROWS), -(-size.chars // BLOCK_CHARS))
+
+    def posted(block: pa.Table) -> pa.Table:
+        out = []
+        for gram, places in _postings(_ordered(block, keys).column("__text").to_pylist()):
+            packed = len(places) * 32 > block.num_rows
+            if packed:
+                bits = np.zeros(block.num_rows, bool)
+                bits[places] = True
+            out.append((gram, len(places), packed, (np.packbits(bits) if packed else places).tobytes()))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        grams, n, packed, places = (pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int32(), pa.bool_(), pa.binary()), strict=True))
+        one = lambda x: pa.array([x] * len(out), pa.int64())
+        number = block.column("block")[0].as_py()
+        return pa.Table.from_arrays([grams, one(number), one(blocks), n, packed, places], names=["gram", "block", "blocks", "n", "packed", "places"])
+
+    index = _in_blocks(rows, keys, blocks).groupBy("block").applyInArrow(posted, "gram string, block long, blocks long, n int, packed boolean, places binary")
+    return written(index, "postings")
 
 
 def searched(rows: DataFrame, index: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
     """(query, *keys): for each text of queries (query) the rows whose searched fields hold it, as filtered() finds them one by one.
 
-    The rows that have a query's rarest substrings are looked up in the index and then compared. Queries are stripped
-    and lower-cased; blank ones find nothing.
+    A query's rarest substrings are looked up in the index of the same rows, in the blocks that have the rarest of them;
+    a longer query is then compared with the rows that have them. Queries are stripped and lower-cased; blank ones find nothing.
     """
     asked = queries.select(F.lower(strip(F.coalesce("query", F.lit("")))).alias("query")).where("query != ''").distinct()
     size = F.least(F.length("query"), F.lit(3))
     own = F.when(size == 3, _substrings(F.col("query"), 3)).otherwise(F.array("query"))
     grams = written(asked.select("query", F.explode(F.array_distinct(own)).alias("gram")), "asked")
-    counts = index.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy("n", "gram"))
-    chosen = grams.join(counts, "gram", "left").fillna(0, "n").withColumn("place", place).where(F.col("place") <= LOOKED_UP)
-    chosen = chosen.withColumn("of", F.count("*").over(Window.partitionBy("query"))).select("query", "gram", "of")
-    hits = chosen.join(index, "gram").groupBy("query", "of", *keys).agg(F.count("*").alias("n")).where("n = of").drop("n", "of")
-    found = hits.join(rows.select(*keys, search_text(rows.columns).alias("__text")), keys)
-    return found.where(F.contains("__text", "query")).select("query", *keys)
+    counts = index.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.sum("n").alias("n"))
+    rarest = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda x: x["gram"]), 1, LOOKED_UP)
+    chosen = grams.join(counts, "gram", "left").groupBy("query").agg(rarest.alias("grams"), F.count_if(F.col("n").isNull()).alias("absent"))
+    chosen = written(chosen.where("absent = 0").drop("absent"), "chosen")
+    asks = chosen.select("query", "grams", F.col("grams")[0].alias("gram")).join(index.select("gram", "block"), "gram").select("block", "query", "grams")
+    posts = index.join(chosen.select(F.explode("grams").alias("gram")).distinct(), "gram", "left_semi").select("block", "gram", "packed", "places")
+    left = _spread(asks.unionByName(posts, allowMissingColumns=True))
+    blocks = index.agg(F.max("blocks")).head()[0] or 1
+
+    def found(asks: pa.Table, block: pa.Table) -> pa.Table:
+        block = _ordered(block, keys)
+        texts, held, queries, places = block.column("__text").to_pylist(), {}, [], []
+        for gram, packed, own in zip(*(asks.column(x).to_pylist() for x in ("gram", "packed", "places")), strict=True):
+            if gram is not None:
+                held[gram] = np.flatnonzero(np.unpackbits(np.frombuffer(own, np.uint8), count=len(texts))) if packed else np.frombuffer(own, np.int32)
+        for query, grams in zip(asks.column("query").to_pylist(), asks.column("grams").to_pylist(), strict=True):
+            if query is None or not all(x in held for x in grams):
+                continue
+            at = held[grams[0]]
+            for x in grams[1:]:
+                at = np.intersect1d(at, held[x], assume_unique=True)
+            if len(query) > 3:
+                at = np.array([k for k in at.tolist() if query in texts[k]], np.int64)
+            if len(at):
+                queries.append(pa.array([query], pa.string()).take(pa.array(np.zeros(len(at), np.int64))))
+                places.append(at)
+        at = pa.array(np.concatenate(places) if places else np.empty(0, np.int64), pa.int64())
+        return pa.Table.from_arrays([pa.chunked_array(queries, pa.string()), *(block.column(x).take(at) for x in keys)], names=["query", *keys])
+
+    held = _in_blocks(rows, keys, blocks)
+    kinds = T.StructType([T.StructField("query", T.StringType()), *(rows.schema[x] for x in keys)])
+    return left.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(found, kinds)
 
 
 def sort_keys(by: str = "block_id") -> list[Column]:

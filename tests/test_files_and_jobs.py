@@ -146,6 +146,21 @@ def test_vector_search_meets_every_block_in_many_partitions(spark, monkeypatch):
         assert [x[1] for x in sorted(got[ids[i]])] == ids[order].tolist()
 
 
+def test_search_index_holds_a_row_for_each_block_not_for_each_row(spark, monkeypatch):
+    monkeypatch.setattr(view, "BLOCK_ROWS", 40)
+    rows = spark.range(300).select(
+        "id", F.lit("k").alias("sub"), F.concat(F.lit("Añejo \U0001f600 "), (F.col("id") % 13).cast("string")).alias("text_a"), F.when(F.col("id") % 7 == 0, F.concat(F.lit("x\0"), "id")).alias("text_b"), F.array(F.struct(F.lit("equal").alias("type"), F.lit("").alias("text"))).alias("display_segments_a"),
+    )
+    index = view.search_index(rows, ["id", "sub"])
+    assert index.where("gram = 'ñej'").count() == index.select("blocks").head()[0] == 8 and index.where("gram = 'ñej'").agg(F.sum("n")).head()[0] == 300
+    queries = ["ñEJO", "\U0001f600 1", "o", "x\0", "x\0" + "21", "12 x", "ab", "nada de esto", "  ", "12", None, "añejo \U0001f600 12"]
+    got = {}
+    for r in view.searched(rows, index, spark.createDataFrame([(q,) for q in queries], "query string"), ["id", "sub"]).collect():
+        got.setdefault(r.query, []).append(r.id)
+    want = {q.strip().lower(): sorted(r.id for r in view.filtered(rows, query=q).collect()) for q in queries if q and q.strip()}
+    assert {q: sorted(ids) for q, ids in got.items()} == {q: ids for q, ids in want.items() if ids}
+
+
 def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 40
     assert entry.entry(spark).count() > 0
