@@ -210,3 +210,18 @@ def test_phases_in_order(spark, tmp_path, monkeypatch):
     assert states["same", "status"] == "done" and json.loads(states["edit", "metrics"])["phase"] == "completed" and states["edit", "step"] == "completado"
     phases = [json.loads(r.value) for r in spark.read.parquet(path).where("field = 'metrics' and sid = 'edit'").orderBy("seq").collect()]
     assert [x["phase"] for x in phases][:3] == ["extraction", "extraction", "pairing"] and phases[1]["doc_a_blocks"] > 0 and [x["elapsed_ms"] for x in phases] == sorted(x["elapsed_ms"] for x in phases)
+
+
+def test_heuristics_are_one_pass_and_prompts_are_not_dealt(spark):
+    pairs = spark.createDataFrame([("j", k, f"uno {k % 3}", "otra cosa" if k % 2 else f"uno {k % 3}") for k in range(1, 9)], "job_id string, pair_index int, text_a string, text_b string")
+    pairs = pairs.select("*", *[F.col("pair_index").alias(f"{x}_index") for x in ("a", "b")], *[F.array("pair_index").alias(f"{x}_indices") for x in ("a", "b")], F.lit("matched").alias("pair_type"), F.lit(0.5).alias("alignment_score"))
+    found = decide.heuristics(pairs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("MapInArrow") == 1
+    assert {(r.pair_index, r.decided) for r in found.collect()} == {(k, None if k % 2 else "normalized_equal") for k in range(1, 9)}
+    open_ = found.where("decided is null").withColumn("own", decide.fallback(F.col("text_a"), F.col("text_b"), F.col("a_index"), F.col("b_index")))
+    answers = decide.ask(open_, lambda: lambda prompt: json.dumps({"choices": [{"message": {"content": json.dumps({"changes": [{"type": "new", "a": json.loads(prompt[1]["content"])["block_a"]["text"]}]})}}]}))
+    assert "messages" not in answers.columns
+    shuffled = answers._jdf.queryExecution().optimizedPlan().toString()
+    assert shuffled.index("Responde exclusivamente") < shuffled.index("RepartitionByExpression")  # made above the shuffle
+    assert {(r.pair_index, r.row_source, r.changes[0].source_a) for r in answers.collect()} == {(1, "llm", "uno 1"), (3, "llm", "uno 0"), (5, "llm", "uno 2"), (7, "cache", "uno 1")}
