@@ -68,8 +68,14 @@ def _index_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matched_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Index pairs with both sides, dealt to all tasks: they take much work for their bytes, by which a join's partitions are merged."""
-    return _index_pairs(spark, d).where("pair_type = 'matched'").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "job_id", "index")
+    """Index pairs with both sides: those of a job stand in one row, so nothing is joined by index. Dealt to all tasks, as
+    they take much work for their bytes, by which a join's partitions are merged."""
+    texts = lambda x: F.transform(segment.fixed_chunks(F.col(x)), lambda s: s["text"]).alias(x)
+    jobs = _pair_texts(spark, d).select("job_id", texts("ta"), texts("tb"))
+    least = F.least(F.size("ta"), F.size("tb"))
+    rows = jobs.select("job_id", F.posexplode(F.arrays_zip(*[F.slice(x, 1, least).alias(x) for x in ("ta", "tb")])).alias("index", "c"))
+    rows = rows.select("job_id", "index", F.col("c.ta").alias("text_a"), F.col("c.tb").alias("text_b"))
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "job_id", "index")
 
 
 @query(f"WITH {_PAIRS} SELECT job_id, doc_a, doc_b FROM pairs")

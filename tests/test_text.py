@@ -84,3 +84,16 @@ def test_python_steps_take_few_rows_at_a_time():
     got = list(slices(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])])))
     assert [x for batch in got for x in batch.column(0).to_pylist()] == texts
     assert all(b.num_rows <= 64 and (b.num_rows == 1 or b.nbytes <= 1 << 20) for b in got) and len(got) < 20
+
+
+def test_fixed_chunks_take_time_in_proportion_to_the_text(spark):
+    import time
+
+    from docdelta.operators import segment
+
+    text = "aä😀\n" * 1_000_000 + "z"
+    rows = spark.createDataFrame([(text,), ("",), (None,), ("x" * 250,)], "t string").select(segment.fixed_chunks(F.col("t")).alias("s"))
+    began = time.monotonic()
+    found = [[(x["index"], x["text"], x["start_char"], x["end_char"]) for x in r.s] for r in rows.collect()]
+    assert time.monotonic() - began < 12
+    assert found == [[(i, x[s : s + 250], s, min(s + 250, len(x))) for i, s in enumerate(range(0, len(x), 250))] for x in (text, "", "", "x" * 250)]
