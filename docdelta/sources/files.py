@@ -200,6 +200,10 @@ def read_office(files: DataFrame) -> DataFrame:
 _SPAN = "path string, page int, height double, block int, line int, span int, text string, bbox struct<x0: double, y0: double, x1: double, y1: double>, reason string"
 
 
+#: Spans that a task holds before it hands them on.
+SPANS_AT_A_TIME = 1000
+
+
 def pdf_spans(files: DataFrame) -> DataFrame:
     """Spans of .pdf files: path, page, height, block, line, span, text, bbox, reason.
 
@@ -216,10 +220,16 @@ def pdf_spans(files: DataFrame) -> DataFrame:
             return [{"path": path, "reason": str(e) if isinstance(e, pdf.Unreadable) else f"broken: {type(e).__name__}"}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in found], t) for k, t in kinds.items()], list(kinds))
+        found: list[dict] = []
         for batch in batches:
             for path, data in ((x.as_py(), y.as_py()) for x, y in zip(*batch.columns, strict=True)):
-                found = rows(path, data)
-                yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in found], t) for k, t in kinds.items()], list(kinds))
+                found += rows(path, data)
+                if len(found) >= SPANS_AT_A_TIME:
+                    yield out()
+                    found = []
+        if found:
+            yield out()
 
     return files.where(F.col("extension") == ".pdf").select("path", "content").mapInArrow(run, _SPAN)
 

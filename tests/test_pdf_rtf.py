@@ -133,3 +133,20 @@ def test_layout_of_files(spark, tmp_path):
     out = {r.path.rpartition("/")[2]: r for r in files.extracted(found).collect()}
     assert out["a.pdf"].text.startswith("Erste Zeile zweite Zeile") and (out["a.pdf"].engine_used, out["b.rtf"].engine_used, out["c.pdf"].text) == ("pdf", "docx", "")
     assert files.validate("x.pdf") == ".pdf" and files.validate("y.RTF") == ".rtf"
+
+
+def test_values_are_read_by_runs():
+    import time
+
+    from docdelta.sources import pdf
+
+    reader = pdf.Reader(b"% note\n 1 0 R 12 -.5 1e2 true null/N#41me(a(b)\\051\\n)<4>[1 /X]>> Tj % end")
+    found = []
+    while (x := reader.value()) != b"":
+        found.append((type(x).__name__, x))
+    assert found == [
+        ("Ref", 1), ("int", 12), ("float", -0.5), ("int", 100), ("bool", True), ("NoneType", None), ("Name", "NAme"), ("bytes", b"a(b))\n"), ("bytes", b"@"), ("list", [1, "X"]), ("Keyword", b">>"), ("Keyword", b"Tj"),
+    ]
+    began = time.process_time()
+    assert len(pdf.Reader(b" " * 4_000_000 + b"(" + b"x" * 4_000_000 + b")").value()) == 4_000_000
+    assert time.process_time() - began < 0.5
