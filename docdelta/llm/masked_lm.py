@@ -159,15 +159,25 @@ class WindowNetwork:
 
     def log_probabilities(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
         """near: ids at the 2 * SIDE places around each target."""
-        hidden, group, word = self._hidden(near), target // PER_CLASS, target % PER_CLASS
-        out = np.log(self._softmax(hidden @ self.to_class + self.class_bias)[np.arange(len(target)), group] + 1e-30)
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        group, word = target // PER_CLASS, target % PER_CLASS
+        order = np.argsort(group.astype(np.uint8), kind="stable")  # tokens of one class lie together
+        hidden, group, word = self._hidden(near[:, order]), group[order], word[order]
+        own = self._log_picked(hidden @ self.to_class + self.class_bias, group)
+        ends = np.searchsorted(group, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(ends)):
-            at = order[ends[c] : ends[c + 1]]
-            out[at] += np.log(self._softmax(hidden[at] @ self.to_word[c] + self.word_bias[c])[np.arange(len(at)), word[at]] + 1e-30)
+            at = slice(ends[c], ends[c + 1])
+            own[at] += self._log_picked(hidden[at] @ self.to_word[c] + self.word_bias[c], word[at])
+        out = np.empty_like(own)
+        out[order] = own
         return out
 
+    @staticmethod
+    def _log_picked(z: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Of each row the logarithm of the softmax at one place, without the others'."""
+        z -= z.max(1, keepdims=True)
+        picked = z[np.arange(len(z)), which]
+        return np.maximum(picked - np.log(np.exp(z, out=z).sum(1)), np.float32(np.log(1e-30)))
+
     def gradient(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of the mean negative log-probability."""
         n = len(target)

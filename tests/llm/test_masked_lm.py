@@ -135,3 +135,19 @@ def test_rounds_go_on_from_the_mean(spark, monkeypatch):
     monkeypatch.setattr(lm, "ROUNDS", 4)
     often = [mean(n) for n in (1, 8)]
     assert once[0] == pytest.approx(once[1], abs=1e-5) and often[0] == pytest.approx(often[1], abs=1e-5) and often[1] > once[1]
+
+
+def test_log_probabilities_of_rare_words_keep_their_digits():
+    import numpy as np
+
+    from docdelta.llm import masked_lm as lm
+
+    net = lm.WindowNetwork(np.zeros(lm.WindowNetwork.SIZE, np.float32))
+    net.word_bias[1, 5] = -66
+    target = np.array([70, lm.PER_CLASS + 5, 3, lm.PER_CLASS + 5])
+    found = net.log_probabilities(np.zeros((2 * lm.SIDE, 4), np.int64), target)
+    classes, words = np.log(lm.CLASSES), np.log(lm.PER_CLASS - 1)
+    want = [-classes - words, -classes - words - 66, -classes - np.log(lm.PER_CLASS), -classes - words - 66]
+    assert abs(found - np.maximum(want, -classes + np.log(1e-30))).max() < 1e-3
+    net.word_bias[1, 5] = -60
+    assert abs(net.log_probabilities(np.zeros((2 * lm.SIDE, 4), np.int64), target)[1] - (-classes - words - 60)) < 1e-3
