@@ -38,9 +38,9 @@ def _unsteady_model():
 
 
 def _questions(spark, d) -> DataFrame:
-    e = _t(spark, d, "events")
+    index = F.col("n")
+    e = _t(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
     question = F.concat(F.lit("pregunta "), F.col("event_type"), F.lit(" "), F.col("event_id") % 9)
-    index = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     indices = F.array(index - 1)
     pairs = e.select(
         F.col("user_id").alias("job_id"), index.alias("pair_index"), question.alias("text_a"), F.when(F.col("event_id") % 5 == 0, question).otherwise("respuesta que no se le parece").alias("text_b"),

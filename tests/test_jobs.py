@@ -225,3 +225,25 @@ def test_heuristics_are_one_pass_and_prompts_are_not_dealt(spark):
     shuffled = answers._jdf.queryExecution().optimizedPlan().toString()
     assert shuffled.index("Responde exclusivamente") < shuffled.index("RepartitionByExpression")  # made above the shuffle
     assert {(r.pair_index, r.row_source, r.changes[0].source_a) for r in answers.collect()} == {(1, "llm", "uno 1"), (3, "llm", "uno 0"), (5, "llm", "uno 2"), (7, "cache", "uno 1")}
+
+
+def test_only_what_the_model_needs_goes_through_python(spark):
+    pair = {"job_id": 1, "normal_a": "a", "normal_b": "b", "text_a": "a", "text_b": "b", "a_index": 0, "b_index": 0, "a_indices": [0], "b_indices": [0], "alignment_score": 0.5, "pair_type": "matched"}
+    rows = spark.createDataFrame([{**pair, "pair_index": k} for k in (1, 2)] + [{**pair, "pair_index": k, "normal_b": "c", "text_b": "c"} for k in (3, 4)] + [{**pair, "pair_index": 5, "normal_b": "d", "text_b": "d"}])
+
+    def model():
+        def answer(prompt):
+            assert [x["role"] for x in prompt] == ["system", "user"]
+            b = json.loads(prompt[1]["content"])["block_b"]["text"]
+            if b == "c":
+                raise decide.ResponseError("none")
+            if b == "d":
+                raise LookupError("lost")
+            return json.dumps({"choices": [{"message": {"content": {"changes": [{"change_type": "new", "source_b": b}]}}}]})
+
+        return answer
+
+    found = decide.ask(rows, model)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()  # the pairs' other columns stay where they are
+    got = {x.pair_index: (x.row_source, [c.change_type for c in x.changes], x.error and x.error.error_type) for x in found.collect()}
+    assert got == {1: ("llm", ["añadido"], None), 2: ("cache", ["añadido"], None), 3: ("fallback", ["modificado"], "ResponseError"), 4: ("cache", ["modificado"], None), 5: ("failed", [], "LookupError")}

@@ -97,3 +97,11 @@ def test_fixed_chunks_take_time_in_proportion_to_the_text(spark):
     found = [[(x["index"], x["text"], x["start_char"], x["end_char"]) for x in r.s] for r in rows.collect()]
     assert time.monotonic() - began < 12
     assert found == [[(i, x[s : s + 250], s, min(s + 250, len(x))) for i, s in enumerate(range(0, len(x), 250))] for x in (text, "", "", "x" * 250)]
+
+
+def test_plain_texts_keep_the_full_normal_form(spark, monkeypatch):
+    texts = ["", " ", "a", "una frase sin más", " a", "a ", "a  b", "a-b", "page 3", "Página 12", "HOJA ٣", "page 3 de 4", "1 2 3", "1. uno", "a) uno", "iv", "año\u00a0nuevo", "e\u0301", "x\ny", "x\n", "日本 語", "\U00020000 x", "---", "x_y", "\u2028", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    quick = {x.i: x.n for x in rows.select("i", t.normalize_text(F.col("t")).alias("n")).collect()}
+    monkeypatch.setattr(t, "UNEVEN", "")  # no text is plain then
+    assert quick == {x.i: x.n for x in rows.select("i", t.normalize_text(F.col("t")).alias("n")).collect()}
