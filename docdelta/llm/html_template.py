@@ -77,12 +77,12 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 
 
 class Block:
-    """Text between two block borders: its element path, whether it is in a part that goes, whether in the main one, number of tags before."""
+    """Text between two block borders: its element path, its words, whether it is in a part that goes, whether in the main one, number of tags before."""
 
-    __slots__ = ("path", "text", "aside", "main", "at")
+    __slots__ = ("path", "text", "words", "aside", "main", "at")
 
-    def __init__(self, path: str, text: str, aside: bool, main: bool, at: int):
-        self.path, self.text, self.aside, self.main, self.at = path, text, aside, main, at
+    def __init__(self, path: str, words: list[str], aside: bool, main: bool, at: int):
+        self.path, self.text, self.words, self.aside, self.main, self.at = path, " ".join(words), words, aside, main, at
 
 
 def _is_aside(tag: str, attributes: str, in_main: bool) -> bool:
@@ -98,6 +98,28 @@ def _is_aside(tag: str, attributes: str, in_main: bool) -> bool:
     return any(any(w in ASIDE_WORDS for w in n) and (not in_main or all(w in ASIDE_WORDS or w in PLAIN_WORDS for w in n)) for n in names)
 
 
+class _Known(dict):
+    """What a worker remembers of keys that mostly come again: hashes of paths and words, what attributes say."""
+
+    def __init__(self, value_of: Callable, most: int, length: Callable = len):
+        self.value_of, self.most, self.length = value_of, most, length
+
+    def __missing__(self, key):
+        x = self.value_of(key)
+        if self.length(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = x
+        return x
+
+
+#: Attributes of elements that a worker remembers, and the characters of the longest key that it does.
+HELD_ATTRIBUTES, LONGEST = 20_000, 1000
+_aside_of = _Known(lambda key: _is_aside(*key), HELD_ATTRIBUTES, lambda key: len(key[1]))
+_class_of = _Known(lambda name: f".{'.'.join(sorted(_NAME.findall(name.lower())))[:60]}" if "class" in name else "", HELD_ATTRIBUTES)
+_OPENS = BLOCK | RAW
+
+
 def parse(page: str) -> tuple[list[Block], list[str]]:
     """The page's text blocks and its tag tokens, both in page order."""
     blocks: list[Block] = []
@@ -106,73 +128,75 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
     named: list[list[int]] = [[-1, 0, 0]]
     held: list[tuple[int, int]] = []  # for each block, the named element around it and the one around its main element, or -1
     stack: list[tuple[str, str, int, int]] = [("", "", 0, -1)]
-    numbers: Counter[str] = Counter()
+    numbers: dict[str, int] = {}
     text: list[str] = []
 
     def close() -> None:
-        if text:
-            plain = " ".join(entities.unescape("".join(text)).split())
-            if plain:
-                _, path, around, main = stack[-1]
-                blocks.append(Block(path, plain, False, main >= 0, len(tags)))
-                held.append((around, main))
-                while around >= 0:
-                    named[around][2] += len(plain)
-                    around = named[around][0]
-            text.clear()
-
-    def pop(n: int) -> None:
-        del stack[n:]
-
-    at = 0
+        words = entities.unescape("".join(text)).split()
+        if words:
+            _, path, around, main = stack[-1]
+            blocks.append(block := Block(path, words, False, main >= 0, len(tags)))
+            held.append((around, main))
+            while around >= 0:
+                named[around][2] += len(block.text)
+                around = named[around][0]
+        text.clear()
+
+    at, search = 0, _TAG.search
     while at < len(page):
-        m = _TAG.search(page, at)
+        m = search(page, at)
         if not m:
             text.append(page[at:])
             break
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        start, end = m.span()
+        if start > at:
+            text.append(page[at:start])
+        at = end
+        closing, tag, attributes = m.groups()
         if not tag:
             continue
-        if m[1]:
+        tag = tag.lower()
+        if closing:
             if tag in BLOCK:
-                close()
-                i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if i:
-                    pop(i)
-                    tags.append(f"{stack[-1][1]}/{tag}.end")
+                if text:
+                    close()
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] == tag:
+                        del stack[i:]
+                        tags.append(f"{stack[-1][1]}/{tag}.end")
+                        break
             elif tag == "br":
                 text.append(" ")
             continue
         if tag == "br":
             text.append(" ")
             continue
-        if tag not in BLOCK and tag not in RAW:
+        if tag not in _OPENS:
             continue  # inline elements neither end a block nor have a place in the path
-        close()
+        if text:
+            close()
         if stack[-1][0] == "p":
-            pop(len(stack) - 1)
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in _CLOSES.get(tag, ()):
-                pop(i)
-                break
-            if stack[i][0] in ("ul", "ol", "dl", "table", "select", "tbody", "thead", "div", "section"):
-                break
+            del stack[-1:]
+        if tag in _CLOSES:
+            closes = _CLOSES[tag]
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in closes:
+                    del stack[i:]
+                    break
+                if stack[i][0] in ("ul", "ol", "dl", "table", "select", "tbody", "thead", "div", "section"):
+                    break
         _, path, around, main = stack[-1]
-        if tag not in VOID and tag not in RAW and _is_aside(tag, m[3], main >= 0):
+        if tag not in VOID and tag not in RAW and _aside_of[tag, attributes, main >= 0]:
             named.append([around, named[around][1] + 1, 0])
             around = len(named) - 1
-        name = m[3].strip()
-        path = f"{path}/{tag}" if "class" not in name else f"{path}/{tag}.{'.'.join(sorted(_NAME.findall(name.lower())))[:60]}"
+        path = f"{path}/{tag}{_class_of[attributes.strip()]}"
         if tag in NUMBERED:
             # Siblings of one opened element: a closed and reopened parent of the same path goes on counting.
-            numbers[path] += 1
-            if numbers[path] > 1:
-                path = f"{path}#{numbers[path]}"
+            numbers[path] = n = numbers.get(path, 0) + 1
+            if n > 1:
+                path = f"{path}#{n}"
         tags.append(path)
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -208,7 +232,7 @@ def _tokens(page: str) -> Counter[str]:
     out = Counter(f"<{tag}" for tag in tags)
     for block in blocks:
         path = f"{block.path} "
-        out.update([path + word for word in block.text.split()])
+        out.update([path + word for word in block.words])
         out[_block_token(block)] += 1
     return out
 
@@ -227,27 +251,14 @@ def _hash(token: str) -> int:
     return (_half(head) + _half(tail) * _MIX & 0xFFFFFFFFFFFFFFFF) >> 16
 
 
-class _Known(dict):
-    """Hashes that a worker remembers, as most paths and words come again."""
-
-    def __init__(self, hashed: Callable[[str], int]):
-        self.hashed = hashed
-
-    def __missing__(self, text: str) -> int:
-        if len(self) >= HELD_TOKENS:
-            self.clear()
-        h = self[text] = self.hashed(text)
-        return h
-
-
-_half_of = _Known(_half)
-_tag_of = _Known(lambda path: _hash(f"<{path}"))
+_half_of = _Known(_half, HELD_TOKENS)
+_tag_of = _Known(lambda path: _hash(f"<{path}"), HELD_TOKENS)
 
 
 def _sequence(page: str, with_words: bool = True) -> tuple[list[Block], np.ndarray, np.ndarray]:
     """The blocks, the place of each block's token, and the hashes of all tokens in page order."""
     blocks, tags = parse(page)
-    split = [b.text.split() if with_words else () for b in blocks]
+    split = [b.words if with_words else () for b in blocks]
     sizes = np.array([len(x) for x in split], np.int64)
     before = np.cumsum(sizes) - sizes
     places = np.array([b.at for b in blocks], np.int64) + np.arange(len(blocks)) + before
@@ -275,7 +286,11 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
             vectors = np.add.reduceat(np.concatenate([x for _, x, _ in own])[order], starts) & np.uint64((1 << 48) - 1)
             pages = np.add.reduceat(np.repeat([n for _, _, n in own], [len(x) for x, _, _ in own])[order], starts)
-            yield pa.RecordBatch.from_arrays([pa.array([host] * len(starts), pa.string()), *map(pa.array, (tokens[starts], pages, vectors.astype(np.int64)))], ["host", "token", "pages", "vector"])
+            # Back to the order of the pages: tokens of one page alone have one vector there, which packs well when they are dealt.
+            row = np.full(len(tokens), -1, np.int64)
+            row[order[starts]] = np.arange(len(starts))
+            row = row[row >= 0]
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(host, pa.string()), len(starts)), *map(pa.array, (tokens[starts][row], pages[row], vectors[row].astype(np.int64)))], ["host", "token", "pages", "vector"])
 
     for batch in batches:
         hosts, contents, copies, pages = (batch.column(i).to_pylist() for i in range(4))
@@ -325,6 +340,10 @@ def _chain(path: str) -> list[str]:
     return [path[:i] for i, x in enumerate(path) if x == "/" and i] + [path] if path else []
 
 
+#: For a block's path the elements around it, outermost first: hash of the element's tag, 1 if named as main, path.
+_around = _Known(lambda path: [(_tag_of[x], int(x.rpartition("/")[2].partition(".")[0].partition("#")[0] in MAIN), x) for x in _chain(path)], HELD_ATTRIBUTES)
+
+
 def _orders_and_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For pages (host, html, tokens), summed for each task: pages by host, class and order of the class's tags and blocks
     (kind 0: class, order), slot text by element (kind 1: token of the element, 1 if named as main, path), and pages
@@ -353,12 +372,11 @@ def _orders_and_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                     continue
                 lead = headed and not heading and not led
                 led |= lead
-                for path in _chain(block.path):
-                    if (h := _tag_of[path]) in known:
-                        name = path.rpartition("/")[2].partition(".")[0].partition("#")[0]
-                        sums[host, 1, h, int(name in MAIN), path] += len(block.text)
+                for h, main, path in _around[block.path]:
+                    if h in known:
+                        sums[host, 1, h, main, path] += len(block.text)
                         if lead:
-                            sums[host, 2, h, int(name in MAIN), path] += 1
+                            sums[host, 2, h, main, path] += 1
         if len(sums) >= HELD_TOKENS:
             yield _summed(sums)
             sums = Counter()
@@ -416,7 +434,7 @@ def main_text(page: str | None, template: frozenset[int] | set[int], article: st
     if any(b.main for b in free):
         free = [b for b in free if b.main]
     elif template:
-        free = [b for b in free if not all(_hash(f"{b.path} {w}") in template for w in b.text.split())]
+        free = [b for b in free if not all(_hash(f"{b.path} {w}") in template for w in b.words)]
     return "\n".join(b.text for b in free)
 
 

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from docdelta.llm import html_template as ht
 
 
@@ -173,3 +175,18 @@ def test_longer_comments_below_the_article_go(spark):
 def test_hidden_and_named_parts():
     assert text("<article><p>Text</p><section id='reader-comments'><p>Leser</p></section><div hidden><p>weg</p></div><div style='color:red; display: none'>weg</div><p aria-hidden=false>da</p></article>") == "Text\nda"
     assert text("<div class='topmenu'>Menü</div><div class='cookiebar'>Kekse</div><p>Ein Text</p>") == "Ein Text"
+
+
+def test_tokens_of_one_page_are_handed_on_side_by_side():
+    pages = [f"<p>{' '.join(f'{name}{k}' for k in range(200))}</p>" for name in "abc"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["h"] * 3), pa.array([1, 2, 3]), pa.array([1] * 3), pa.array(pages)], ["host", "content", "copies", "html"])
+    (out,) = ht._occurrences(iter([batch]))
+    vectors = out.column("vector").to_pylist()
+    runs = sum(x != y for x, y in zip(vectors, vectors[1:], strict=False)) + 1
+    assert len(vectors) == 3 * 201 + 2 and len(set(out.column("token").to_pylist())) == len(vectors)
+    assert runs <= 3 * 2 + 1  # sorted by token there were hundreds
+
+
+def test_long_attributes_are_not_remembered():
+    ht.parse(f'<div class="menu" title="{"x" * 5000}">a</div><p>b</p>')
+    assert max(map(len, ht._class_of)) <= ht.LONGEST and max(len(x[1]) for x in ht._aside_of) <= ht.LONGEST
