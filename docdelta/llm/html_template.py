@@ -300,7 +300,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             kinds, which = np.unique(counts, return_inverse=True)
             marks = np.array([_hash(f"{content} {x}") for x in kinds.tolist()], np.uint64)
-            held.setdefault(host, []).append((tokens, marks[which], round(UNIT / n)))
+            order = np.argsort(which, kind="stable")  # tokens with one vector stand together, so that it packs well
+            held.setdefault(host, []).append((tokens[order], marks[which[order]], round(UNIT / n)))
             size += len(tokens)
             if size >= HELD_TOKENS:
                 yield from out()

@@ -190,3 +190,13 @@ def test_tokens_of_one_page_are_handed_on_side_by_side():
 def test_long_attributes_are_not_remembered():
     ht.parse(f'<div class="menu" title="{"x" * 5000}">a</div><p>b</p>')
     assert max(map(len, ht._class_of)) <= ht.LONGEST and max(len(x[1]) for x in ht._aside_of) <= ht.LONGEST
+
+
+def test_tokens_of_a_page_with_one_vector_are_handed_on_together():
+    """Dealt in any other order they pack worse: the shuffle was 1.52 times the pages."""
+    words = [f"w{i}" for i in range(40) for _ in range(1 + i % 3)]
+    page = f"<html><body><p>{' '.join(words)}</p><p>{' '.join(reversed(words))}</p></body></html>"
+    batch = pa.RecordBatch.from_arrays([pa.array(["h"]), pa.array([7]), pa.array([1]), pa.array([page])], ["host", "content", "copies", "html"])
+    (out,) = ht._occurrences(iter([batch]))
+    vectors = out.column(3).to_pylist()
+    assert sum(x != y for x, y in zip(vectors, vectors[1:])) == len(set(vectors)) - 1 == 3
