@@ -323,7 +323,8 @@ def classes(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     seen = seen.mapInArrow(_occurrences, "host string, token long, pages long, vector long")
     # Halves are summed apart, so that no sum overflows; equal vectors have equal sums of both.
     halves = F.sum(F.shiftright("vector", 24)).alias("high"), F.sum(F.col("vector").bitwiseAND(F.lit((1 << 24) - 1))).alias("low")
-    each = seen.groupBy("host", "token").agg(F.round(F.sum("pages") / UNIT).alias("pages"), *halves)
+    # Dealt before they are summed: a task has summed its own, and one vector packs better than two halves.
+    each = seen.repartition("host", "token").groupBy("host", "token").agg(F.round(F.sum("pages") / UNIT).alias("pages"), *halves)
     sizes = contents.groupBy("host").agg(F.sum("copies").alias("rows"), F.count("*").alias("of")).where((F.col("rows") >= min_pages) & (F.col("of") > 1))
     common = written(each.join(sizes, "host").where(F.col("pages") >= F.col("of") * MIN_SHARE), "tokens")
     large = common.groupBy("host", "high", "low").agg(F.count("*").alias("size")).where(F.col("size") >= MIN_TOKENS)
