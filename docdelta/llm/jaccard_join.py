@@ -54,8 +54,10 @@ RUN = 4_000_000
 RUN_MIN = 4
 #: Sets up to this size index pairs of frequent shingles.
 SMALL = 200
-#: Bits of a set's parity, by 64.
+#: Bits of a set's parity, by 64, at least; a larger set has twice as many as shingles, rounded up to a power of two.
 PARITY = 16
+#: Bits of a key. Two keys that fall together make pairs to look at, never a link.
+KEY_BITS = 48
 #: Bits of the filter that picks the texts worth moving; it lets too many pass, never too few.
 FILTER_BITS = 1 << 24
 #: Open keys with at most so many members have their pairs verified without deltas.
@@ -75,7 +77,8 @@ def _least(n: int, percent: int) -> int:
 
 
 def _parity(shingles: np.ndarray) -> np.ndarray:
-    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    bits = max(64 * PARITY, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -145,7 +148,7 @@ def _keys(shingles: np.ndarray, is_frequent: np.ndarray, percent: int) -> np.nda
             if len(picked) > 1:
                 i, j = np.array(list(combinations(range(len(picked)), 2))).T
                 out.append((picked[i] * mix) ^ picked[j])
-    return np.concatenate(out)
+    return np.concatenate(out) & np.uint64((1 << KEY_BITS) - 1)
 
 
 def _index(k: int, percent: int, frequent: np.ndarray):
@@ -192,11 +195,18 @@ def _picked(texts: DataFrame, bits: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, texts.schema)
 
 
+def _folded(parity: str, other: str) -> Column:
+    """A parity with as few bits as that of a set that is less than twice as small."""
+    n = F.size(other)
+    return F.when(F.size(parity) > n, F.zip_with(F.slice(parity, F.lit(1), n), F.slice(parity, n + 1, n), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(parity))
+
+
 def _possible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that may link by sizes and parities; written."""
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
+    own = texts.groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+    side = lambda x: own.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    differ = F.aggregate(F.zip_with(_folded("parity_a", "parity_b"), _folded("parity_b", "parity_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     out = written(met.where(_sizes_fit("n_a", "n_b", percent) & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))).select("a", "b"), "possible")
     discard(pairs)
     return out
@@ -233,8 +243,9 @@ def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, with_del
         pairs = _possible(pairs, texts, percent)
     bits = _filter(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     picked = written(_picked(texts.select("node", "text"), bits), "picked")
-    sided = pairs.join(picked.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    sided = sided.join(picked.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    own = picked.groupBy("node").agg(F.first("text").alias("text"))  # by the join's own shuffle
+    sided = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    sided = sided.join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     out = written(sided.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_a int, n_b int, linked boolean, delta array<long>"), "compared")
     discard(picked, pairs)
     return out
@@ -246,14 +257,18 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
 
 def _banded(entries: DataFrame, percent: int) -> DataFrame:
     """The entries with their keys split by size, and the members of each: a set is in two neighbouring bands, and
-    two sets whose sizes fit meet in one of them. Bands with one member are left out.
+    two sets whose sizes fit meet in one of them. Bands with one member are left out, and those whose members all are in a neighbouring one.
 
-    Entries that a join has dealt by key stay where they are: the windows lie within a key.
+    Entries that are dealt by key stay where they are: the window lies within a key.
     """
     band = F.floor(F.ln("n") / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else 2 * F.col("n")
-    own = Window.partitionBy("key", "band")
-    rows = entries.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("members", F.count("*").over(own)).where("members > 1")
-    return rows.select(F.xxhash64("key", "band").alias("key"), "node", "n", "keys", "members")
+    by = Window.partitionBy("key").orderBy("band")
+    below, same, above = (F.count("*").over(by.rangeBetween(k, k)) for k in (-1, 0, 1))
+    rows = entries.withColumn("band", band).withColumns({"below": below, "same": same, "above": above})
+    first = F.when(F.col("below") > 0, F.struct("band", (F.col("below") + F.col("same")).alias("members")))
+    second = F.when((F.col("above") > 0) | (F.col("below") == 0), F.struct((F.col("band") + 1).alias("band"), (F.col("same") + F.col("above")).alias("members")))
+    rows = rows.withColumn("x", F.explode(F.array_compact(F.array(first, second)))).where("x.members > 1")
+    return rows.select(F.xxhash64("key", "x.band").alias("key"), "node", "n", "keys", "x.members")
 
 
 def _open(entries: DataFrame, label: DataFrame) -> DataFrame:
@@ -299,9 +314,10 @@ def _delta_entries(deltas: DataFrame, percent: int) -> DataFrame:
     """Entries from the prefixes of the deltas (a, b, n_a, n_b, linked, delta) to leaders b."""
     less, more = 100 - percent, 100 + percent
     each = deltas.select("a", "b", "n_a", "n_b", "linked", F.size("delta").alias("d"), F.explode("delta").alias("token"))
-    held = each.groupBy("b", "token").agg(F.count("*").alias("held")).where("held > 1")
+    # Members linked with the leader have one component, so a token that they alone have joins nothing.
+    held = each.groupBy("b", "token").agg(F.count("*").alias("held"), F.count_if(~F.col("linked")).alias("out")).where("held > 1 and out > 0").drop("out")
     own = Window.partitionBy("b", "a")
-    at = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "token")) - 1  # tokens of one delta alone come first
+    at = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "token")) - 1  # tokens that join nothing come first
     some = each.join(held, ["b", "token"]).withColumn("at", at)
     d = F.col("d")
     # With a partner that isn't linked with the leader, more than so many tokens are shared.
@@ -378,15 +394,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     frequent = np.sort(np.array([x.b for x in often.collect()], np.int64).view(np.uint64))
     whole = seen.where("kind = 2").select(F.col("b").alias("node"), "n", "text", "parity")
 
-    entries = written(whole.select("node", "text").mapInArrow(_index(k, percent, frequent), "key long, node long, n int, keys int"), "index")
     sizes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     sizes = written(sizes, "nodes")
 
-    several = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key")
-    shared = written(_banded(entries.join(several, "key").distinct(), percent), "shared")
-    discard(entries)
-    texts = _picked(whole, _filter(shared)).groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text"), F.first("parity").alias("parity"))
-    texts = written(texts, "texts")
+    # The index moves once: what finds the keys of several sets, leaves out copies and counts members needs a key's entries in one task each time.
+    entries = whole.select("node", "text").mapInArrow(_index(k, percent, frequent), "key long, node long, n int, keys int").repartition("key")
+    own = Window.partitionBy("key")
+    several = entries.withColumns({"low": F.min("node").over(own), "high": F.max("node").over(own)}).where("low != high").drop("low", "high")
+    shared = written(_banded(several.distinct(), percent), "shared")
+    # Copies that different tasks have seen stay until a join deals the texts by node.
+    texts = written(_picked(whole, _filter(shared)), "texts")
     label = _links(shared, texts, k, percent)
     discard(shared, texts)
 
