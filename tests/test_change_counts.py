@@ -3,7 +3,7 @@ import random
 import pytest
 
 from docdelta.checkpoint import written
-from docdelta.operators import postprocess
+from docdelta.operators import align, decide, postprocess
 from docdelta.plans import compare
 
 
@@ -48,3 +48,20 @@ def test_documents_of_one_file_are_prepared_by_all_tasks(spark):
     docs = written(spark.createDataFrame([(i, f"Ein Satz {i}. Noch einer. " * 9) for i in range(64)], "doc_id long, text string").coalesce(1), "docs")
     found = compare.involved(docs, compare.candidate_pairs(docs))
     assert found.count() == 64 and "REPARTITION_BY_NUM" in plan(found).split("MapInArrow")[-1]
+
+
+def test_pairs_with_one_side_are_not_normalised(spark):
+    """Every row was normalised, orphans as well, which took most of the time of decided."""
+    rows = [("j", 1, 0, None, "Eins zwei.", ""), ("j", 2, None, 0, "", "Drei."), ("j", 3, 1, 1, "1) Vier", "Vier"), ("j", 4, 2, 2, "Eins zwei drei", "Ganz anders"), ("j", 5, 3, 3, "", "")]
+    pairs = spark.createDataFrame(rows, "job_id string, pair_index int, a_index int, b_index int, text_a string, text_b string")
+    got = {r.pair_index: (r.decided, r.normal_a) for r in decide.heuristics(pairs).collect()}
+    assert got == {1: ("orphan_a", None), 2: ("orphan_b", None), 3: ("normalized_equal", "Vier"), 4: (None, "Eins zwei drei"), 5: ("empty_pair", None)}
+
+
+def test_tiles_are_dealt_to_as_many_tasks_as_there_are_partitions(spark, monkeypatch):
+    """Tiles have few bytes for their work, and adaptive execution merged them into one task."""
+    monkeypatch.setattr(align, "CELLS", 0)
+    segment = lambda k: (k, f"Satz {k} von vielen", 0, 9)
+    jobs = spark.createDataFrame([("j", [segment(k) for k in range(30)], [segment(k) for k in range(28)])], f"job_id string, segments_a {align.SEGMENTS}, segments_b {align.SEGMENTS}")
+    found = align.aligned(jobs)
+    assert found.count() == 30 and "REPARTITION_BY_NUM" in plan(found)
