@@ -201,9 +201,9 @@ def _folded(parity: str, other: str) -> Column:
     return F.when(F.size(parity) > n, F.zip_with(F.slice(parity, F.lit(1), n), F.slice(parity, n + 1, n), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(parity))
 
 
-def _possible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that may link by sizes and parities; written."""
-    own = texts.groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+    own = marks.groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
     side = lambda x: own.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     differ = F.aggregate(F.zip_with(_folded("parity_a", "parity_b"), _folded("parity_b", "parity_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
@@ -212,7 +212,7 @@ def _possible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, with_delta: bool = False) -> DataFrame:
+def _compared(pairs: DataFrame, marks: DataFrame, texts: DataFrame, k: int, percent: int, with_delta: bool = False) -> DataFrame:
     """Rows (a, b, n_a, n_b, linked, delta) for the pairs (a, b), tested on the whole texts and written.
 
     delta holds the hashes that one of the sets has alone. Without it, the links alone are returned.
@@ -240,9 +240,9 @@ def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, with_del
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
     small_batches(pairs.sparkSession)
     if not with_delta:
-        pairs = _possible(pairs, texts, percent)
+        pairs = _possible(pairs, marks, percent)
     bits = _filter(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    picked = written(_picked(texts.select("node", "text"), bits), "picked")
+    picked = written(_picked(texts, bits), "picked")
     own = picked.groupBy("node").agg(F.first("text").alias("text"))  # by the join's own shuffle
     sided = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     sided = sided.join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -330,7 +330,7 @@ def _delta_entries(deltas: DataFrame, percent: int) -> DataFrame:
     return some.select(F.xxhash64("b", "token").alias("key"), F.col("a").alias("node"), F.col("n_a").alias("n"), F.col("d").alias("keys"), "role", "d", F.col("at").cast("int").alias("at"))
 
 
-def _links(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(entries: DataFrame, marks: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes that connect what the nodes of the entries' keys connect; written."""
     links: list[DataFrame] = []
 
@@ -351,7 +351,7 @@ def _links(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
         if turn and most:
             pairs = entries.agg(F.sum((F.col("members") - 1) / 2)).head()[0] or 0
             most = DIRECT if pairs > DIRECT / 2 * linear else None
-        add(_compared(_direct(entries if most is None else entries.where(F.col("members") <= most), percent), texts, k, percent))
+        add(_compared(_direct(entries if most is None else entries.where(F.col("members") <= most), percent), marks, texts, k, percent))
         large = written(entries.where("false" if most is None else F.col("members") > most).drop("members"), "large")
         if turn:
             discard(entries)
@@ -360,14 +360,14 @@ def _links(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
             break
         leads = _leads(large)
         led = written(large.join(leads, "key"), "led")
-        add(_compared(_stars(led, percent), texts, k, percent))
+        add(_compared(_stars(led, percent), marks, texts, k, percent))
         left = _open(led.drop("component", "of_lead"), label())
         discard(large, leads, led)
         far = written(left.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "far")
         discard(left)
         if not far.head(1):
             break
-        deltas = _compared(far, texts, k, percent, with_delta=True)
+        deltas = _compared(far, marks, texts, k, percent, with_delta=True)
         add(deltas)
         left = _open(_delta_entries(deltas, percent), label())
         entries = written(left.join(left.groupBy("key").agg(F.count("*").alias("members")), "key"), "entries")
@@ -402,10 +402,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     own = Window.partitionBy("key")
     several = entries.withColumns({"low": F.min("node").over(own), "high": F.max("node").over(own)}).where("low != high").drop("low", "high")
     shared = written(_banded(several.distinct(), percent), "shared")
-    # Copies that different tasks have seen stay until a join deals the texts by node.
-    texts = written(_picked(whole, _filter(shared)), "texts")
-    label = _links(shared, texts, k, percent)
-    discard(shared, texts)
+    # Copies that different tasks have seen stay until a join deals them by node. Texts are read where they are.
+    marks = written(_picked(whole.select("node", "n", "parity"), _filter(shared)), "marks")
+    label = _links(shared, marks, whole.select("node", "text"), k, percent)
+    discard(shared, marks)
 
     nodes = sizes.join(label, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
